@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import length_packing, mixing, near_dedup, quality_rules
+from . import length_packing, mixing, near_dedup, quality_rules, suffix_dedup
 from .common import table
 
 
@@ -17,6 +17,10 @@ def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.remove_repeats(table(spark, sf_dir, "documents"))
+
+
 def op8_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -26,7 +30,7 @@ def op10_length_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op3_robust_outliers, op6_mixing, op8_near_duplicates, op10_length_buckets)}
+    return {f.__name__: f for f in (op3_robust_outliers, op6_mixing, op7_suffix_dedup, op8_near_duplicates, op10_length_buckets)}
 
 
 def oracle_sql() -> dict[str, str]:
