@@ -10,7 +10,7 @@ are placed one by one (ties by id, then size); an empty table gives an empty res
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -26,9 +26,15 @@ def sized(docs: DataFrame, seed: int = 0) -> DataFrame:
         F.col("doc_id").cast("long").alias("doc_id"),
         F.col("source").cast("string").alias("source"),
         common.word_count(F.col("text").cast("string")).alias("size"),
+        row_key().alias("row_key"),
     ).withColumn("_key", key)
 
 
+def row_key() -> Column:
+    """Tells rows apart where ids repeat."""
+    return F.xxhash64("doc_id", "text", "source")
+
+
 def targets(rows: DataFrame, weights: tuple[float, ...], share: float, max_epochs: float) -> DataFrame:
     """(source, source_size, target): weights repeat over the sources by code point, null last.
 
@@ -57,10 +63,18 @@ def targets(rows: DataFrame, weights: tuple[float, ...], share: float, max_epoch
     return filled.select("source", "source_size", target.alias("target"))
 
 
+def mixed(docs: DataFrame, **options) -> DataFrame:
+    """The documents of the mix, each as often as the mix takes it; equal rows are taken equally often."""
+    taken = mix(docs, **options).where("copies > 0").groupBy("row_key").agg(F.max("copies").alias("_copies"))
+    joined = docs.withColumn("_key", row_key()).join(taken, F.col("_key") == F.col("row_key"))
+    copies = F.explode(F.sequence(F.lit(1).cast("long"), F.col("_copies"))).alias("_copy")
+    return joined.select(*[docs[c] for c in docs.columns], copies).drop("_copy")
+
+
 def mix(
     docs: DataFrame, *, weights: tuple[float, ...] = (5, 2, 1), share: float = 1.5, max_epochs: float = 2.0, seed: int = 0
 ) -> DataFrame:
-    """(doc_id, source, size, source_size, target, copies, taken): ``copies`` is how often the mix repeats a row."""
+    """(doc_id, source, size, row_key, source_size, target, copies, taken): ``copies`` is how often the mix repeats a row."""
     rows = common.materialise(sized(docs, seed), "mix")
     budget = targets(rows, weights, share, max_epochs).withColumnRenamed("source", "_s")
     placed = common.running_sums(rows, "source", "_key", ["doc_id", "size"], "size", "_before")

@@ -1,5 +1,64 @@
-STAGES = []
+"""Five stages from raw documents to batches: quality rules, near-duplicates, repeated passages, mixing, packing.
 
+Every stage takes and returns whole tables; all but the last keep the columns of the input.  Rows are told apart
+by a hash of their values where ids repeat, so a verdict never falls on another row with the same or a null id.
+"""
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from . import common, length_packing, mixing, near_dedup, quality_rules, suffix_dedup
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality rules keep."""
+    judged = quality_rules.quality_rules(docs)
+    rejected = judged.where(~F.col("kept")).select(F.col("row_key").alias("_rejected"))
+    return docs.join(rejected, quality_rules.row_key() == F.col("_rejected"), "left_anti")
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near-duplicates; rows with a null id stay."""
+    found = near_dedup.near_duplicates(docs).where("kept and doc_id is not null").select(F.col("doc_id").alias("_kept")).distinct()
+    stay = docs.where("doc_id is not null").join(found, F.col("doc_id") == F.col("_kept"), "left_semi")
+    return stay.dropDuplicates(["doc_id"]).unionByName(docs.where("doc_id is null"))
+
+
+def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts without the passages that earlier documents hold; a character cut in two goes as a whole."""
+    others = tuple(c for c in docs.columns if c not in ("doc_id", "text"))
+    out = suffix_dedup.remove_repeats(docs, texts=True, carry=others)
+    text = F.expr("try_validate_utf8(cast(kept as string))")
+    text = F.coalesce(text, F.expr("replace(make_valid_utf8(cast(kept as string)), '\\ufffd', '')"))
+    fields = {c: F.col("carry")[c] for c in others} | {"doc_id": F.col("doc_id").cast(docs.schema["doc_id"].dataType), "text": text}
+    if "n_chars" in fields:
+        fields["n_chars"] = F.char_length(text).cast(docs.schema["n_chars"].dataType)
+    return out.select(*[fields[c].alias(c) for c in docs.columns])
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The mix of sources at their target weights; documents repeat where a source runs over its size."""
+    return mixing.mixed(docs)
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Batches in optimal length buckets."""
+    return length_packing.pack(docs)
+
+
+STAGES = [
+    ("quality rules", quality),
+    ("near duplicates", near_duplicates),
+    ("repeated passages", repeated_passages),
+    ("source mix", mix_sources),
+    ("length buckets", pack),
+]
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = common.table(spark, sf_dir, "documents")
+    for name, stage in STAGES:
+        docs = common.materialise(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+    return docs

@@ -25,6 +25,7 @@ from pyspark.sql import functions as F
 from . import common
 
 SYMBOLS = "#*$%&|<>"
+KEYS = ("doc_id", "lang", "source", "row_key")
 SPACES = " \t\n\v\f\r"
 STATISTICS = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_lines long, n_repeat_words long"
 #: Vector coordinates and the least standard deviation each is given, so that a constant rate rejects nothing by rounding.
@@ -76,14 +77,19 @@ def _statistics(batches):
         rows = [statistics_of(t) for t in batch.column("text").to_pylist()]
         columns = list(zip(*rows, strict=True)) or [()] * len(names)
         counts = [pa.array(c, pa.int64()) for c in columns]
-        yield pa.RecordBatch.from_arrays([batch.column(k) for k in ("doc_id", "lang", "source")] + counts, ["doc_id", "lang", "source", *names])
+        yield pa.RecordBatch.from_arrays([batch.column(k) for k in KEYS] + counts, [*KEYS, *names])
 
 
 def text_statistics(docs: DataFrame) -> DataFrame:
     """Counts of every whole text, one row per row of ``docs``, without a shuffle."""
     common.small_batches(docs.sparkSession)
-    slim = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), F.col("lang").cast("string"), F.col("source").cast("string"))
-    return slim.mapInArrow(_statistics, f"doc_id long, lang string, source string, {STATISTICS}")
+    slim = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), F.col("lang").cast("string"), F.col("source").cast("string"), row_key().alias("row_key"))
+    return slim.mapInArrow(_statistics, f"doc_id long, lang string, source string, row_key long, {STATISTICS}")
+
+
+def row_key() -> Column:
+    """Tells rows apart where ids repeat; rows that are equal in it get equal verdicts."""
+    return F.xxhash64("doc_id", "text", "lang", "source")
 
 
 def base_failed(min_words: int = 50, max_repeat_percent: int = 50) -> Column:

@@ -105,24 +105,24 @@ def stretches(data: bytes, ends: np.ndarray, length: int = LENGTH) -> tuple[np.n
 
 
 def _chunks(batches):
-    ids, sizes, texts, held = [], [], [], 0
+    held, size = [], 0
     for batch in batches:
-        for i, t in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
+        kind = batch.schema.field("carry").type
+        for i, t, c in zip(*(batch.column(k).to_pylist() for k in ("doc_id", "text", "carry")), strict=True):
             raw = (t or "").encode()
-            ids.append(i)
-            sizes.append(len(raw))
-            texts.append(raw)
-            held += len(raw)
-            if held >= CHUNK_BYTES or len(ids) >= CHUNK_BYTES // 64:
-                yield _chunk(ids, sizes, texts)
-                ids, sizes, texts, held = [], [], [], 0
-    if ids:
-        yield _chunk(ids, sizes, texts)
+            held.append((i, raw, c))
+            size += len(raw)
+            if size >= CHUNK_BYTES or len(held) >= CHUNK_BYTES // 64:
+                yield _chunk(held, kind)
+                held, size = [], 0
+    if held:
+        yield _chunk(held, kind)
 
 
-def _chunk(ids, sizes, texts):
-    columns = [pa.array([ids], pa.list_(pa.int64())), pa.array([sizes], pa.list_(pa.int64())), pa.array([b"".join(texts)], pa.large_binary()).cast(pa.binary())]
-    return pa.RecordBatch.from_arrays(columns, ["ids", "sizes", "data"])
+def _chunk(rows: list[tuple], kind: pa.DataType) -> pa.RecordBatch:
+    ids, texts, carry = zip(*rows, strict=True)
+    columns = [pa.array([ids], pa.list_(pa.int64())), pa.array([[len(x) for x in texts]], pa.list_(pa.int64())), pa.array([b"".join(texts)], pa.binary()), pa.array([carry], pa.list_(kind))]
+    return pa.RecordBatch.from_arrays(columns, ["ids", "sizes", "data", "carry"])
 
 
 class _Chunk:
@@ -309,30 +309,37 @@ def covered(row: dict, length: int) -> np.ndarray:
 
 def _remove(length: int, texts: bool):
     def run(batches):
-        for row in _rows(batches):
-            gone, out, at = covered(row, length), [], 0
-            buf = np.frombuffer(row["data"], np.uint8)
-            for i, size in zip(row["ids"], row["sizes"], strict=True):
-                g = gone[at : at + size]
-                kept = buf[at : at + size][~g].tobytes() if g.any() else row["data"][at : at + size]
-                spans = int(g[:1].sum()) + int((g[1:] & ~g[:-1]).sum())
-                out.append((i, size, int(g.sum()), spans, kept if texts else hashlib.sha256(kept).hexdigest()))
-                at += size
-            last = pa.binary() if texts else pa.string()
-            yield _batch(out, ["doc_id", "n_bytes", "n_removed", "n_spans", "kept"], [pa.int64()] * 4 + [last])
+        for batch in batches:
+            kind = batch.schema.field("carry").type.value_type
+            for row in batch.to_pylist():
+                gone, out, at = covered(row, length), [], 0
+                buf = np.frombuffer(row["data"], np.uint8)
+                for i, size, c in zip(row["ids"], row["sizes"], row["carry"], strict=True):
+                    g = gone[at : at + size]
+                    kept = buf[at : at + size][~g].tobytes() if g.any() else row["data"][at : at + size]
+                    spans = int(g[:1].sum()) + int((g[1:] & ~g[:-1]).sum())
+                    out.append((i, size, int(g.sum()), spans, kept if texts else hashlib.sha256(kept).hexdigest(), c))
+                    at += size
+                last = pa.binary() if texts else pa.string()
+                yield _batch(out, ["doc_id", "n_bytes", "n_removed", "n_spans", "kept", "carry"], [pa.int64()] * 4 + [last, kind])
 
     return run
 
 
-def remove_repeats(docs: DataFrame, *, length: int = LENGTH, texts: bool = False) -> DataFrame:
-    """(doc_id, n_bytes, n_removed, n_spans, kept_sha256), or with ``texts`` the bytes left as ``kept``."""
+def remove_repeats(docs: DataFrame, *, length: int = LENGTH, texts: bool = False, carry: tuple[str, ...] = ()) -> DataFrame:
+    """(doc_id, n_bytes, n_removed, n_spans, kept_sha256), or with ``texts`` the bytes left as ``kept``.
+
+    Columns named in ``carry`` travel with their row and come back as the struct ``carry``.
+    """
     spark = docs.sparkSession
-    slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    carried = F.struct(*[F.col(c) for c in carry]) if carry else F.struct(F.lit(0).alias("none"))
+    slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), carried.alias("carry"))
+    kept_kind = slim.schema["carry"].dataType.simpleString()
     batch_rows = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
     name = f"daybook_chunks_{uuid.uuid4().hex}"
     try:
         common.small_batches(spark)
-        chunks = slim.mapInArrow(_chunks, "ids array<long>, sizes array<long>, data binary").withColumn("chunk", F.monotonically_increasing_id())
+        chunks = slim.mapInArrow(_chunks, f"ids array<long>, sizes array<long>, data binary, carry array<{kept_kind}>").withColumn("chunk", F.monotonically_increasing_id())
         parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
         chunks.write.option("compression", "zstd").bucketBy(parts, "chunk").saveAsTable(name, format="parquet")
         chunks = spark.table(name)
@@ -342,7 +349,7 @@ def remove_repeats(docs: DataFrame, *, length: int = LENGTH, texts: bool = False
         anchors = chunks.select("chunk", "ids", "sizes", "data").mapInArrow(_send_anchors(length, ranges), "range int, chunk long, anchors binary, several binary")
         bits = anchors.groupBy("range").applyInArrow(_shared_anchors, "chunk long, range int, bits binary")
         found = bits.groupBy("chunk").agg(F.collect_list(F.struct("range", "bits")).alias("found"))
-        runs = chunks.join(found, "chunk", "left").mapInArrow(
+        runs = chunks.drop("carry").join(found, "chunk", "left").mapInArrow(
             _send_runs(length, ranges), "range int, chunk long, lcps binary, sizes binary, tails binary, docs binary"
         )
         runs = common.materialise(runs, "runs")
@@ -351,8 +358,8 @@ def remove_repeats(docs: DataFrame, *, length: int = LENGTH, texts: bool = False
         places = runs.where("range < 0").select("chunk", F.col("lcps").alias("item"), F.col("sizes").alias("start"), F.col("tails").alias("n"), F.col("docs").alias("doc"))
         joined = chunks.join(places, "chunk", "left").join(answers, "chunk", "left")
         kind = "binary" if texts else "string"
-        out = joined.mapInArrow(_remove(length, texts), f"doc_id long, n_bytes long, n_removed long, n_spans long, kept {kind}")
-        out = common.materialise(out, "kept")
+        out = joined.mapInArrow(_remove(length, texts), f"doc_id long, n_bytes long, n_removed long, n_spans long, kept {kind}, carry {kept_kind}")
+        out = common.materialise(out if carry else out.drop("carry"), "kept")
         common.discard(runs)
     finally:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch_rows)
