@@ -4,15 +4,32 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import length_packing, mixing, near_dedup, quality_rules, suffix_dedup
+from . import bfd_packing, length_packing, mixing, near_dedup, ordinal, quality_rules, simhash, suffix_dedup, token_counts, warc
 from .common import table
 
 
+def op1_bfd_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bfd_packing.pack(table(spark, sf_dir, "documents"))
+
+
+def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = warc.round_trip(table(spark, sf_dir, "pages"))
+    return out.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op3_robust_outliers(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = quality_rules.quality_rules(table(spark, sf_dir, "documents"))
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "distance")
 
 
+def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.token_counts(table(spark, sf_dir, "documents"))
+
+
+def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.next_edits(table(spark, sf_dir, "documents"))
+
+
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
@@ -25,13 +42,45 @@ def op8_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op9_ordinal_grades(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = ordinal.fit(docs, ordinal.ratings(table(spark, sf_dir, "labels")))
+    return ordinal.grade(docs, model)
+
+
 def op10_length_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return length_packing.pack(table(spark, sf_dir, "documents"))
 
 
+QUERIES = (
+    op1_bfd_packing,
+    op2_warc,
+    op3_robust_outliers,
+    op4_token_counts,
+    op5_simhash,
+    op6_mixing,
+    op7_suffix_dedup,
+    op8_near_duplicates,
+    op9_ordinal_grades,
+    op10_length_buckets,
+)
+
+ORACLE = {
+    "op2_warc": """
+        with rows as (select page_id, coalesce(html, '') as payload from pages),
+        sized as (select page_id, strlen(payload) as payload_bytes, sha1(payload) as payload_digest from rows),
+        last as (select *, max(page_id) over (partition by payload_digest) as final from sized)
+        select page_id, payload_bytes, payload_digest,
+            case when payload_bytes >= 1000 and page_id < final then 'revisit' else 'response' end as record_type,
+            case when payload_bytes >= 1000 and page_id < final then final end as refers_to
+        from last
+    """,
+}
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op3_robust_outliers, op6_mixing, op7_suffix_dedup, op8_near_duplicates, op10_length_buckets)}
+    return {f.__name__: f for f in QUERIES}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(ORACLE)
