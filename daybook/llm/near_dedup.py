@@ -9,9 +9,11 @@ sizes are known) drops candidates that can't reach the threshold, and the full s
 Only connectivity is asked for, so the links of a group of copies are not all expanded:
 
 1. documents with equal sets collapse to one class (map-side combine);
-2. every class is compared with the smallest class found in any of its bands, one pair a class;
-3. links so far give components; pairs of a band whose ends are in different components remain, and are compared
-   until none is left.  No band, group or partner list is capped.
+2. every class is compared with the most central class of its bands, one pair a class;
+3. the links so far give components; classes in a band that spans several are open, and whatever linked pair is
+   left has open classes of two components at its ends.  These pairs are found without a cap by an exact prefix
+   join over the open classes: sets that reach the threshold share one of their rarest shingles, at places that
+   leave room for the overlap they need.  Large groups of copies are one component by then, or pruned by place.
 
 With 48 bands of 4 registers a pair at similarity 0.75 stays unseen with probability 1e-8.
 
@@ -42,6 +44,8 @@ _ADD = _rng.integers(0, 1 << 32, BANDS * ROWS, dtype=np.uint32)
 _BAND_SALT = _rng.integers(1, 1 << 63, (BANDS, ROWS), dtype=np.uint64) | np.uint64(1)
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 _CACHE_WORDS = 500_000
+#: Shingles are ordered by how often their first bits occur, in so many slots.
+FREQUENCY_BITS = 15
 
 
 def _mixed(x: np.ndarray) -> np.ndarray:
@@ -179,19 +183,23 @@ class _Verifier:
         sized = pairs.join(side("a"), "a").join(side("b"), "b").where(near)
         return sized.mapInArrow(_likely(self.percent / 100, self.slack), "a long, b long")
 
-    def confirm(self, pairs: DataFrame) -> DataFrame:
+    def sets(self, ends: DataFrame) -> DataFrame:
+        """(cls, items): the full shingle sets of distinct classes, from the text of their owners."""
+        owners = ends.join(self.classes.select("cls", "owner"), "cls").select(F.col("owner").alias("doc_id")).distinct()
+        found = self.docs.join(owners, "doc_id", "left_semi").select("text").mapInArrow(_sets, "cls long, items array<long>")
+        # an id can stand for several texts; only the classes asked for stay
+        return common.materialise(found.join(ends, "cls", "left_semi").dropDuplicates(["cls"]), "sets")
+
+    def confirm(self, pairs: DataFrame, sets: DataFrame | None = None) -> DataFrame:
         """The links among distinct ``pairs`` (a, b)."""
         likely = common.materialise(self.likely(pairs), "likely")
-        ends = likely.select(F.col("a").alias("cls")).union(likely.select("b")).distinct()
-        owners = ends.join(self.classes.select("cls", "owner"), "cls").select(F.col("owner").alias("doc_id")).distinct()
-        sets = self.docs.join(owners, "doc_id", "left_semi").select("text").mapInArrow(_sets, "cls long, items array<long>")
-        sets = common.materialise(sets.dropDuplicates(["cls"]), "sets")
-        left = likely.join(sets.withColumnsRenamed({"cls": "a", "items": "ia"}), "a")
-        both = left.join(sets.withColumnsRenamed({"cls": "b", "items": "ib"}), "b")
+        own = sets or self.sets(likely.select(F.col("a").alias("cls")).union(likely.select("b")).distinct())
+        left = likely.join(own.withColumnsRenamed({"cls": "a", "items": "ia"}), "a")
+        both = left.join(own.withColumnsRenamed({"cls": "b", "items": "ib"}), "b")
         shared = F.size(F.array_intersect("ia", "ib"))
         checked = both.select("a", "b", shared.alias("i"), (F.size("ia") + F.size("ib")).alias("s"))
         links = common.materialise(checked.where(100 * F.col("i") >= self.percent * (F.col("s") - F.col("i"))).select("a", "b"), "links")
-        common.discard(sets, likely)
+        common.discard(likely, *([] if sets else [own]))
         return links
 
 
@@ -226,21 +234,82 @@ def near_duplicates(docs: DataFrame, *, threshold: float = 0.75, slack: float =
     return out.withColumn("kept", F.coalesce(F.col("component_id") == F.col("doc_id"), F.lit(True)))
 
 
+def _central_pairs(hits: DataFrame) -> DataFrame:
+    """(a, b): each class with the most central class of its bands, the one that meets the most others in all bands."""
+    score = hits.groupBy("cls").agg(F.sum("n").alias("score"))
+    ranked = hits.join(score, "cls").groupBy("band").agg(F.max(F.struct("score", "cls")).alias("top"))
+    best = hits.select("band", "cls").join(ranked, "band").where(F.col("top.cls") != F.col("cls")).groupBy("cls").agg(F.max("top").alias("top"))
+    return best.select(F.least("cls", "top.cls").alias("a"), F.greatest("cls", "top.cls").alias("b")).distinct()
+
+
+def _open_classes(hits: DataFrame, links: DataFrame) -> DataFrame:
+    """(cls, comp) of the classes in a band that spans several components."""
+    held = common.materialise(_labelled(hits.select("band", "cls"), components.components(links)), "held")
+    parts = held.groupBy("band").agg(F.min("comp").alias("_low"), F.max("comp").alias("_high")).where("_low != _high")
+    return common.materialise(held.join(parts.select("band"), "band", "left_semi").select("cls", "comp").distinct(), "open")
+
+
+def _frequency(batches):
+    total = np.zeros(1 << FREQUENCY_BITS, np.int64)
+    for batch in batches:
+        items = batch.column("items").flatten().to_numpy().view(np.uint64)
+        total += np.bincount((items >> np.uint64(64 - FREQUENCY_BITS)).astype(np.int64), minlength=len(total))
+    at = np.flatnonzero(total)
+    yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], ["slot", "n"])
+
+
+def _prefixes(common_slots: np.ndarray, percent: int):
+    """The first shingles of each set, rarest first: two sets that reach the threshold share one of theirs."""
+
+    def run(batches):
+        for batch in batches:
+            columns = [[], [], [], [], []]
+            for cls, comp, items in zip(batch.column("cls").to_pylist(), batch.column("comp").to_pylist(), batch.column("items"), strict=True):
+                own = np.array(items.values).view(np.uint64)
+                order = np.lexsort((own, common_slots[own >> np.uint64(64 - FREQUENCY_BITS)]))
+                size = len(own)
+                n = size - -(-percent * size // 100) + 1
+                for c, x in zip(columns, (own[order[:n]].view(np.int64), np.full(n, cls), np.full(n, comp), np.full(n, size), np.arange(n)), strict=True):
+                    c.append(x)
+            if columns[0]:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c).astype(np.int64)) for c in columns], ["token", "cls", "comp", "size", "at"])
+
+    return run
+
+
+def _rest(opened: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of open classes in different components that may reach the threshold; exact, none is left out.
+
+    Any order of the shingles would do; rarest first keeps shared passages out of the prefixes.  A shingle shared at
+    places i and j leaves at most ``min(size - i)`` in common, which the join's own condition checks, so pairs that
+    only share the frequent part of a large group of copies are never put out.
+    """
+    counts = sets.select("items").mapInArrow(_frequency, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n"))
+    slots = np.zeros(1 << FREQUENCY_BITS, np.int64)
+    for slot, n in counts.collect():  # at most 2**FREQUENCY_BITS rows
+        slots[slot] = n
+    tokens = opened.join(sets, "cls").mapInArrow(_prefixes(slots, percent), "token long, cls long, comp long, size long, at long")
+    tokens = common.materialise(tokens, "tokens")
+    parts = tokens.groupBy("token", "comp").agg(F.count("*").alias("n"))
+    mixed = parts.groupBy("token").agg(F.max_by("comp", F.struct("n", "comp")).alias("main"), F.count("*").alias("parts")).where("parts > 1")
+    within = tokens.join(mixed.select("token", "main"), "token")
+    few = within.where("comp != main").select("token", F.col("cls").alias("x"), F.col("comp").alias("cx"), F.col("size").alias("sx"), F.col("at").alias("ix"))
+    every = within.select("token", F.col("cls").alias("y"), F.col("comp").alias("cy"), F.col("size").alias("sy"), F.col("at").alias("iy"))
+    overlap = F.least(F.col("sx") - F.col("ix"), F.col("sy") - F.col("iy"))
+    enough = (100 + percent) * overlap >= percent * (F.col("sx") + F.col("sy"))
+    across = few.join(every, "token").where((F.col("cx") != F.col("cy")) & enough)
+    return across.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+
+
 def _links(docs: DataFrame, classes: DataFrame, threshold: float, slack: float) -> DataFrame:
     """Links (a, b) between classes that leave the same components as all links."""
     verifier = _Verifier(docs, classes, threshold, slack)
     banded = classes.select("registers", "cls").mapInArrow(_bands, "band long, cls long")
-    shared = banded.groupBy("band").agg(F.count("*").alias("_n"), F.min("cls").alias("first")).where("_n > 1").drop("_n")
+    shared = banded.groupBy("band").agg(F.count("*").alias("n")).where("n > 1")
     hits = common.materialise(banded.join(shared, "band"), "hits")
-    near = hits.groupBy("cls").agg(F.min("first").alias("a")).where("a < cls").select("a", F.col("cls").alias("b"))
-    links = verifier.confirm(near)
-    # what is left are pairs of a band in different components; one end at least is outside the band's largest part
-    held = common.materialise(_labelled(hits.select("band", "cls"), components.components(links)), "held")
-    parts = held.groupBy("band", "comp").agg(F.count("*").alias("n"))
-    main = parts.groupBy("band").agg(F.max_by("comp", F.struct("n", "comp")).alias("main"), F.count("*").alias("parts")).where("parts > 1")
-    open_bands = held.join(main.select("band", "main"), "band")
-    few = open_bands.where("comp != main").select("band", F.col("cls").alias("x"), F.col("comp").alias("cx"))
-    across = few.join(open_bands.select("band", F.col("cls").alias("y"), F.col("comp").alias("cy")), "band").where("cx != cy")
-    pairs = across.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-    more = verifier.confirm(pairs.join(near, ["a", "b"], "left_anti"))
+    links = verifier.confirm(_central_pairs(hits))
+    opened = _open_classes(hits, links)
+    sets = verifier.sets(opened.select("cls"))
+    more = verifier.confirm(_rest(opened, sets, verifier.percent), sets)
+    common.discard(hits)
     return links.union(more)
