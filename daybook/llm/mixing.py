@@ -65,10 +65,11 @@ def targets(rows: DataFrame, weights: tuple[float, ...], share: float, max_epoch
 
 def mixed(docs: DataFrame, **options) -> DataFrame:
     """The documents of the mix, each as often as the mix takes it; equal rows are taken equally often."""
-    taken = mix(docs, **options).where("copies > 0").groupBy("row_key").agg(F.max("copies").alias("_copies"))
-    joined = docs.withColumn("_key", row_key()).join(taken, F.col("_key") == F.col("row_key"))
-    copies = F.explode(F.sequence(F.lit(1).cast("long"), F.col("_copies"))).alias("_copy")
-    return joined.select(*[docs[c] for c in docs.columns], copies).drop("_copy")
+    taken = mix(docs, **options).where("copies > 0").groupBy("row_key").agg(F.max("copies").alias("__copies"))
+    taken = taken.withColumnRenamed("row_key", "__row_key")
+    joined = docs.join(taken, row_key() == F.col("__row_key"))
+    copies = F.explode(F.sequence(F.lit(1).cast("long"), F.col("__copies"))).alias("__copy")
+    return joined.select(*docs.columns, copies).drop("__copy")
 
 
 def mix(

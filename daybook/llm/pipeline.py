@@ -15,14 +15,14 @@ from . import common, length_packing, mixing, near_dedup, quality_rules, suffix_
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality rules keep."""
     judged = quality_rules.quality_rules(docs)
-    rejected = judged.where(~F.col("kept")).select(F.col("row_key").alias("_rejected"))
-    return docs.join(rejected, quality_rules.row_key() == F.col("_rejected"), "left_anti")
+    rejected = judged.where(~F.col("kept")).select(F.col("row_key").alias("__rejected"))
+    return docs.join(rejected, quality_rules.row_key() == F.col("__rejected"), "left_anti")
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates; rows with a null id stay."""
-    found = near_dedup.near_duplicates(docs).where("kept and doc_id is not null").select(F.col("doc_id").alias("_kept")).distinct()
-    stay = docs.where("doc_id is not null").join(found, F.col("doc_id") == F.col("_kept"), "left_semi")
+    found = near_dedup.near_duplicates(docs).where("kept and doc_id is not null").select(F.col("doc_id").alias("__kept")).distinct()
+    stay = docs.where("doc_id is not null").join(found, F.col("doc_id") == F.col("__kept"), "left_semi")
     return stay.dropDuplicates(["doc_id"]).unionByName(docs.where("doc_id is null"))
 
 
