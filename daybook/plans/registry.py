@@ -1,15 +1,330 @@
-"""All registered queries of the library, by survey id."""
+"""All registered queries of the library, by survey id, each with its SQL twin where SQL can express it."""
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-def flagship(spark, sf_dir):
-    raise NotImplementedError
+from ..functions import hashing, text
+from ..operators import catalogue, insight, pictures, ranking, search
+from ..sources.tables import ENTRIES_SQL, VOTES_SQL, entries, read, votes
+from ..streaming import ledger
+
+WEIGHTS = {"title": 10.0, "text": 1.0}
+#: The word pattern for the SQL twins.
+_P = text.WORD.replace("'", "''")
+_WORDS_SQL = f"""bag_all as (select date_id, year(date) as year, unnest(list_transform(list_filter(regexp_extract_all(text, '{_P}'),
+    lambda w: regexp_matches(w, '\\p{{L}}')), lambda w: lower(replace(w, '’', '''')))) as word from entries),
+    bag as (select date_id, year, word, count(*) as n from bag_all group by all),
+    catalogue as (select word, sum(n)::bigint as total, count(*) as entries from bag group by word),
+    stats as (select e.date_id, year(e.date) as year, kind, coalesce(sum(n), 0)::bigint as words, count(word) as unique_words,
+    any_value(length(text)) as chars from entries e left join bag b on e.date_id = b.date_id group by 1, 2, 3)"""
+_ENTRIES, _BAG = f"with {ENTRIES_SQL} ", f"with {ENTRIES_SQL}, {_WORDS_SQL} "
+
+QUERIES: dict = {}
+ORACLE: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    def put(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLE[f.__name__] = sql
+        return f
+
+    return put
+
+
+def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return F08_ranked_search(spark, sf_dir)
+
+
+# -- words ------------------------------------------------------------------------------------------------------
+
+
+@query(_BAG + "select date_id, word, n from bag")
+def X03_entry_words(spark, sf_dir):
+    return catalogue.entry_words(entries(spark, sf_dir))
+
+
+@query(_BAG + "select date_id, words, unique_words, chars from stats")
+def X04_entry_stats(spark, sf_dir):
+    return catalogue.entry_stats(entries(spark, sf_dir))
+
+
+@query(_BAG + "select word, total, entries from catalogue")
+def W04_words(spark, sf_dir):
+    return catalogue.words(catalogue.entry_words(entries(spark, sf_dir)))
+
+
+@query(_BAG + "select word, total, entries from catalogue where word like 'th%' and total >= 5 order by total desc, word limit 30 offset 10")
+def L04_word_listing(spark, sf_dir):
+    return catalogue.word_listing(W04_words(spark, sf_dir), pattern="th*", min_total=5, offset=10)
+
+
+@query(
+    _BAG + """, a as (select count(*) as entries, sum(words)::bigint as words, min(words) as shortest, max(words) as longest, sum(chars)::bigint as chars from stats),
+    b as (select count(*) as vocabulary, count(*) filter (where total = 1) as used_once from catalogue)
+    select *, round(words / entries, 6) as mean_words from a, b"""
+)
+def A03_text_summary(spark, sf_dir):
+    e = entries(spark, sf_dir)
+    return insight.text_summary(catalogue.entry_stats(e), catalogue.words(catalogue.entry_words(e)))
+
+
+@query(_BAG + ", r as (select words, row_number() over (order by words) - 1 as place, count(*) over () as n from stats), p as (select unnest([10, 50, 90, 99]) as p) select p, words as value from r, p where place = n * p // 100")
+def A04_percentile_words(spark, sf_dir):
+    return catalogue.nearest_rank(catalogue.entry_stats(entries(spark, sf_dir)), "words", (10, 50, 90, 99))
+
+
+@query(
+    _BAG + """, bands as (select unnest([0, 1, 2, 3, 4, 5, 6]) as band, unnest([0, 50, 100, 150, 200, 300, 500]) as low),
+    c as (select (words >= 50)::int + (words >= 100)::int + (words >= 150)::int + (words >= 200)::int + (words >= 300)::int + (words >= 500)::int as band, count(*) as entries from stats group by 1)
+    select bands.band, low, coalesce(entries, 0) as entries from bands left join c on bands.band = c.band where bands.band <= (select max(band) from c)"""
+)
+def A05_length_buckets(spark, sf_dir):
+    return catalogue.length_buckets(catalogue.entry_stats(entries(spark, sf_dir)))
+
+
+@query(_BAG + "select word, entries from catalogue where entries > floor((select count(*) from entries) * 0.2) order by entries desc, word limit 200")
+def G02_given_words(spark, sf_dir):
+    e = entries(spark, sf_dir)
+    return catalogue.given_words(catalogue.entry_words(e), e.count(), 0.2)
+
+
+@query()
+def X28_word_hashes(spark, sf_dir):
+    return W04_words(spark, sf_dir).select("word", hashing.salted(F.col("word"), 1).alias("hash"))
+
+
+# -- statistics -------------------------------------------------------------------------------------------------
+
+
+@query(_ENTRIES + """select count(*) as entries, min(date) as first, max(date) as last, sum(copyright::int)::bigint as copyrighted,
+    (max(date) - min(date) + 1 - count(distinct date))::bigint as gaps from entries""")
+def A01_stats(spark, sf_dir):
+    return insight.totals(entries(spark, sf_dir))
+
+
+@query(_ENTRIES + "select kind, count(*) as entries, count(*) / sum(count(*)) over () as share from entries group by kind")
+def A25_kind_share(spark, sf_dir):
+    from pyspark.sql import Window as W
+
+    counts = entries(spark, sf_dir).groupBy("kind").agg(F.count("*").alias("entries"))
+    return counts.withColumn("share", F.col("entries") / F.sum("entries").over(W.partitionBy()))
+
+
+@query(
+    _BAG + """, base as (select year, count(*) as entries, count(*) filter (where kind = 'image') as images, count(*) filter (where kind = 'video') as videos, sum(words)::bigint as words from stats group by year),
+    d as (select year, count(distinct word) as distinct_words from bag group by year),
+    f as (select word, min(year) as year from bag group by word), n as (select year, count(*) as new_words from f group by year)
+    select base.*, coalesce(distinct_words, 0) as distinct_words, coalesce(new_words, 0) as new_words from base left join d using (year) left join n using (year)"""
+)
+def A07_timeline(spark, sf_dir):
+    e = entries(spark, sf_dir)
+    return insight.timeline(e, catalogue.entry_stats(e), catalogue.entry_words(e))
+
+
+@query(_ENTRIES + "select year(date)::int as year, month(date)::int as month, count(*) as entries from entries group by 1, 2")
+def A10_coverage(spark, sf_dir):
+    return insight.coverage(entries(spark, sf_dir))
+
+
+@query(_ENTRIES + "select year(date)::int as year, month(date)::int as month, count(*) as entries from entries group by rollup (year(date), month(date))")
+def A11_coverage_totals(spark, sf_dir):
+    return insight.coverage_totals(entries(spark, sf_dir))
+
+
+_DAYS = "with d as (select distinct o_orderdate::date as date from orders), s as (select unnest(generate_series(min(date), max(date), interval 1 day))::date as day from d), m as (select day from s anti join d on day = date) "
+
+
+def _order_days(spark, sf_dir):
+    return read(spark, sf_dir, "orders").select(F.to_date("o_orderdate").alias("date"))
+
+
+@query(_DAYS + "select day from m")
+def J11_missing_days(spark, sf_dir):
+    return insight.missing_days(_order_days(spark, sf_dir))
+
+
+@query(_DAYS + ", i as (select day, day - row_number() over (order by day)::int as island from m) select min(day) as first, max(day) as last, count(*) as days from i group by island")
+def N02_gap_runs(spark, sf_dir):
+    return insight.gap_runs(J11_missing_days(spark, sf_dir))
+
+
+# -- listings ---------------------------------------------------------------------------------------------------
+
+
+@query(_ENTRIES + "select date_id, date, title, host, kind from entries where date >= date '1995-07-01' and kind in ('image', 'video') and copyright = true")
+def P02_filtered(spark, sf_dir):
+    return insight.filtered(entries(spark, sf_dir), first="1995-07-01", kinds=("image", "video"), copyright=True).select("date_id", "date", "title", "host", "kind")
+
+
+@query(_ENTRIES + "select date_id, date from entries where date <= date '1997-01-01' order by date desc limit 31")
+def L01_keyset_page(spark, sf_dir):
+    return insight.keyset_page(entries(spark, sf_dir).select("date_id", "date"), cursor="1997-01-01")
+
+
+@query(_ENTRIES + "select date_id, date from entries where month(date) = 7 and day(date) = 20")
+def P08_on_this_day(spark, sf_dir):
+    return insight.on_this_day(entries(spark, sf_dir), 7, 20).select("date_id", "date")
+
+
+@query(_ENTRIES + ", w as (select unnest([7, 3, 99999999, 5]) as date_id, unnest([0, 1, 2, 3]) as pos) select pos, date_id, host from entries join w using (date_id)")
+def S07_in_order(spark, sf_dir):
+    return insight.in_order(entries(spark, sf_dir), [7, 3, 99999999, 5]).select("pos", "date_id", "host")
+
+
+@query(_BAG + "select date_id, words from stats order by words desc, date_id limit 1")
+def L06_longest(spark, sf_dir):
+    return catalogue.entry_stats(entries(spark, sf_dir)).orderBy(F.desc("words"), "date_id").limit(1).select("date_id", "words")
+
+
+# -- links ------------------------------------------------------------------------------------------------------
+
+_LINKS = r"""with a as (select page_id, url, unnest(regexp_extract_all(html, '<a href="[^"]*">[^<]*</a>')) as a, generate_subscripts(regexp_extract_all(html, '<a href="[^"]*">[^<]*</a>'), 1) as pos from pages),
+    b as (select page_id, pos, regexp_extract(a, 'href="([^"]*)"', 1) as href, trim(regexp_replace(regexp_extract(a, '>([^<]*)<', 1), '\s+', ' ', 'g')) as anchor, regexp_extract(url, '^(https?://[^/?#]+)', 1) as base from a),
+    c as (select page_id, pos, anchor, case when regexp_matches(href, '^https?://') then href when starts_with(href, '/') then base || href end as whole from b),
+    d as (select *, regexp_replace(regexp_replace(whole, '^https?://', ''), '#.*$', '') as bare from c where whole is not null),
+    e as (select *, lower(regexp_extract(bare, '^([^/?]*)', 1)) as authority, regexp_extract(bare, '^[^/?]*(.*)$', 1) as rest from d),
+    f as (select *, regexp_replace(regexp_extract(rest, '^([^?]*)', 1), '/+$', '') as path, regexp_extract(rest, '(\?.*)$', 1) as q from e),
+    links as (select page_id, authority || case path when '' then '/' else path end || q as key, max(regexp_extract(whole, '^(https?)', 1)) as scheme,
+        min(regexp_replace(lower(regexp_extract(whole, '^https?://([^/?#:]+)', 1)), '^www\.|\.$', '', 'g')) as host, arg_min(anchor, pos) as anchor, count(*) as n from f group by 1, 2),
+    n as (select key, anchor, count(*) as c from links where anchor <> '' group by 1, 2),
+    l as (select key, anchor as label from n qualify row_number() over (partition by key order by c desc, length(anchor), anchor) = 1),
+    resources as (select key, max(scheme) as scheme, min(host) as host, sum(n)::bigint as refs, count(*) as entries, min(page_id) as first_id, max(page_id) as last_id, any_value(label) as label from links left join l using (key) group by key) """
+
+
+@query(_LINKS + "select page_id, key, scheme, host, anchor, n from links")
+def X22_page_links(spark, sf_dir):
+    return catalogue.page_links(read(spark, sf_dir, "pages"))
+
+
+@query(_LINKS + "select * from resources")
+def W05_resources(spark, sf_dir):
+    return catalogue.resources(X22_page_links(spark, sf_dir))
+
+
+@query(_LINKS + "select host, count(*) as links, sum(refs)::bigint as refs from resources group by host order by refs desc, host limit 20")
+def A12_hosts(spark, sf_dir):
+    return catalogue.hosts(W05_resources(spark, sf_dir))
+
+
+# -- search -----------------------------------------------------------------------------------------------------
+
+_TOKENS = _ENTRIES + """, t as (select date_id, list_transform(regexp_extract_all(title, '[\\p{L}\\p{N}\\p{M}]+'), lambda x: lower(x)) as a,
+    list_transform(regexp_extract_all(text, '[\\p{L}\\p{N}\\p{M}]+'), lambda x: lower(x)) as b from entries) """
+
+
+@query(
+    _TOKENS + """, c as (select date_id, len(a) + len(b) as d, 10 * len(list_filter(a, lambda x: x = 'the')) + len(list_filter(b, lambda x: x = 'the')) as f1,
+        10 * len(list_filter(a, lambda x: starts_with(x, 'thea'))) + len(list_filter(b, lambda x: starts_with(x, 'thea'))) as f2,
+        len(list_filter(a, lambda x: x = 'idiot')) + len(list_filter(b, lambda x: x = 'idiot')) as f3 from t),
+    s as (select count(*) as n, avg(d) as m, count(*) filter (where f1 > 0) as n1, count(*) filter (where f2 > 0) as n2 from c),
+    w as (select *, case when ln((n - n1 + 0.5) / (n1 + 0.5)) <= 0 then 1e-6 else ln((n - n1 + 0.5) / (n1 + 0.5)) end as i1, case when ln((n - n2 + 0.5) / (n2 + 0.5)) <= 0 then 1e-6 else ln((n - n2 + 0.5) / (n2 + 0.5)) end as i2 from s)
+    select date_id, round(-(i1 * f1 * 2.2 / (f1 + 1.2 * (0.25 + 0.75 * d / m)) + i2 * f2 * 2.2 / (f2 + 1.2 * (0.25 + 0.75 * d / m))), 6) as score from c, w where f1 > 0 and f2 > 0 and f3 = 0"""
+)
+def F08_ranked_search(spark, sf_dir):
+    return search.search(entries(spark, sf_dir), "the -idiot thea", WEIGHTS).select("date_id", F.round("score", 6).alias("score"))
+
+
+@query(
+    _TOKENS + """, c as (select date_id, ' ' || array_to_string(a, ' ') || ' ' as a, ' ' || array_to_string(b, ' ') || ' ' as b from t)
+    select date_id, contains(a, ' of the ') or contains(a, ' scum ') as hits_title, contains(b, ' of the ') or contains(b, ' scum ') as hits_text
+    from c where contains(a, ' of the ') or contains(b, ' of the ') or contains(a, ' scum ') or contains(b, ' scum ')"""
+)
+def F07_phrase_match(spark, sf_dir):
+    return search.search(entries(spark, sf_dir), '"of the" OR "scum"', WEIGHTS).select("date_id", "hits_title", "hits_text")
+
+
+# -- pictures ---------------------------------------------------------------------------------------------------
+
+
+@query(
+    """with p as (select distinct list_sum(list_transform(embedding, lambda x, i: case when x <= 0 then 0 when i = 64 then -9223372036854775808 else 2::hugeint ** (i - 1) end))::hugeint::bigint as print from embeddings),
+    d as (select print from p where bit_count(print) between 4 and 60)
+    select x.print as a, y.print as b, bit_count(xor(x.print, y.print))::int as distance from d x join d y on x.print < y.print and bit_count(xor(x.print, y.print)) <= 8"""
+)
+def H03_near_prints(spark, sf_dir):
+    return pictures.near_pairs(pictures.sign_prints(read(spark, sf_dir, "embeddings")))
+
+
+@query()
+def H04_print_groups(spark, sf_dir):
+    near = H03_near_prints(spark, sf_dir)
+    return pictures.groups(near)
+
+
+_RUNS = "with runs as (select conv_id as grp, turn as date_id, role, text as title from conversations), l as (select *, lag(date_id) over w as d, lag(role) over w as r, lag(title) over w as t, row_number() over w as k from runs window w as (partition by grp order by date_id)) "
+
+
+@query(_RUNS + "select grp, date_id, date_id - d as days_since, k > 1 and role is distinct from r as role_changed, k > 1 and title is distinct from t as title_changed from l")
+def N01_appearances(spark, sf_dir):
+    return pictures.appearances(_runs(spark, sf_dir), {"role_changed": "role", "title_changed": "title"})
+
+
+def _runs(spark, sf_dir):
+    return read(spark, sf_dir, "conversations").select(F.col("conv_id").alias("grp"), F.col("turn").alias("date_id"), "role", F.col("text").alias("title"))
+
+
+@query(_RUNS + "select grp, count(*) as shown, min(date_id) as first, max(date_id) as last, count(distinct title) as titles from runs group by grp")
+def A14_picture_groups(spark, sf_dir):
+    return pictures.group_listing(_runs(spark, sf_dir))
+
+
+# -- ranking and state ------------------------------------------------------------------------------------------
+
+_VOTES = f"with {VOTES_SQL} "
+
+
+@query(_VOTES + """select "left", "right", count(*)::double as weight, sum(case outcome when 'left' then 1.0 when 'right' then 0.0 else 0.5 end)::double as won, count(*) as votes from votes where "left" <> "right" group by 1, 2""")
+def R02_pair_sums(spark, sf_dir):
+    return ranking.pair_sums(votes(spark, sf_dir))
+
+
+@query()
+def R01_fit(spark, sf_dir):
+    return ranking.fit(votes(spark, sf_dir)).select("picture", F.round("score", 9).alias("score"), F.round("stderr", 9).alias("stderr"), "comparisons")
+
+
+@query()
+def R07_tiers(spark, sf_dir):
+    return ranking.tiers(ranking.board(ranking.fit(votes(spark, sf_dir)), 1))
+
+
+@query(_VOTES + """, b as (select "left" as picture from votes union all select "right" from votes) select picture, count(*) as shown from b group by 1 having count(*) >= 500""")
+def A20_capped(spark, sf_dir):
+    return ranking.capped(votes(spark, sf_dir), 500)
+
+
+@query(_VOTES + "select vote_id, voter, count(*) over (partition by voter order by voted_at range between interval 1 hour preceding and current row) as used from votes")
+def T07_budgets(spark, sf_dir):
+    return ranking.budgets(votes(spark, sf_dir))
+
+
+@query("select event_type, max(ts) as at, arg_max(value, (ts, value)) as value from events group by 1")
+def W13_latest_values(spark, sf_dir):
+    return ledger.latest(read(spark, sf_dir, "events"), "event_type", "ts", "value")
+
+
+_NOTICES = "with n as (select event_type as topic, user_id::varchar as key, event_id as id from events where value >= 10), s as (select distinct event_type as topic, user_id::varchar as key from events where value < 1) "
+
+
+@query(_NOTICES + "select topic, key, min(id) as id from n anti join s using (topic, key) group by 1, 2")
+def J12_unsent(spark, sf_dir):
+    e = read(spark, sf_dir, "events").select(F.col("event_type").alias("topic"), F.col("user_id").cast("string").alias("key"), F.col("event_id").alias("id"), "value")
+    return ledger.unsent(e.where("value >= 10").drop("value"), e.where("value < 1").select("topic", "key").distinct())
+
+
+@query("select event_type, count(*) filter (where value >= 10) as high, count(*) filter (where value < 1) as low, sum((props->>'k')::bigint)::bigint as k from events group by 1")
+def A19_filtered_counts(spark, sf_dir):
+    e = read(spark, sf_dir, "events").withColumn("k", F.from_json("props", "k long")["k"])
+    return e.groupBy("event_type").agg(F.count_if(F.col("value") >= 10).alias("high"), F.count_if(F.col("value") < 1).alias("low"), F.sum("k").alias("k"))
 
 
 def queries() -> dict:
-    return {}
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict:
-    return {}
+    return dict(ORACLE)
