@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 #: A word: letters and numbers; apostrophes and hyphens join inside it, points and commas join numbers only.
-WORD = r"(?:\p{N}+(?:[,.]\p{N}+)*|\p{L})(?:['’-]?(?:\p{N}+(?:[,.]\p{N}+)*|\p{L}))*"
+WORD = r"(?:\p{N}+(?:[,.]\p{N}+)*|\p{L}+)(?:['’-]?(?:\p{N}+(?:[,.]\p{N}+)*|\p{L}+))*"
 #: A token of the search index.
 TOKEN = r"[\p{L}\p{N}\p{M}]+"
 EPOCH = "1995-06-16"
