@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import hashing, text
-from ..operators import catalogue, insight, pictures, ranking, search
+from ..functions import hashing, sky, text
+from ..operators import catalogue, insight, joins, mutation, pictures, puzzles, ranking, search
 from ..sources.tables import ENTRIES_SQL, VOTES_SQL, entries, read, votes
 from ..streaming import ledger
 
@@ -322,6 +322,96 @@ def A19_filtered_counts(spark, sf_dir):
     return e.groupBy("event_type").agg(F.count_if(F.col("value") >= 10).alias("high"), F.count_if(F.col("value") < 1).alias("low"), F.sum("k").alias("k"))
 
 
+# -- joins and tables that change ---------------------------------------------------------------------------------
+
+
+@query("""with a as (select event_id as purchase, ts as bought_at from events where event_type = 'purchase'), b as (select event_id as signup, ts as signup_at from events where event_type = 'signup')
+    select purchase, signup from a, b where abs(epoch_us(bought_at) - epoch_us(signup_at)) < 600 * 1000000""")
+def J17_within_ten_minutes(spark, sf_dir):
+    e = read(spark, sf_dir, "events")
+    a = e.where("event_type = 'purchase'").select(F.col("event_id").alias("purchase"), F.col("ts").alias("at"))
+    b = e.where("event_type = 'signup'").select(F.col("event_id").alias("signup"), F.col("ts").alias("signup_at"))
+    return joins.within(a, b, "at", "signup_at", 600).select("purchase", "signup")
+
+
+@query(_DAYS + """, i as (select day, day - row_number() over (order by day)::int as island from m), r as (select min(day) - 2 as first, max(day) + 2 as last from i group by island)
+    select o_orderkey, first from orders, r where o_orderdate::date between first and last""")
+def J16_orders_near_gaps(spark, sf_dir):
+    runs = N02_gap_runs(spark, sf_dir).select(F.date_sub("first", 2).alias("first"), F.date_add("last", 2).alias("last"))
+    orders = read(spark, sf_dir, "orders").select("o_orderkey", F.to_date("o_orderdate").alias("day"))
+    return joins.containing(orders, runs, "day", "first", "last").select("o_orderkey", "first")
+
+
+@query("""with l as (select event_id, user_id, ts from events where event_type = 'purchase'), r as (select user_id, ts, value from events where event_type = 'view')
+    select event_id, (select arg_max(value, (r.ts, value)) from r where r.user_id = l.user_id and r.ts <= l.ts) as last_view from l""")
+def J18_last_view(spark, sf_dir):
+    e = read(spark, sf_dir, "events")
+    left = e.where("event_type = 'purchase'").select("event_id", "user_id", "ts")
+    right = e.where("event_type = 'view'").select("user_id", F.col("ts").alias("seen"), F.col("value").alias("last_view"))
+    return joins.as_of(left, right, "user_id", "ts", "seen", "last_view").select("event_id", "last_view")
+
+
+@query("""select coalesce(c.c_custkey, o.o_custkey) as c_custkey, case when o.o_custkey is not null then o.total else c.c_acctbal end as c_acctbal, coalesce(c.c_name, 'new') as c_name
+    from customer c full join (select o_custkey, max(o_totalprice) as total from orders group by 1) o on c.c_custkey = o.o_custkey""")
+def W01_upsert(spark, sf_dir):
+    old = read(spark, sf_dir, "customer").select("c_custkey", "c_acctbal", "c_name")
+    new = read(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.max("o_totalprice").alias("c_acctbal")).withColumn("c_name", F.lit("new"))
+    return mutation.upsert(old, new, "c_custkey", preserve=("c_name",))
+
+
+@query("""with a as (select user_id as date_id, ts as tried, case when event_type = 'error' then 500 else 200 end as status, md5(props) as sha256, case when event_type = 'error' then props end as error from events)
+    select date_id, arg_max(status, tried) as status, arg_max(sha256, tried) filter (where status = 200) as sha256, max(tried) filter (where status = 200) as fetched_at,
+    (select b.error from a b where b.date_id = a.date_id order by tried desc limit 1) as error from a group by date_id""")
+def W10_fetch_ledger(spark, sf_dir):
+    bad = F.col("event_type") == "error"
+    attempts = read(spark, sf_dir, "events").select(
+        F.col("user_id").alias("date_id"), F.col("ts").alias("at"), F.when(bad, 500).otherwise(200).alias("status"), F.md5("props").alias("sha256"), F.when(bad, F.col("props")).alias("error")
+    )
+    return mutation.fetch_ledger(attempts)
+
+
+@query("""with d as (select distinct event_type as game, ts::date as day from events where value > 60), i as (select game, day, day - (row_number() over (partition by game order by day))::int as island from d)
+    select game, min(day) as first, max(day) as last, count(*) as days from i group by game, island""")
+def A24_streaks(spark, sf_dir):
+    played = read(spark, sf_dir, "events").where("value > 60").select(F.col("event_type").alias("game"), F.to_date("ts").alias("day"))
+    return puzzles.streaks(played)
+
+
+@query(_BAG + "select date_id from stats where words between 90 and 200 and kind in ('image', 'video')")
+def G04_text_pool(spark, sf_dir):
+    e = entries(spark, sf_dir)
+    return puzzles.text_pool(e, catalogue.entry_stats(e))
+
+
+@query(_ENTRIES + "select date_id from entries order by sha256('day 1:' || date_id), date_id limit 12")
+def G01_daily_draw(spark, sf_dir):
+    return puzzles.draw(entries(spark, sf_dir).select("date_id"), "day 1", 12)
+
+
+@query()
+def G03_cloze(spark, sf_dir):
+    given = puzzles.given_set(G02_given_words(spark, sf_dir))
+    return puzzles.cloze(entries(spark, sf_dir), given, 7)
+
+
+@query("select id, id * 6 * 3600 / 86400.0 + 2461041.5 as jd from range(400) t(id)")
+def K01_julian_dates(spark, sf_dir):
+    at = F.timestamp_seconds(F.lit(1767225600) + F.col("id") * 6 * 3600)
+    return spark.range(400).select("id", sky.julian_date(at).alias("jd"))
+
+
+@query()
+def K05_syzygies(spark, sf_dir):
+    k = (F.col("id") / 2).alias("k")
+    return spark.range(-600, 1400).select(k).select("k", sky.syzygy_instant(F.col("k")).alias("at"))
+
+
+@query()
+def K06_moon_days(spark, sf_dir):
+    e = entries(spark, sf_dir).select("date_id", sky.julian_date(F.col("date").cast("timestamp")).alias("jd"))
+    return e.select("date_id", F.round(sky.illumination(F.col("jd")), 6).alias("lit"), sky.phase_name(F.col("jd")).alias("phase"), F.round(sky.sun_longitude(F.col("jd")), 5).alias("sun"))
+
+
 def queries() -> dict:
     return dict(QUERIES)
 
