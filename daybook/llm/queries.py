@@ -75,6 +75,20 @@ ORACLE = {
             case when payload_bytes >= 1000 and page_id < final then final end as refers_to
         from last
     """,
+    "op8_near_duplicates": r"""
+        with recursive words as (
+            select doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') as w from documents),
+        places as (select doc_id, w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) as i from words where len(w) > 0),
+        sets as (select distinct doc_id, array_to_string(w[i:i + 4], ' ') as shingle from places),
+        sizes as (select doc_id, count(*) as n from sets group by doc_id),
+        shared as (select x.doc_id as a, y.doc_id as b, count(*) as i from sets x join sets y on x.shingle = y.shingle and x.doc_id < y.doc_id group by all),
+        links as (select a, b from shared join sizes x on x.doc_id = a join sizes y on y.doc_id = b where 100 * i >= 75 * (x.n + y.n - i)),
+        pairs as (select a, b from links union all select b, a from links),
+        reach as (select distinct a as doc_id, a as other from pairs union select reach.doc_id, pairs.b from reach join pairs on pairs.a = reach.other),
+        lowest as (select doc_id, min(other) as lowest from reach group by doc_id)
+        select d.doc_id, coalesce(n, 0) as n_shingles, coalesce(lowest, d.doc_id) as component_id, coalesce(lowest, d.doc_id) = d.doc_id as kept
+        from documents d left join sizes s on s.doc_id = d.doc_id left join lowest l on l.doc_id = d.doc_id
+    """,
 }
 
 
