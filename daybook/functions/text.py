@@ -18,6 +18,20 @@ def words(text: Column) -> Column:
     return F.transform(F.filter(found, lambda w: w.rlike(r"\p{L}")), lambda w: F.lower(F.replace(w, F.lit("’"), F.lit("'"))))
 
 
+#: Abbreviations whose point ends no sentence.
+ABBREVIATIONS = ("dr", "mr", "mrs", "ms", "st", "prof", "vs", "etc", "no", "fig", "figs", "univ", "inc", "jr", "sr", "mt", "approx", "ca", "est", "al")
+#: What stands before a point (and closing marks) that the end of the text, or space and no small letter, follows.
+_END = r"(?U)(\S*?)[.!?][.!?\"')\]”]*(?=\s+[^\s\p{Ll}]|\z)"
+
+
+def sentences(text: Column) -> Column:
+    """Number of sentences: single letters and abbreviations end none, a text with a letter or number has one at least."""
+    before = F.regexp_extract_all(text, F.lit(_END), F.lit(1))
+    plain = lambda w: F.lower(F.regexp_replace(w, r"[^\p{L}\p{N}]", ""))
+    ends = F.size(F.filter(before, lambda w: (F.char_length(w) != 1) & ~plain(w).isin(*ABBREVIATIONS))).cast("long")
+    return F.when(text.isNull(), F.lit(0).cast("long")).when(ends > 0, ends).otherwise(text.rlike(r"[\p{L}\p{N}]").cast("long"))
+
+
 def tokens(text: Column) -> Column:
     """Index tokens of a text, in order."""
     return F.transform(F.regexp_extract_all(text, F.lit(TOKEN), F.lit(0)), lambda t: F.lower(t))

@@ -52,6 +52,11 @@ def X04_entry_stats(spark, sf_dir):
     return catalogue.entry_stats(entries(spark, sf_dir))
 
 
+@query()
+def X05_sentences(spark, sf_dir):
+    return entries(spark, sf_dir).select("date_id", text.sentences(F.col("text")).alias("sentences"))
+
+
 @query(_BAG + "select word, total, entries from catalogue")
 def W04_words(spark, sf_dir):
     return catalogue.words(catalogue.entry_words(entries(spark, sf_dir)))

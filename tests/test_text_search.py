@@ -25,6 +25,12 @@ def test_words(spark, given, found):
     assert values(spark, text.words, given) == [found]
 
 
+def test_sentences(spark):
+    given = {"Dr. J. Smith looked up. Then he left.": 2, "It ended.. Then it began?! And stopped...": 3, "no point": 1, "": 0, "...": 1, "It is 2.5 m. and small. ": 1, 'He said "Go!" Then left. x': 1}
+    assert values(spark, text.sentences, *given) == list(given.values())
+    assert values(spark, text.sentences, None) == [0]
+
+
 def test_keys_ignore_scheme_fragment_and_closing_slash(spark):
     urls = ["http://www.Example.org/", "https://www.example.org/#top", "https://www.example.org", "http://a.org:8080/x/?id=1", "http://a.org:8080/x?id=2"]
     assert values(spark, text.link_key, *urls) == ["www.example.org/"] * 3 + ["a.org:8080/x?id=1", "a.org:8080/x?id=2"]
