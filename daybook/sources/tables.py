@@ -12,10 +12,16 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(scan: DataFrame) -> DataFrame:
+    """A scan of fewer splits than cores, dealt over the cores; any larger scan stays as it is, without a shuffle."""
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    return scan.repartition(cores) if scan.rdd.getNumPartitions() < cores else scan
+
+
 def entries(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(date_id, date, title, text, host, kind, copyright): a document per day, its first sentence as the title."""
     kind = F.when(F.col("lang") == "en", "image").when(F.col("lang") == "de", "video").otherwise("other")
-    return read(spark, sf_dir, "documents").select(
+    return spread(read(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")).select(
         F.col("doc_id").alias("date_id"), date_of(F.col("doc_id")).alias("date"), F.substring_index("text", ".", 1).alias("title"),
         "text", F.col("source").alias("host"), kind.alias("kind"), (F.col("lang") == "en").alias("copyright"),
     )
