@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import hashing, sky, text
 from ..operators import catalogue, insight, joins, mutation, pictures, puzzles, ranking, search
+from ..sources import pages as page_source
 from ..sources.tables import ENTRIES_SQL, VOTES_SQL, entries, read, votes
 from ..streaming import ledger
 
@@ -215,6 +216,16 @@ def A12_hosts(spark, sf_dir):
     return catalogue.hosts(W05_resources(spark, sf_dir))
 
 
+@query()
+def X19_parsed_pages(spark, sf_dir):
+    return page_source.parse_pages(read(spark, sf_dir, "pages").select("page_id", "url", "html")).drop("url", "html")
+
+
+@query("select page_id, nullif(trim(regexp_replace(replace(regexp_extract(html, '<title>([^<]*)</title>', 1), '&amp;', '&'), '\\s+', ' ', 'g')), '') as title_raw from pages")
+def X13_page_titles(spark, sf_dir):
+    return X19_parsed_pages(spark, sf_dir).select("page_id", "title_raw")
+
+
 # -- search -----------------------------------------------------------------------------------------------------
 
 _TOKENS = _ENTRIES + """, t as (select date_id, list_transform(regexp_extract_all(title, '[\\p{L}\\p{N}\\p{M}]+'), lambda x: lower(x)) as a,
@@ -411,6 +422,20 @@ def K05_syzygies(spark, sf_dir):
     return spark.range(-600, 1400).select(k).select("k", sky.syzygy_instant(F.col("k")).alias("at"))
 
 
+@query()
+def K02_turnings(spark, sf_dir):
+    years = spark.range(1900, 2100).withColumnRenamed("id", "year")
+    at = F.posexplode(F.array(*[sky.turning_instant(F.col("year"), q) for q in range(4)])).alias("quarter", "at")
+    return years.select("year", at)
+
+
+@query()
+def K07_eclipses(spark, sf_dir):
+    k = spark.range(-600, 1400).select((F.col("id") / 2).alias("k"))
+    found = k.select("k", sky.eclipse(F.col("k")).alias("kind")).where("kind is not null")
+    return found.select("k", "kind", sky.syzygy_instant(F.col("k")).alias("at"), (sky.is_supermoon(F.col("k")) & (F.pmod("k", F.lit(1.0)) > 0.25)).alias("supermoon"))
+
+
 @query()
 def K06_moon_days(spark, sf_dir):
     e = entries(spark, sf_dir).select("date_id", sky.julian_date(F.col("date").cast("timestamp")).alias("jd"))

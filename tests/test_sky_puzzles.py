@@ -53,3 +53,18 @@ def test_streaks_and_scores(spark):
     got = {(r.game, r["first"].day, r.days) for r in puzzles.streaks(spark.createDataFrame(days, "game string, day date")).collect()}
     assert got == {("a", 1, 3), ("a", 7, 1), ("b", 3, 1)}
     assert spark.range(1).select(puzzles.date_score(F.lit(8.0), F.lit(100.0)).alias("s")).first().s == 500
+
+
+def test_turning_points_and_distance(spark):
+    one = spark.range(1).select(sky.turning_point(F.lit(1962), 1).alias("june"), sky.moon_distance(F.lit(2448724.5)).alias("km"), sky.turning_instant(F.lit(2026), 0).alias("march")).first()
+    assert abs(one.june - 2437837.39245) < 0.0001 and abs(one.km - 368409.7) < 5
+    assert abs((one.march - dt.datetime(2026, 3, 20, 14, 46)).total_seconds()) < 90
+
+
+def test_eclipses_of_two_years(spark):
+    k = spark.range(618, 668).select((F.col("id") / 2).alias("k"))
+    found = k.select(sky.eclipse(F.col("k")).alias("kind"), F.to_date(sky.syzygy_instant(F.col("k"))).cast("string").alias("day")).where("kind is not null").collect()
+    assert {(r.day, r.kind) for r in found if r.day >= "2025" and r.day < "2027"} == {
+        ("2025-03-14", "total lunar"), ("2025-03-29", "partial solar"), ("2025-09-07", "total lunar"), ("2025-09-21", "partial solar"),
+        ("2026-02-17", "annular solar"), ("2026-03-03", "total lunar"), ("2026-08-12", "total solar"), ("2026-08-28", "partial lunar"),
+    }
