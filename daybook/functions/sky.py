@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 UNIX_JD = 2440587.5
@@ -168,24 +168,37 @@ def moon_distance(jd: Column) -> Column:
     return 385000.56 + sum(terms, F.lit(0.0)) / 1000
 
 
-def is_supermoon(k: Column) -> Column:
-    """Whether the full moon of this lunation (``k`` and a half) is near."""
-    return moon_distance(syzygy(k)) < SUPERMOON_KM
+def eclipses(lunations: DataFrame) -> DataFrame:
+    """Adds ``kind``, ``at`` and ``supermoon`` for each lunation ``k``: new moons are whole, full moons have a half.
 
-
-def eclipse(k: Column) -> Column:
-    """Kind of the eclipse at new moon (whole ``k``: sun) or full moon (``k`` and a half: moon), null where there is none."""
+    ``kind`` is null without an eclipse; ``at`` is the instant of the syzygy.  Angles and sizes are columns of
+    their own, so that no series is written out twice in the plan.
+    """
+    k, e, f, sun, moon = F.col("k"), F.col("__e"), F.col("__f"), F.col("__sun"), F.col("__moon")
+    gamma, u, full = F.col("__gamma"), F.col("__u"), F.pmod(F.col("k"), F.lit(1.0)) > 0.25
     t = k / 1236.85
-    e = 1 - 0.002516 * t - 0.0000074 * t**2
-    sun, moon = 2.5534 + 29.10535670 * k - 0.0000014 * t**2, 201.5643 + 385.81693528 * k + 0.0107582 * t**2
     node = 124.7746 - 1.56375588 * k + 0.0020672 * t**2
-    f = 160.7108 + 390.67050284 * k - 0.0016118 * t**2 - 0.02665 * _sin(node)
+    angles = {
+        "__jd": syzygy(k),
+        "__e": 1 - 0.002516 * t - 0.0000074 * t**2,
+        "__sun": 2.5534 + 29.10535670 * k - 0.0000014 * t**2,
+        "__moon": 201.5643 + 385.81693528 * k + 0.0107582 * t**2,
+        "__f": 160.7108 + 390.67050284 * k - 0.0016118 * t**2 - 0.02665 * _sin(node),
+    }
     p = 0.2070 * e * _sin(sun) + 0.0024 * e * _sin(2 * sun) - 0.0392 * _sin(moon) + 0.0116 * _sin(2 * moon) - 0.0073 * e * _sin(moon + sun) + 0.0067 * e * _sin(moon - sun) + 0.0118 * _sin(2 * f)
     q = 5.2207 - 0.0048 * e * _cos(sun) + 0.0020 * e * _cos(2 * sun) - 0.3299 * _cos(moon) - 0.0060 * e * _cos(moon + sun) + 0.0041 * e * _cos(moon - sun)
-    gamma = F.abs((p * _cos(f) + q * _sin(f)) * (1 - 0.0048 * F.abs(_cos(f))))
-    u = 0.0059 + 0.0046 * e * _cos(sun) - 0.0182 * _cos(moon) + 0.0004 * _cos(2 * moon) - 0.0005 * _cos(sun + moon)
-    central = F.when(u < 0, "total solar").when(u > 0.0047, "annular solar").when(u < 0.00464 * F.sqrt(F.greatest(1 - gamma**2, F.lit(0.0))), "hybrid solar").otherwise("annular solar")
+    sizes = {
+        "__gamma": F.abs((p * _cos(f) + q * _sin(f)) * (1 - 0.0048 * F.abs(_cos(f)))),
+        "__u": 0.0059 + 0.0046 * e * _cos(sun) - 0.0182 * _cos(moon) + 0.0004 * _cos(2 * moon) - 0.0005 * _cos(sun + moon),
+    }
+    hybrid = (u <= 0.0047) & (u < 0.00464 * F.sqrt(F.greatest(1 - gamma**2, F.lit(0.0))))
+    central = F.when(u < 0, "total solar").when(hybrid, "hybrid solar").otherwise("annular solar")
     solar = F.when(gamma < 0.9972, central).when(gamma < 1.5433 + u, "partial solar")
     umbral, penumbral = (1.0128 - u - gamma) / 0.5450, (1.5573 + u - gamma) / 0.5450
     lunar = F.when(umbral >= 1, "total lunar").when(umbral > 0, "partial lunar").when(penumbral > 0, "penumbral lunar")
-    return F.when(F.abs(_sin(f)) > 0.36, None).when(F.pmod(k, F.lit(1.0)) > 0.25, lunar).otherwise(solar)
+    found = {
+        "kind": F.when(F.abs(_sin(f)) <= 0.36, F.when(full, lunar).otherwise(solar)),
+        "at": from_julian(F.col("__jd") - delta_t(2000 + k / 12.3685) / 86400),
+        "supermoon": full & (moon_distance(F.col("__jd")) < SUPERMOON_KM),
+    }
+    return lunations.withColumns(angles).withColumns(sizes).withColumns(found).drop(*angles, *sizes)

@@ -432,8 +432,7 @@ def K02_turnings(spark, sf_dir):
 @query()
 def K07_eclipses(spark, sf_dir):
     k = spark.range(-600, 1400).select((F.col("id") / 2).alias("k"))
-    found = k.select("k", sky.eclipse(F.col("k")).alias("kind")).where("kind is not null")
-    return found.select("k", "kind", sky.syzygy_instant(F.col("k")).alias("at"), (sky.is_supermoon(F.col("k")) & (F.pmod("k", F.lit(1.0)) > 0.25)).alias("supermoon"))
+    return sky.eclipses(k)
 
 
 @query()

@@ -379,7 +379,7 @@ def parse_pages(pages: DataFrame, markup: str = "html", url: str = "url") -> Dat
     out = {
         "title_raw": F.nullif(collapsed(p["page_title"]), F.lit("")),
         "explanation_text": F.trim(part(text, e["at"], e["to"])),
-        "explanation_html": sliced(tokens, e["at"], e["to"]),
+        "explanation_html": F.when(e.isNotNull(), sliced(tokens, e["at"], e["to"])),
         "credits": F.transform(c, credit),
         "has_copyright": F.exists(c, lambda s: F.contains(F.lower(s["role"]), F.lit("copyright"))),
         "license_url": F.get(F.filter(licence, lambda x: x != ""), F.lit(0)),
