@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame
+import math
+import uuid
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 Z = 1.96
 SIGMA, SIDE_SIGMA = 2.0, 1.0
-STEPS, TOLERANCE, DAMPING = 500, 1e-11, 0.5
+STEPS, TOLERANCE = 500, 1e-11
+#: How far conjugate gradients bring the squared rest down in a Newton step.
+FORCING = 1e-6
 FUNNEL = (10, 100, 600)
 
 
@@ -22,52 +25,153 @@ def pair_sums(votes: DataFrame) -> DataFrame:
     return rows.groupBy("left", "right").agg(F.sum("w").alias("weight"), F.sum("y").alias("won"), F.count("*").alias("votes"))
 
 
-def fit_pairs(pairs: pd.DataFrame, sigma: float = SIGMA) -> pd.DataFrame:
-    """Maximum a posteriori scores of one connected problem from its pair sums; damped diagonal Newton steps."""
-    ids = np.unique(np.concatenate([pairs["left"], pairs["right"]]))
-    a, b = np.searchsorted(ids, pairs["left"]), np.searchsorted(ids, pairs["right"])
-    w, won, n = pairs["weight"].to_numpy(float), pairs["won"].to_numpy(float), pairs["votes"].to_numpy(float)
-    theta, side, prior = np.zeros(len(ids)), 0.0, 0.0 if not np.isfinite(sigma) else sigma**-2
-    total = lambda at, x: np.bincount(at, weights=x, minlength=len(ids))
-    info = np.ones(len(ids))
+def fit(votes: DataFrame, sigma: float = SIGMA) -> DataFrame:
+    """(picture, score, stderr, comparisons, side_bias): maximum a posteriori scores of one connected problem.
+
+    Newton steps whose equations conjugate gradients solve, preconditioned by the diagonal.  A pass joins pairs with
+    the values of their pictures and sums per picture; the driver holds the side bias and a few sums only.  A pass
+    is written to the checkpoint folder.
+    """
+    prior, side_prior = 0.0 if not math.isfinite(sigma) else sigma**-2, SIDE_SIGMA**-2
+    pairs = _keep(pair_sums(votes))
+    seen = _both(pairs, {"n": F.col("votes")}, {"n": F.col("votes")}).groupBy("picture").agg(F.sum("n").alias("comparisons"))
+    at = _keep(seen.select("picture", "comparisons", F.lit(0.0).alias("theta"), F.lit(0.0).alias("was")))
+    side = side_was = 0.0
+    least = math.inf
     for _ in range(STEPS):
-        p = 1 / (1 + np.exp(-(theta[a] - theta[b] + side)))
-        residual, curve = won - w * p, w * p * (1 - p)
-        info = total(a, curve) + total(b, curve) + prior
-        step = (total(a, residual) - total(b, residual) - prior * theta) / np.maximum(info, 1e-12)
-        side_step = (residual.sum() - side / SIDE_SIGMA**2) / (curve.sum() + SIDE_SIGMA**-2)
-        theta, side = theta + DAMPING * step, side + DAMPING * side_step
-        if max(np.abs(step).max(initial=0), abs(side_step)) < TOLERANCE:
+        met = _keep(_slopes(pairs, at, side))
+        state = _keep(_start(met, at, prior))
+        whole = met.agg(F.sum("y").alias("y"), F.sum("c").alias("c"), F.sum("loss").alias("loss")).first()
+        sums = state.agg(F.sum(F.col("r") * F.col("d")).alias("rz"), F.max(F.abs("d")).alias("moved"), F.sum(F.col("theta") * F.col("theta")).alias("norm")).first()
+        if sums.moved is None:
             break
-    theta -= theta.mean()
-    count = total(a, n) + total(b, n)
-    return pd.DataFrame({"picture": ids, "score": theta, "stderr": 1 / np.sqrt(np.maximum(info, 1e-12)), "comparisons": count.astype(np.int64), "side_bias": side})
-
-
-def fit(votes: DataFrame, sigma: float = SIGMA) -> DataFrame:
-    """(picture, score, stderr, comparisons, side_bias): the fit reads one row per pair of pictures, not per vote."""
-    out = "picture long, score double, stderr double, comparisons long, side_bias double"
-    return pair_sums(votes).groupBy().applyInPandas(lambda pairs: fit_pairs(pairs, sigma), out)
+        slope, info = whole.y - side * side_prior, whole.c + side_prior
+        if max(sums.moved, abs(slope / info)) < TOLERANCE:
+            break
+        loss = whole.loss + (prior * sums.norm + side_prior * side * side) / 2
+        if loss > least + 1e-9 * abs(least):  # too far: half the way back
+            half = (F.col("theta") + F.col("was")) / 2
+            at, side = _keep(state.select("picture", "comparisons", half.alias("theta"), "was"), met, state, at), (side + side_was) / 2
+            continue
+        least = loss
+        x, d, r, rz = 0.0, slope / info, slope, sums.rz + slope * slope / info
+        goal = max(rz * FORCING, 1e-300)
+        by = {"alpha": 0.0, "beta": 0.0, "side": d}
+        for _ in range(STEPS):
+            state = _keep(_turn(met, state, by, prior), state)
+            sums = state.agg(
+                F.sum(F.col("d") * F.col("hd")).alias("dhd"), F.sum(F.col("r") * F.col("hd") / _info()).alias("rhd"), F.sum(F.col("hd") * F.col("hd") / _info()).alias("hdhd"), F.sum("q").alias("q")
+            ).first()
+            hd = sums.q + d * side_prior
+            dhd = sums.dhd + d * hd
+            if dhd <= 0:
+                by = {"alpha": 0.0, "beta": 0.0, "side": 0.0}
+                break
+            alpha = rz / dhd
+            rest = max(rz - 2 * alpha * (sums.rhd + r * hd / info) + alpha * alpha * (sums.hdhd + hd * hd / info), 0.0)
+            x, r = x + alpha * d, r - alpha * hd
+            d, rz, beta = r / info + rest / rz * d, rest, rest / rz
+            by = {"alpha": alpha, "beta": beta, "side": d}
+            if rz <= goal:
+                break
+        moved = F.col("theta") + F.col("x") + F.col("alpha") * F.col("d")
+        at = _keep(_with(state, by).select("picture", "comparisons", moved.alias("theta"), F.col("theta").alias("was")), met, state, at)
+        side, side_was = side + x, side
+    state = _keep(state.select("picture", "comparisons", "theta", "info"), pairs, met, state, at)
+    mean = state.agg(F.avg("theta")).first()[0] or 0.0
+    return state.select("picture", (F.col("theta") - mean).alias("score"), (1 / F.sqrt(_info())).alias("stderr"), "comparisons", F.lit(side).alias("side_bias"))
+
+
+def _info() -> Column:
+    return F.greatest(F.col("info"), F.lit(1e-12))
+
+
+def _keep(rows: DataFrame, *old: DataFrame) -> DataFrame:
+    """Written to the checkpoint folder and read again; ``old`` ones are deleted then.
+
+    A checkpoint would hand on the sizes that the optimiser estimates, which multiply with every join.
+    """
+    spark = rows.sparkSession
+    path = f"{spark.sparkContext.getCheckpointDir()}/ranking-{uuid.uuid4().hex}"
+    rows.write.parquet(path)
+    for df in old:
+        for name in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+            folder = spark._jvm.org.apache.hadoop.fs.Path(name)
+            folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+    return spark.read.schema(rows.schema).parquet(path)
+
+
+def _with(rows: DataFrame, values: dict[str, float]) -> DataFrame:
+    """Values of a pass as columns: data, where literals would have every pass compiled anew."""
+    row = ", ".join(f"{float(v)!r}D" for v in values.values())
+    return rows.crossJoin(F.broadcast(rows.sparkSession.sql(f"select * from values ({row}) as t({', '.join(values)})")))
+
+
+def _both(pairs: DataFrame, left: dict[str, Column], right: dict[str, Column]) -> DataFrame:
+    """A row for each side of a pair."""
+    sides = [F.struct(F.col(at).alias("picture"), *[c.alias(k) for k, c in given.items()]) for at, given in (("left", left), ("right", right))]
+    return pairs.select(F.explode(F.array(*sides)).alias("s")).select("s.*")
+
+
+def _meet(pairs: DataFrame, values: DataFrame) -> DataFrame:
+    """Pairs with the value ``v`` of their left picture as ``a`` and of their right one as ``b``."""
+    return pairs.join(values.select(F.col("picture").alias("left"), F.col("v").alias("a")), "left").join(values.select(F.col("picture").alias("right"), F.col("v").alias("b")), "right")
+
+
+def _slopes(pairs: DataFrame, at: DataFrame, side: float) -> DataFrame:
+    """(left, right, y, c, loss): residual, curvature and negative log likelihood of each pair."""
+    met = _with(_meet(pairs, at.select("picture", F.col("theta").alias("v"))), {"side": side})
+    met = met.withColumn("m", F.col("a") - F.col("b") + F.col("side")).withColumn("p", 1 / (1 + F.exp(-F.col("m"))))
+    loss = F.col("weight") * (F.greatest("m", F.lit(0.0)) + F.log1p(F.exp(-F.abs("m")))) - F.col("won") * F.col("m")
+    curve = F.col("weight") * F.col("p") * (1 - F.col("p"))
+    return met.select("left", "right", (F.col("won") - F.col("weight") * F.col("p")).alias("y"), curve.alias("c"), loss.alias("loss"))
+
+
+def _start(met: DataFrame, at: DataFrame, prior: float) -> DataFrame:
+    """The state of conjugate gradients before their first pass: solution x, rest r, direction d."""
+    sums = _both(met, {"y": F.col("y"), "c": F.col("c")}, {"y": -F.col("y"), "c": F.col("c")}).groupBy("picture").agg(F.sum("y").alias("y"), F.sum("c").alias("c"))
+    none = F.lit(0.0)
+    rows = at.join(sums, "picture").select("*", (F.col("y") - prior * F.col("theta")).alias("r"), (F.col("c") + prior).alias("info"))
+    return rows.select("picture", "comparisons", "theta", "was", none.alias("x"), "r", (F.col("r") / _info()).alias("d"), none.alias("hd"), "info")
+
+
+def _turn(met: DataFrame, state: DataFrame, by: dict[str, float], prior: float) -> DataFrame:
+    """Brings the state up to the pass and multiplies the new direction; ``q`` adds up to the side bias's part."""
+    rest = F.col("r") - F.col("alpha") * F.col("hd")
+    state = _with(state, by).select(
+        "picture", "comparisons", "theta", "was", (F.col("x") + F.col("alpha") * F.col("d")).alias("x"), rest.alias("r"),
+        F.when(F.col("alpha") == 0, F.col("d")).otherwise(rest / _info() + F.col("beta") * F.col("d")).alias("d"), "info",
+    )
+    q = F.col("c") * (F.col("a") - F.col("b") + F.col("side"))
+    part = _with(_meet(met, state.select("picture", F.col("d").alias("v"))), {"side": by["side"]}).select("left", "right", q.alias("q"))
+    rows = _both(part, {"h": F.col("q"), "q": F.col("q")}, {"h": -F.col("q"), "q": F.lit(0.0)})
+    sums = rows.groupBy("picture").agg(F.sum("h").alias("h"), F.sum("q").alias("q"))
+    return state.join(sums, "picture").withColumn("hd", F.col("h") + prior * F.col("d")).drop("h")
 
 
 def board(scores: DataFrame, least: int = 0) -> DataFrame:
-    """Adds lower, upper and place, best first by the lower bound."""
+    """Adds lower, upper and place, best first by the lower bound; places are counted in sorted ranges."""
     bound = scores.where(F.col("comparisons") >= least).withColumns({"lower": F.col("score") - Z * F.col("stderr"), "upper": F.col("score") + Z * F.col("stderr")})
-    return bound.withColumn("place", F.row_number().over(W.orderBy(F.desc("lower"), "picture")))
+    ranged = bound.repartitionByRange(F.desc("lower"), F.col("picture")).withColumn("__range", F.spark_partition_id()).checkpoint()
+    counts = ranged.groupBy("__range").agg(F.count("*").alias("n"))  # a row per range
+    before = F.coalesce(F.sum("n").over(W.orderBy("__range").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    inside = F.row_number().over(W.partitionBy("__range").orderBy(F.desc("lower"), "picture"))
+    placed = ranged.join(F.broadcast(counts.select("__range", before.alias("__before"))), "__range")
+    return placed.withColumn("place", (F.col("__before") + inside).cast("int")).drop("__range", "__before")
 
 
 def tiers(ranked: DataFrame) -> DataFrame:
-    """(picture, place, tier): a new tier begins where an upper bound is below the lower bound of the tier's leader."""
-
-    def scan(rows: pd.DataFrame) -> pd.DataFrame:
-        rows, tier, leader, out = rows.sort_values("place"), 0, None, []
-        for lower, upper in zip(rows["lower"], rows["upper"], strict=True):
-            if leader is None or upper < leader:
-                tier, leader = tier + 1, lower
-            out.append(tier)
-        return rows[["picture", "place"]].assign(tier=out)
-
-    return ranked.select("picture", "place", "lower", "upper").groupBy().applyInPandas(scan, "picture long, place int, tier int")
+    """(picture, place, tier): a new tier begins where an upper bound is below the lower bound of the tier's leader.
+
+    Leaders are found one after the other by a filtered aggregate, a job for each tier.
+    """
+    rows, leaders = ranked.select("picture", "place", "lower", "upper").checkpoint(), []
+    rest = rows
+    while (leader := rest.agg(F.min(F.struct("place", "lower")).alias("l")).first().l) is not None:
+        leaders.append(leader.place)
+        rest = rows.where(F.col("upper") < leader.lower)
+    tier = F.size(F.filter(F.array(*map(F.lit, leaders)), lambda place: place <= F.col("place")))
+    return rows.select("picture", "place", tier.alias("tier"))
 
 
 def progress(pool: int, votes: int) -> list[tuple[str, int, int]]:

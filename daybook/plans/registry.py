@@ -300,12 +300,12 @@ def R02_pair_sums(spark, sf_dir):
 
 @query()
 def R01_fit(spark, sf_dir):
-    return ranking.fit(votes(spark, sf_dir)).select("picture", F.round("score", 9).alias("score"), F.round("stderr", 9).alias("stderr"), "comparisons")
+    return ranking.fit(votes(spark, sf_dir, groups=None)).select("picture", F.round("score", 9).alias("score"), F.round("stderr", 9).alias("stderr"), "comparisons")
 
 
 @query()
 def R07_tiers(spark, sf_dir):
-    return ranking.tiers(ranking.board(ranking.fit(votes(spark, sf_dir)), 1))
+    return ranking.tiers(ranking.board(ranking.fit(votes(spark, sf_dir, groups=None)), 1))
 
 
 @query(_VOTES + """, b as (select "left" as picture from votes union all select "right" from votes) select picture, count(*) as shown from b group by 1 having count(*) >= 500""")

@@ -32,11 +32,16 @@ ENTRIES_SQL = """entries as (select doc_id as date_id, date '1995-06-16' + doc_i
     source as host, case lang when 'en' then 'image' when 'de' then 'video' else 'other' end as kind, lang = 'en' as copyright from documents)"""
 
 
-def votes(spark: SparkSession, sf_dir: str, groups: int = 40) -> DataFrame:
-    """(vote_id, voter, voted_at, left, right, outcome): events as comparisons of two pictures."""
+def votes(spark: SparkSession, sf_dir: str, groups: int | None = 40) -> DataFrame:
+    """(vote_id, voter, voted_at, left, right, outcome): events as comparisons of two pictures.
+
+    ``groups`` folds the pictures into so many, as the SQL twin does; None takes whole ids.
+    """
     e = read(spark, sf_dir, "events")
     outcome = F.when(F.col("event_type") == "view", "tie").when(F.col("value") >= 10, "left").otherwise("right")
-    left, right = F.pmod("user_id", F.lit(groups)), F.pmod(F.expr("user_id * 7 + event_id"), F.lit(groups))
+    left, right = F.col("user_id"), F.expr("user_id * 7 + event_id")
+    if groups is not None:
+        left, right = F.pmod(left, F.lit(groups)), F.pmod(right, F.lit(groups))
     return e.select(F.col("event_id").alias("vote_id"), F.col("user_id").alias("voter"), F.col("ts").alias("voted_at"), left.alias("left"), right.alias("right"), outcome.alias("outcome"))
 
 
