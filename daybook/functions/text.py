@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import unicodedata
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -32,9 +34,35 @@ def sentences(text: Column) -> Column:
     return F.when(text.isNull(), F.lit(0).cast("long")).when(ends > 0, ends).otherwise(text.rlike(r"[\p{L}\p{N}]").cast("long"))
 
 
+def _bases() -> dict[str, str]:
+    """Letters that decompose into one letter and marks, and that letter."""
+    out = {}
+    for c in map(chr, range(0xC0, 0x30000)):
+        if unicodedata.decomposition(c)[:1] not in ("", "<"):
+            rest = [x for x in unicodedata.normalize("NFD", c) if unicodedata.category(x)[0] != "M"]
+            if len(rest) == 1:
+                out[c] = rest[0]
+    return out
+
+
+#: The decomposition table of Unicode.
+BASES = _bases()
+_TABLE = str.maketrans(BASES)
+
+
+def fold(text: Column) -> Column:
+    """Without diacritics: letters for their marked forms, and no marks."""
+    return F.regexp_replace(F.translate(text, "".join(BASES), "".join(BASES.values())), r"\p{M}+", "")
+
+
+def folded(text: str) -> str:
+    """``fold`` for a Python string."""
+    return "".join(c for c in text.translate(_TABLE) if unicodedata.category(c)[0] != "M")
+
+
 def tokens(text: Column) -> Column:
-    """Index tokens of a text, in order."""
-    return F.transform(F.regexp_extract_all(text, F.lit(TOKEN), F.lit(0)), lambda t: F.lower(t))
+    """Index tokens of a text, in order, without diacritics."""
+    return F.transform(F.regexp_extract_all(fold(text), F.lit(TOKEN), F.lit(0)), lambda t: F.lower(t))
 
 
 def collapse(text: Column) -> Column:

@@ -9,7 +9,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import tokens
+from ..functions.text import BASES, folded, tokens
 
 MAX_TERMS, MAX_PREFIXES = 24, 4
 K1, B = 1.2, 0.75
@@ -46,7 +46,7 @@ def parse(query: str) -> list[Group]:
                 groups.append(Group())
             continue
         raw = m["quoted"] if bare is None else bare
-        found = tuple(t.lower() for t in _PYTHON_TOKEN.findall(raw))
+        found = tuple(t.lower() for t in _PYTHON_TOKEN.findall(folded(raw)))
         no, negate = bool(m["no"]) or negate, False
         prefix = bool(m["star"]) if bare is None else raw.endswith("*")
         if place == len(items) - 1 and bare is not None and not no:
@@ -109,8 +109,12 @@ def search(entries: DataFrame, query: str, weights: dict[str, float]) -> DataFra
 
 
 def highlight(text: Column, query: str, before: str = "<mark>", after: str = "</mark>") -> Column:
-    """Markers around every token that the query wants."""
-    terms = sorted({re.escape(t) + ("\\\\p{L}*" if p.prefix and t == p.tokens[-1] else "") for g in parse(query) for p in g.wanted for t in p.tokens}, key=len, reverse=True)
+    """Markers around every token that the query wants, with or without diacritics."""
+    forms: dict[str, str] = {}
+    for c, base in BASES.items():
+        forms[base.lower()] = forms.get(base.lower(), base.lower()) + c
+    spelt = lambda t: "".join((f"[{forms[c]}]" if c in forms else re.escape(c)) + "\\\\p{M}*" for c in t)
+    terms = sorted({spelt(t) + ("[\\\\p{L}\\\\p{M}]*" if p.prefix and t == p.tokens[-1] else "") for g in parse(query) for p in g.wanted for t in p.tokens}, key=len, reverse=True)
     if not terms:
         return text
     pattern = f"(?iu)(?<![\\p{{L}}\\p{{N}}])({'|'.join(t.replace(chr(92) * 2, chr(92)) for t in terms)})(?![\\p{{L}}\\p{{N}}])"

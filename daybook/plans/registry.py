@@ -253,6 +253,15 @@ def F07_phrase_match(spark, sf_dir):
     return search.search(entries(spark, sf_dir), '"of the" OR "scum"', WEIGHTS).select("date_id", "hits_title", "hits_text")
 
 
+@query(
+    _ENTRIES + """, t as (select date_id, list_transform(regexp_extract_all(strip_accents(title), '[\\p{L}\\p{N}\\p{M}]+'), lambda x: lower(x)) as a,
+    list_transform(regexp_extract_all(strip_accents(text), '[\\p{L}\\p{N}\\p{M}]+'), lambda x: lower(x)) as b from entries)
+    select date_id, list_contains(a, 'fur') as hits_title, list_contains(b, 'fur') as hits_text from t where list_contains(a, 'fur') or list_contains(b, 'fur')"""
+)
+def F06_accented_match(spark, sf_dir):
+    return search.search(entries(spark, sf_dir), '"für"', WEIGHTS).select("date_id", "hits_title", "hits_text")
+
+
 # -- pictures ---------------------------------------------------------------------------------------------------
 
 
