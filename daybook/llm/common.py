@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -19,10 +20,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share; a temporary one only where the session names none (tests)."""
-    known = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
+    """The folder that driver and executors share, from ``spark.checkpoint.dir`` or ``setCheckpointDir``.
+
+    Only a session whose executors are the driver itself may go without; it gets a temporary folder.
+    """
+    known = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if known:
         return known.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
     if not _own_dir:
         _own_dir.append("file://" + tempfile.mkdtemp(prefix="daybook-"))
     return _own_dir[0]
@@ -36,23 +42,63 @@ def materialise(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it again: cuts lineage and survives lost executors."""
     path = work_path(df.sparkSession, label)
     df.write.option("compression", "zstd").parquet(path)
+    for made in _watching:
+        made.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def _remove(spark: SparkSession, name: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(name)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def discard(*tables: DataFrame) -> None:
     """Delete work tables that no later plan reads."""
     for df in tables:
-        spark = df.sparkSession
         for name in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
             if "/daybook/" in name:
-                path = spark._jvm.org.apache.hadoop.fs.Path(name)
-                path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
-
-
-def small_batches(spark: SparkSession, rows: int = 1000) -> None:
-    """Bound what one Arrow batch of whole texts can hold."""
-    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > rows:
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+                _remove(df.sparkSession, name)
+
+
+_watching: list[list[str]] = []
+
+
+@contextmanager
+def only_last(spark: SparkSession):
+    """Delete the work tables that the block writes, but for the last one; for blocks that end in ``materialise``."""
+    made: list[str] = []
+    _watching.append(made)
+    try:
+        yield
+    finally:
+        # by identity: nested blocks may hold equal lists
+        _watching[:] = [x for x in _watching if x is not made]
+        for name in made[:-1]:
+            _remove(spark, name)
+
+
+@contextmanager
+def batches_of(spark: SparkSession, size: int = 16 << 20, rows: int | None = None):
+    """Bound the bytes (and rows) of an Arrow batch while the block's jobs run; the session's settings come back."""
+    wanted = {"spark.sql.execution.arrow.maxBytesPerBatch": str(size)}
+    if rows:
+        wanted["spark.sql.execution.arrow.maxRecordsPerBatch"] = str(rows)
+    before = {k: spark.conf.get(k) for k in wanted}
+    try:
+        for k, v in wanted.items():
+            spark.conf.set(k, v)
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
+def row_key(columns: list[str], seed: int = 0) -> Column:
+    """A hash of a row's values that tells a null from its neighbour's; to be used together with the id."""
+    parts: list[Column] = [F.lit(seed)]
+    for c in columns:
+        parts += [F.col(f"`{c}`").isNull(), F.col(f"`{c}`")]
+    return F.xxhash64(*parts)
 
 
 def word_count(text: Column) -> Column:
@@ -97,3 +143,22 @@ def attach(df: DataFrame, small: DataFrame, on, how: str = "left", rows: int = B
     if small.limit(rows + 1).count() <= rows:
         return df.join(F.broadcast(small), on, how)
     return df.join(small.hint("merge"), on, how)
+
+
+#: A key that holds more than this share of the rows counts as hot, so there are fewer hot keys than this.
+HOT_SHARE = 2_000
+
+
+def join_split(big: DataFrame, small: DataFrame, key: str, rows: str, how: str = "inner") -> DataFrame:
+    """Join ``big`` to ``small`` on ``key``, where ``rows`` in ``small`` is how many rows of ``big`` a key has.
+
+    The few keys that hold more than 1/HOT_SHARE of the rows each are broadcast, so no task gathers one; the others
+    are shuffled.  ``small`` has one row a key and should be a materialised table, as it is read three times.
+    """
+    total = small.agg(F.sum(rows)).first()[0] or 0
+    limit = max(1000, total // HOT_SHARE)
+    hot = F.broadcast(small.where(F.col(rows) > limit).drop(rows))
+    cold = small.where(F.col(rows) <= limit).drop(rows)
+    spread = big.join(hot, key)
+    gathered = big.join(hot.select(key), key, "left_anti").join(cold, key, how)
+    return spread.unionByName(gathered)

@@ -1,7 +1,7 @@
 """Connected components by alternating large-star and small-star steps.
 
-Each step is a grouped minimum and a join on the vertex; no neighbour list is gathered, so a vertex with very
-many links is only a skewed key, whose minimum is combined on the map side and whose join AQE splits.
+Each step is a grouped minimum and a join on the vertex; no neighbour list is gathered.  A vertex with very many links
+is a hot key: its minimum is combined on the map side, and ``common.join_split`` broadcasts it.
 """
 
 from __future__ import annotations
@@ -12,17 +12,22 @@ from pyspark.sql import functions as F
 from . import common
 
 
-def _least_neighbour(edges: DataFrame) -> DataFrame:
-    return edges.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+def _with_least(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(edges with ``m``, the least of each ``u`` and its neighbours; one row a vertex with ``m``)."""
+    least = edges.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("rows")).select("u", F.least("u", "m").alias("m"), "rows")
+    least = common.materialise(least, "least")
+    return common.join_split(edges, least, "u", "rows"), least
 
 
 def _round(edges: DataFrame) -> DataFrame:
     both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    large = both.join(_least_neighbour(both), "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-    large = large.distinct()
-    least = _least_neighbour(large)
-    small = large.join(least, "u").where("v > m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-    return small.union(least.select("u", F.col("m").alias("v"))).distinct()
+    held, first = _with_least(both)
+    large = common.materialise(held.where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct(), "large")
+    held, second = _with_least(large)
+    small = held.where("v > m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    out = common.materialise(small.union(second.select("u", F.col("m").alias("v"))).distinct(), "edges")
+    common.discard(first, second, large)
+    return out
 
 
 def components(pairs: DataFrame) -> DataFrame:
@@ -35,5 +40,5 @@ def components(pairs: DataFrame) -> DataFrame:
         if (row["n"], row["s"]) == mark or not row["n"]:
             return edges.select(F.col("u").alias("member"), F.col("v").alias("root"))
         mark, last = (row["n"], row["s"]), edges
-        edges = common.materialise(_round(edges), "edges")
+        edges = _round(edges)
         common.discard(last)

@@ -13,7 +13,12 @@ Only connectivity is asked for, so the links of a group of copies are not all ex
 3. the links so far give components; classes in a band that spans several are open, and whatever linked pair is
    left has open classes of two components at its ends.  These pairs are found without a cap by an exact prefix
    join over the open classes: sets that reach the threshold share one of their rarest shingles, at places that
-   leave room for the overlap they need.  Large groups of copies are one component by then, or pruned by place.
+   leave room for the overlap they need.  Large groups of copies are one component by then, or pruned by place.  What this join
+   compares is bounded by the pairs of open classes of different components that share one of the rarest quarter
+   of their shingles; a passage that is frequent comes last in the order and is no such shingle.
+
+Bands and classes that hold very many rows are joined by a broadcast of those few keys (``common.join_split``), so
+no task gathers one.
 
 With 48 bands of 4 registers a pair at similarity 0.75 stays unseen with probability 1e-8.
 
@@ -116,7 +121,6 @@ def class_of(values: np.ndarray) -> int:
 
 def sketched(docs: DataFrame) -> DataFrame:
     """(doc_id, n_shingles, cls, registers), one row per row of ``docs``, without a shuffle."""
-    common.small_batches(docs.sparkSession)
     return docs.select("doc_id", "text").mapInArrow(_sketches, "doc_id long, n_shingles long, cls long, registers binary")
 
 
@@ -215,38 +219,47 @@ def near_duplicates(docs: DataFrame, *, threshold: float = 0.75, slack: float =
     ``slack`` is the log likelihood ratio below which a candidate is still confirmed: a true link is lost by it
     with probability about exp(-slack).
     """
+    spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    rows = common.materialise(sketched(docs), "sketches")
-    usable = rows.where("n_shingles > 0 and doc_id is not null")
-    classes = usable.groupBy("cls").agg(F.min("doc_id").alias("owner"), F.min("n_shingles").alias("n_shingles"), F.min("registers").alias("registers"))
-    classes = common.materialise(classes, "classes")
-    links = _links(docs, classes, threshold, slack)
-    # rows with one id are one vertex
-    shared = usable.groupBy("doc_id").agg(F.min("cls").alias("a"), F.max("cls").alias("z")).where("a != z")
-    links = links.union(usable.join(shared, "doc_id").select("a", F.col("cls").alias("b")))
-    roots = components.components(links)
-    named = _labelled(usable.select("doc_id", "cls").distinct(), roots)
-    named = common.materialise(named.select("doc_id", "comp").distinct(), "named")
-    least = named.groupBy("comp").agg(F.min("doc_id").alias("component_id"))
-    named = named.join(least, "comp").select(F.col("doc_id").alias("_d"), "component_id")
-    out = rows.select("doc_id", "n_shingles").join(named, F.col("doc_id") == F.col("_d"), "left").drop("_d")
-    out = out.withColumn("component_id", F.coalesce("component_id", "doc_id"))
-    return out.withColumn("kept", F.coalesce(F.col("component_id") == F.col("doc_id"), F.lit(True)))
+    with common.only_last(spark), common.batches_of(spark, 8 << 20):
+        rows = common.materialise(sketched(docs), "sketches")
+        usable = rows.where("n_shingles > 0 and doc_id is not null")
+        classes = usable.groupBy("cls").agg(F.min("doc_id").alias("owner"), F.min("n_shingles").alias("n_shingles"), F.min("registers").alias("registers"), F.count("*").alias("n"))
+        classes = common.materialise(classes, "classes")
+        links = _links(docs, classes, threshold, slack)
+        # vertices are the smallest ids of the classes, so the root of a component is its smallest id
+        owned = classes.select("cls", "owner")
+        by_owner = links.join(owned.withColumnsRenamed({"cls": "a", "owner": "oa"}), "a").join(owned.withColumnsRenamed({"cls": "b", "owner": "ob"}), "b")
+        edges = by_owner.select(F.col("oa").alias("a"), F.col("ob").alias("b"))
+        # rows with one id are one vertex
+        shared = usable.groupBy("doc_id").agg(F.min("cls").alias("_a"), F.max("cls").alias("_z")).where("_a != _z").select("doc_id")
+        ties = usable.join(shared, "doc_id").select("doc_id", "cls").distinct().join(owned, "cls")
+        edges = edges.union(ties.select(F.col("doc_id").alias("a"), F.col("owner").alias("b")))
+        roots = components.components(edges)
+        # one row a class: its root; copies take it from there
+        held = owned.join(roots, F.col("owner") == F.col("member"), "left").select("cls", F.coalesce("root", "owner").alias("component_id"))
+        held = common.materialise(held.join(classes.select("cls", "n"), "cls"), "held")
+        plain = usable.select("doc_id", "n_shingles", "cls")
+        named = common.join_split(plain, held, "cls", "n").select("doc_id", "n_shingles", "component_id")
+        alone = rows.where("not (n_shingles > 0 and doc_id is not null)").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
+        out = named.unionByName(alone)
+        return common.materialise(out.withColumn("kept", F.coalesce(F.col("component_id") == F.col("doc_id"), F.lit(True))), "components")
 
 
 def _central_pairs(hits: DataFrame) -> DataFrame:
     """(a, b): each class with the most central class of its bands, the one that meets the most others in all bands."""
     score = hits.groupBy("cls").agg(F.sum("n").alias("score"))
-    ranked = hits.join(score, "cls").groupBy("band").agg(F.max(F.struct("score", "cls")).alias("top"))
-    best = hits.select("band", "cls").join(ranked, "band").where(F.col("top.cls") != F.col("cls")).groupBy("cls").agg(F.max("top").alias("top"))
+    ranked = hits.join(score, "cls").groupBy("band").agg(F.max(F.struct("score", "cls")).alias("top"), F.count("*").alias("rows"))
+    best = common.join_split(hits.select("band", "cls"), common.materialise(ranked, "ranked"), "band", "rows").where(F.col("top.cls") != F.col("cls")).groupBy("cls").agg(F.max("top").alias("top"))
     return best.select(F.least("cls", "top.cls").alias("a"), F.greatest("cls", "top.cls").alias("b")).distinct()
 
 
 def _open_classes(hits: DataFrame, links: DataFrame) -> DataFrame:
     """(cls, comp) of the classes in a band that spans several components."""
     held = common.materialise(_labelled(hits.select("band", "cls"), components.components(links)), "held")
-    parts = held.groupBy("band").agg(F.min("comp").alias("_low"), F.max("comp").alias("_high")).where("_low != _high")
-    return common.materialise(held.join(parts.select("band"), "band", "left_semi").select("cls", "comp").distinct(), "open")
+    parts = held.groupBy("band").agg(F.min("comp").alias("_low"), F.max("comp").alias("_high"), F.count("*").alias("rows")).where("_low != _high")
+    parts = common.materialise(parts.select("band", "rows"), "mixed")
+    return common.materialise(common.join_split(held, parts, "band", "rows").select("cls", "comp").distinct(), "open")
 
 
 def _frequency(batches):
@@ -305,8 +318,9 @@ def _links(docs: DataFrame, classes: DataFrame, threshold: float, slack: float)
     """Links (a, b) between classes that leave the same components as all links."""
     verifier = _Verifier(docs, classes, threshold, slack)
     banded = classes.select("registers", "cls").mapInArrow(_bands, "band long, cls long")
-    shared = banded.groupBy("band").agg(F.count("*").alias("n")).where("n > 1")
-    hits = common.materialise(banded.join(shared, "band"), "hits")
+    shared = banded.groupBy("band").agg(F.count("*").alias("rows")).where("rows > 1")
+    shared = common.materialise(shared.withColumn("n", F.col("rows")), "bands")
+    hits = common.materialise(common.join_split(banded, shared, "band", "rows"), "hits")
     links = verifier.confirm(_central_pairs(hits))
     opened = _open_classes(hits, links)
     sets = verifier.sets(opened.select("cls"))
