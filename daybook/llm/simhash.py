@@ -1,16 +1,19 @@
 """SimHash fingerprints: weighted term hashes vote on signed bits; permuted block tables find near fingerprints.
 
-``fingerprint`` hashes every three-word term of a text to 64 bits; each term votes on every bit with the weight
-``1 + ln(count)``, and the sign of the sum is the bit.  Two fingerprints of texts whose terms make the angle ``a``
-differ in about ``64 * a / pi`` bits.
+``fingerprint`` hashes every three-word term of a text to 64 bits; each term votes on every bit with a whole-number
+weight, the number of binary digits of its count, and the sign of the sum is the bit (a tie is 0).  The sums are
+exact, so no order or processor changes a bit.  Two fingerprints of texts whose terms make the angle ``a`` differ in
+about ``64 * a / pi`` bits.
 
 ``next_edits`` fingerprints every text and its edited text, whose second half is the start of the next document.
 Rows are range-sorted by id once (texts travel compressed), every task walks through its range in order, and only
 the last row of a range is finished in a second, small step with the first row of the following range.
 
-``near_fingerprints`` cuts 64 bits into blocks.  At most ``radius`` blocks differ between two fingerprints within the
+``near_counts`` cuts 64 bits into blocks.  At most ``radius`` blocks differ between two fingerprints within the
 radius, so each is filed in one table per choice of the other blocks, under these blocks' bits, and every near pair
-meets in a table; equal fingerprints are one class throughout.
+meets in a table; equal fingerprints are one class throughout.  Each class gets the number of other classes within
+the radius.  A pair counts in the first of the tables that it meets in and is never put out; a place of a table with
+many classes is cut into parts and its pairs of parts are spread over tasks.  ``near_pairs`` puts the pairs out.
 
 Defined results: null text is empty; a text without words has the fingerprint 0, one or two words make one term;
 rows with equal ids are ordered by a hash of their text; null ids come last; the row after the last is the first;
@@ -73,12 +76,12 @@ def fingerprint(terms: np.ndarray) -> int:
     if not len(terms):
         return 0
     distinct, counts = np.unique(terms, return_counts=True)
-    weights = (1 + np.log(counts)).astype(np.float32)
+    weights = np.frexp(counts)[1].astype(np.float32)
     votes = np.zeros(BITS)
-    for at in range(0, len(distinct), _PIECE):
+    for at in range(0, len(distinct), _PIECE):  # whole numbers below 2**24 are exact in float32
         bits = np.unpackbits(distinct[at : at + _PIECE].astype(">u8").view(np.uint8).reshape(-1, 8), axis=1)
         votes += weights[at : at + _PIECE] @ bits.astype(np.float32)
-    signs = votes > weights.sum(dtype=np.float64) / 2
+    signs = 2 * votes > weights.sum(dtype=np.float64)
     return int.from_bytes(np.packbits(signs).tobytes(), "big")
 
 
@@ -159,21 +162,21 @@ def _edges(batches):
 def next_edits(docs: DataFrame) -> DataFrame:
     """(doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next), a row per row of ``docs``."""
     spark = docs.sparkSession
-    common.small_batches(spark, 500)
     parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     packed = slim.withColumn("tie", F.xxhash64("text")).mapInArrow(_packed, "doc_id long, tie long, packed binary")
     order = [F.col("doc_id").asc_nulls_last(), F.col("tie").asc()]
     ranged = packed.repartitionByRange(parts, *order).sortWithinPartitions(*order)
     walked = ranged.select("doc_id", "packed", F.spark_partition_id().alias("part")).mapInArrow(_walk, f"{DIGEST}, part int, head binary, tail binary")
-    walked = common.materialise(walked, "walked")
-    # one edge a range: what follows its last row is the first row of the range after it
-    edges = walked.where("part is not null")
-    line = W.orderBy("part")
-    after = edges.select("part", F.coalesce(F.lead("part").over(line), F.first("part").over(line)).alias("_after"))
-    heads = edges.select(F.col("part").alias("_after"), "head")
-    met = edges.select("part", "doc_id", "tail").join(after, "part").join(heads, "_after")
-    ends = met.select("doc_id", "tail", "head").mapInArrow(_edges, DIGEST)
+    with common.batches_of(spark, 8 << 20):
+        walked = common.materialise(walked, "walked")
+        # one edge a range: what follows its last row is the first row of the range after it
+        edges = walked.where("part is not null")
+        line = W.orderBy("part")
+        after = edges.select("part", F.coalesce(F.lead("part").over(line), F.first("part").over(line)).alias("_after"))
+        heads = edges.select(F.col("part").alias("_after"), "head")
+        met = edges.select("part", "doc_id", "tail").join(after, "part").join(heads, "_after")
+        ends = common.materialise(met.select("doc_id", "tail", "head").mapInArrow(_edges, DIGEST), "edges")
     return walked.where("part is null").select(*_NAMES).unionByName(ends)
 
 
@@ -192,21 +195,109 @@ def as_long(column: str = "fingerprint") -> Column:
     return F.shiftleft(high, 32).bitwiseOR(F.conv(F.substring(column, 9, 8), 16, 10).cast("long"))
 
 
-def near_fingerprints(rows: DataFrame, *, radius: int = RADIUS, blocks: int = BLOCKS) -> tuple[DataFrame, DataFrame]:
-    """Membership (doc_id, class) and all pairs of classes (a, b, distance) within ``radius`` bits, a < b as longs.
+#: Classes at one place of a table that are compared by one task.
+PART_CLASSES = 4096
 
-    ``rows`` has doc_id and fingerprint (16 hex digits); a class is a fingerprint, as a long.  Rows without a
-    fingerprint are in no class.  More blocks make longer keys and more tables: C(blocks, radius) of them.
-    """
-    if not 0 <= radius < blocks <= BITS:
-        raise ValueError("the radius must be below the number of blocks")
-    members = rows.where("fingerprint is not null").select(F.col("doc_id"), as_long().alias("class"))
-    classes = common.materialise(members.select("class").distinct(), "fingerprints")
+
+def _filed(classes: DataFrame, radius: int, blocks: int) -> DataFrame:
+    """(table, key, part, low, high, class): in every group of (table, key, low, high) lie at most two parts."""
     masks = _block_masks(blocks)
     tables = [_signed(sum(masks[i] for i in kept)) for kept in combinations(range(blocks), blocks - radius)]
     filed = classes.select("class", F.posexplode(F.array(*[F.lit(m) for m in tables])).alias("table", "mask"))
     filed = filed.select("table", F.col("class").bitwiseAND(F.col("mask")).alias("key"), "class")
-    left, right = filed.withColumnRenamed("class", "a"), filed.withColumnRenamed("class", "b")
-    distance = F.bit_count(F.col("a").bitwiseXOR(F.col("b")))
-    pairs = left.join(right, ["table", "key"]).where((F.col("a") < F.col("b")) & (distance <= radius))
-    return members, pairs.select("a", "b", distance.alias("distance")).distinct()
+    crowded = filed.groupBy("table", "key").agg(F.count("*").alias("_n")).where(F.col("_n") > PART_CLASSES)
+    crowded = crowded.select(F.col("table").alias("_t"), F.col("key").alias("_k"), F.ceil(F.col("_n") / PART_CLASSES).cast("int").alias("_parts"))
+    parted = common.attach(filed, crowded, (F.col("table") == F.col("_t")) & (F.col("key") == F.col("_k")))
+    parted = parted.withColumn("_parts", F.coalesce("_parts", F.lit(1))).withColumn("part", F.pmod(F.xxhash64("class"), F.col("_parts")).cast("int"))
+    met = parted.select("table", "key", "part", "class", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1)).alias("_other"))
+    return met.select("table", "key", "part", F.least("part", "_other").alias("low"), F.greatest("part", "_other").alias("high"), "class")
+
+
+def _compared(radius: int, blocks: int, pairs: bool):
+    """Classes of one place lie one behind the other; each is held against those behind it, a step at a time."""
+    masks = np.array(_block_masks(blocks), np.uint64)
+    kept = [sum(1 << i for i in c) for c in combinations(range(blocks), blocks - radius)]
+    # for every set of blocks that differ, the first table whose blocks all agree
+    first = np.array([next((t for t, k in enumerate(kept) if not k & diff), -1) for diff in range(1 << blocks)])
+    names = ["a", "b", "distance"] if pairs else ["class", "near"]
+    group = ("table", "key", "low", "high")
+
+    def compare(col: dict[str, np.ndarray]) -> pa.RecordBatch:
+        n = len(col["class"])
+        x = col["class"].view(np.uint64)
+        same_place = np.ones(max(0, n - 1), bool)
+        for g in group:
+            same_place &= col[g][1:] == col[g][:-1]
+        place = np.concatenate([[0], np.cumsum(~same_place)]) if n else np.empty(0, np.int64)
+        near, found, at, step = np.zeros(n, np.int64), [], np.arange(n), 0
+        while True:
+            step += 1
+            at = at[at + step < n]
+            at = at[place[at] == place[at + step]]
+            if not len(at):
+                break
+            other = at + step
+            diff = x[at] ^ x[other]
+            distance = np.bitwise_count(diff)
+            ok = (distance <= radius) & ((col["low"][at] == col["high"][at]) | (col["part"][at] != col["part"][other]))
+            ok = np.flatnonzero(ok)
+            changed = ((diff[ok, None] & masks) != 0) @ (1 << np.arange(blocks))
+            ok = ok[first[changed] == col["table"][at[ok]]]
+            near += np.bincount(at[ok], minlength=n) + np.bincount(other[ok], minlength=n)
+            if pairs:
+                found.append((at[ok], other[ok], distance[ok]))
+        if pairs:
+            a, b = (np.concatenate([f[k] for f in found] or [np.empty(0, np.int64)]) for k in (0, 1))
+            a, b = col["class"][a], col["class"][b]
+            distance = np.concatenate([f[2] for f in found] or [np.empty(0, np.uint8)]).astype(np.int64)
+            columns = [np.minimum(a, b), np.maximum(a, b), distance]
+        else:
+            columns = [col["class"][near > 0], near[near > 0]]
+        return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names)
+
+    def run(batches):
+        held: dict[str, np.ndarray] | None = None
+        for batch in batches:
+            col = {c: batch.column(c).to_numpy() for c in (*group, "part", "class")}
+            if held is not None:
+                col = {c: np.concatenate([held[c], col[c]]) for c in col}
+            # the last place may go on in the next batch
+            n = len(col["class"])
+            cut = n
+            while cut and all(col[g][cut - 1] == col[g][n - 1] for g in group):
+                cut -= 1
+            yield compare({c: v[:cut] for c, v in col.items()})
+            held = {c: v[cut:] for c, v in col.items()}
+        if held is not None:
+            yield compare(held)
+
+    return run, "a long, b long, distance long" if pairs else "class long, near long"
+
+
+def _met(classes: DataFrame, radius: int, blocks: int, pairs: bool) -> DataFrame:
+    if not 0 <= radius < blocks <= 16:
+        raise ValueError("the radius must be below the number of blocks, and these at most 16")
+    place = ["table", "key", "low", "high"]
+    run, kind = _compared(radius, blocks, pairs)
+    return _filed(classes, radius, blocks).repartition(*place).sortWithinPartitions(*place).mapInArrow(run, kind)
+
+
+def near_counts(classes: DataFrame, *, radius: int = RADIUS, blocks: int = BLOCKS) -> DataFrame:
+    """(class, n_near) of the classes with others within ``radius`` bits; ``classes`` has distinct longs in ``class``."""
+    return _met(classes, radius, blocks, False).groupBy("class").agg(F.sum("near").alias("n_near"))
+
+
+def near_pairs(classes: DataFrame, *, radius: int = RADIUS, blocks: int = BLOCKS) -> DataFrame:
+    """All pairs (a, b, distance) of classes within ``radius`` bits, a < b as longs, each once."""
+    return _met(classes, radius, blocks, True)
+
+
+def fingerprinted(docs: DataFrame, *, radius: int = RADIUS, blocks: int = BLOCKS) -> DataFrame:
+    """``next_edits`` with ``n_near``: the number of other fingerprints within ``radius`` bits of the row's own."""
+    spark = docs.sparkSession
+    with common.only_last(spark):
+        rows = next_edits(docs).withColumn("class", as_long())
+        classes = common.materialise(rows.groupBy("class").agg(F.count("*").alias("_rows")), "classes")
+        near = common.materialise(near_counts(classes.select("class"), radius=radius, blocks=blocks), "near")
+        near = common.materialise(classes.join(near, "class", "left").select("class", "_rows", F.coalesce("n_near", F.lit(0)).alias("n_near")), "near")
+        return common.materialise(common.join_split(rows, near, "class", "_rows").drop("class"), "fingerprints")
