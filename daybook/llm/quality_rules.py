@@ -2,41 +2,70 @@
 
 ``text_statistics`` counts words, symbols, repeated lines and repeated word windows of every whole text.
 ``robust_verdicts`` turns the counts into a vector of transformed rates, finds a minimum-covariance-determinant
-(MCD) estimate per group and rejects vectors by their Mahalanobis distance.
+(MCD) estimate per language and source and rejects vectors by their Mahalanobis distance.
 
-The MCD search is the deterministic one: several robust starts per group, each followed by concentration steps
-(estimate, rank by distance, keep the closer half), the start with the smallest determinant wins.  Every step is
-one grouped aggregation of 4 sums and 10 products over the slim table of vectors, with map-side combine; only
-one row per group and start is ever handled together.
+*Cells.*  Coordinates are whole multiples of 1/256 between -16 and 16.  Equal vectors of a language and source become
+one weighted cell before anything else is computed, so all further steps read a table of cells, which grows far slower
+than the documents, and every sum is a sum of whole numbers: exact, whatever the order of arrival.
+
+*Search.*  Two robust starts per group, each followed by concentration steps (estimate, rank by distance, keep the
+closer half) until no determinant falls any more, or ``MAX_STEPS``.  A step is one grouped aggregation over
+(group, start, distance bin): the bins of the closer half add up to the next estimate.  The closer half holds all
+cells up to and with the bin of the median.  The start with the smallest determinant wins.
+
+*Levels.*  Every language and source, every language and the whole table get estimates of their own at any size.  A
+language's is drawn towards the whole's, and a language and source's towards its language's, by the weight n / (n + k)
+on its own, n its documents and k = ``PRIOR_ROWS``; so small groups lean on their language without a limit in size.
+
+*Limit.*  Standard deviations have floors (``FLOORS``, what counting alone makes such rates vary); the squared distance
+is compared with the chi-square quantile of ``TAIL``.
 
 Defined results: null text counts as no words; null language or source is a group of its own; rows with equal ids
-are judged one by one; an empty table gives an empty result; extra columns are ignored.
+are judged one by one; a table without a row that passes the base rule rejects by the base rule only; an empty table
+gives an empty result; extra columns are ignored.
 """
 
 from __future__ import annotations
 
 
+import math
+
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from . import common
 
 SYMBOLS = "#*$%&|<>"
-KEYS = ("doc_id", "lang", "source", "row_key")
+KEYS = ("doc_id", "lang", "source")
 SPACES = " \t\n\v\f\r"
 STATISTICS = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_lines long, n_repeat_words long"
-#: Vector coordinates and the least standard deviation each is given, so that a constant rate rejects nothing by rounding.
+#: Vector coordinates and the least standard deviation each is given.
 FLOORS = {"v_length": 0.04, "v_symbols": 0.06, "v_lines": 0.15, "v_repeats": 0.12}
 NAMES = list(FLOORS)
+CELL, EDGE = 256, 16
 PAIRS = [(i, j) for i in range(len(NAMES)) for j in range(i, len(NAMES))]
-MIN_GROUP = 60
-STEPS = 3
-#: Median of chi-square with 4 degrees of freedom, and the rejection limit on the squared distance.
-CHI2_MEDIAN = 3.356694
-CUTOFF = 60.0
+PRIOR_ROWS = 100
+MAX_STEPS = 20
+#: Share of rows of a normal group beyond the limit.
+TAIL = 1e-6
+
+
+def chi_square(tail: float) -> float:
+    """The value that a chi-square variable with 4 degrees of freedom exceeds with probability ``tail``."""
+    low, high = 0.0, 2000.0
+    for _ in range(200):
+        middle = (low + high) / 2
+        low, high = (middle, high) if math.exp(-middle / 2) * (1 + middle / 2) > tail else (low, middle)
+    return high
+
+
+CHI2_MEDIAN = chi_square(0.5)
+#: Distance bins per unit of the logarithm.
+BINS = 50
 
 
 def repeat_words(words: list, window: int = 3) -> int:
@@ -77,127 +106,216 @@ def _statistics(batches):
         rows = [statistics_of(t) for t in batch.column("text").to_pylist()]
         columns = list(zip(*rows, strict=True)) or [()] * len(names)
         counts = [pa.array(c, pa.int64()) for c in columns]
-        yield pa.RecordBatch.from_arrays([batch.column(k) for k in KEYS] + counts, [*KEYS, *names])
+        yield pa.RecordBatch.from_arrays([batch.column(k) for k in (*KEYS, "row_key")] + counts, [*KEYS, "row_key", *names])
 
 
-def text_statistics(docs: DataFrame) -> DataFrame:
-    """Counts of every whole text, one row per row of ``docs``, without a shuffle."""
-    common.small_batches(docs.sparkSession)
-    slim = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), F.col("lang").cast("string"), F.col("source").cast("string"), row_key().alias("row_key"))
+def text_statistics(docs: DataFrame, columns: list[str] | None = None) -> DataFrame:
+    """Counts of every whole text, one row per row of ``docs``, without a shuffle; ``row_key`` is a hash of ``columns``."""
+    key = common.row_key(columns or ["doc_id", "text", "lang", "source"]).alias("row_key")
+    slim = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), F.col("lang").cast("string"), F.col("source").cast("string"), key)
     return slim.mapInArrow(_statistics, f"doc_id long, lang string, source string, row_key long, {STATISTICS}")
 
 
-def row_key() -> Column:
-    """Tells rows apart where ids repeat; rows that are equal in it get equal verdicts."""
-    return F.xxhash64("doc_id", "text", "lang", "source")
-
-
 def base_failed(min_words: int = 50, max_repeat_percent: int = 50) -> Column:
     return (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > max_repeat_percent * F.col("n_words"))
 
 
 def vectors(stats: DataFrame) -> DataFrame:
+    """Add the coordinates in whole cells."""
     words = F.greatest(F.col("n_words"), F.lit(1))
-    return stats.withColumns(
-        {
-            "v_length": F.log(F.greatest(F.col("word_chars"), F.lit(1)) / words),
-            "v_symbols": F.sqrt(F.col("n_symbols") / words),
-            "v_lines": F.sqrt(F.col("n_dup_lines") / F.greatest(F.col("n_lines"), F.lit(1))),
-            "v_repeats": F.sqrt(F.col("n_repeat_words") / words),
-        }
-    )
+    rates = {
+        "v_length": F.log(F.greatest(F.col("word_chars"), F.lit(1)) / words),
+        "v_symbols": F.sqrt(F.col("n_symbols") / words),
+        "v_lines": F.sqrt(F.col("n_dup_lines") / F.greatest(F.col("n_lines"), F.lit(1))),
+        "v_repeats": F.sqrt(F.col("n_repeat_words") / words),
+    }
+    return stats.withColumns({c: F.round(F.least(F.greatest(v, F.lit(-EDGE)), F.lit(EDGE)) * CELL).cast("long") for c, v in rates.items()})
 
 
-def effective_groups(rows: DataFrame, min_group: int) -> DataFrame:
-    """Add ``grp``: language and source, or where those have too few rows the language, or all such rows."""
-    counts = rows.groupBy("lang", "source").agg(F.count("*").alias("_n"))
-    by_lang = counts.where(F.col("_n") < min_group).groupBy("lang").agg(F.sum("_n").alias("_m"))
-    counts = counts.select("lang", "source", "_n").join(by_lang.withColumnRenamed("lang", "_l"), F.col("lang").eqNullSafe(F.col("_l")), "left").drop("_l")
-    tag = lambda c: F.coalesce(F.concat(F.lit("="), F.col(c)), F.lit("-"))
-    grp = (
-        F.when(F.col("_n") >= min_group, F.concat_ws("\x1f", tag("lang"), tag("source")))
-        .when(F.col("_m") >= min_group, F.concat_ws("\x1f", tag("lang"), F.lit("*")))
-        .otherwise(F.lit("*"))
-    )
-    groups = counts.select(F.col("lang").alias("_gl"), F.col("source").alias("_gs"), grp.alias("grp"))
-    on = F.col("lang").eqNullSafe(F.col("_gl")) & F.col("source").eqNullSafe(F.col("_gs"))
-    return common.attach(rows, groups, on).drop("_gl", "_gs")
+def _named(column: str) -> Column:
+    return F.coalesce(F.concat(F.lit("="), F.col(column)), F.lit("-"))
+
+
+LEVELS = ("whole", "language", "own")
+
+
+def group_name(level: str) -> Column:
+    """Name of the group: the whole table, a language, or a language and source."""
+    return {"whole": lambda: F.lit("*"), "language": lambda: _named("lang"), "own": lambda: F.concat_ws("\x1f", _named("lang"), _named("source"))}[level]()
+
+
+def cells(rows: DataFrame) -> DataFrame:
+    """(grp, v_..., n): the distinct vectors of every group of every level, with their numbers of rows."""
+    counted = rows.groupBy("lang", "source", *NAMES).agg(F.count("*").alias("n"))
+    split = counted.select(*NAMES, "n", F.explode(F.array(*map(group_name, LEVELS))).alias("grp"))
+    return split.groupBy("grp", *NAMES).agg(F.sum("n").alias("n"))
+
+
+def moments(rows: DataFrame, by: list[str]) -> DataFrame:
+    """Row counts, sums and products of whole cells."""
+    sums = {f"s{i}": F.sum(F.col(c) * F.col("n")) for i, c in enumerate(NAMES)}
+    sums |= {f"q{i}_{j}": F.sum(F.col(NAMES[i]) * F.col(NAMES[j]) * F.col("n")) for i, j in PAIRS}
+    return rows.groupBy(*by).agg(F.sum("n").alias("n"), *[v.alias(k) for k, v in sums.items()])
+
+
+MOMENTS = ["n", *[f"s{i}" for i in range(len(NAMES))], *[f"q{i}_{j}" for i, j in PAIRS]]
 
 
-def _inverses(batches):
-    """From sums to centre, precision and log determinant; one row per group and start."""
+def floored(cov: np.ndarray) -> np.ndarray:
+    """The covariance with each standard deviation raised to its floor, correlations as they are."""
+    own = np.sqrt(np.diag(cov))
+    wide = np.maximum(own, list(FLOORS.values()))
+    correlation = cov / np.where(own > 0, own, 1)[:, None] / np.where(own > 0, own, 1)[None, :]
+    np.fill_diagonal(correlation, 1)
+    return (correlation * 0.999 + 0.001 * np.eye(len(NAMES))) * wide[:, None] * wide[None, :]
+
+
+def estimate(row: dict) -> tuple[np.ndarray, np.ndarray]:
+    """(centre, covariance) in rates, from whole sums."""
+    n = int(row["n"])
+    total = [int(row[f"s{i}"]) for i in range(len(NAMES))]
+    cov = np.zeros((len(NAMES),) * 2)
+    for i, j in PAIRS:
+        # whole numbers of any length, so the difference is exact
+        cov[i, j] = cov[j, i] = (int(row[f"q{i}_{j}"]) * n - total[i] * total[j]) / n / n / CELL / CELL
+    return np.array([t / n / CELL for t in total]), cov
+
+
+ESTIMATE = "grp string, start int, n long, logdet double, centre array<double>, precision array<double>, cov array<double>"
+
+
+def _estimates(batches):
+    """One row per group and start."""
     for frame in batches:
         out = []
         for row in frame.to_dict("records"):
-            n = row["n"]
-            mean = np.array([row[f"s{i}"] for i in range(len(NAMES))]) / n
-            cov = np.zeros((len(NAMES),) * 2)
-            for i, j in PAIRS:
-                cov[i, j] = cov[j, i] = row[f"q{i}_{j}"] / n - mean[i] * mean[j]
-            cov += np.diag([x * x for x in FLOORS.values()])
-            _, logdet = np.linalg.slogdet(cov)
-            out.append((row["grp"], int(row["start"]), float(logdet), mean.tolist(), np.linalg.inv(cov).ravel().tolist()))
-        yield pd.DataFrame(out, columns=["grp", "start", "logdet", "centre", "precision"])
+            centre, cov = estimate(row)
+            wide = floored(cov)
+            out.append((row["grp"], int(row["start"]), int(row["n"]), float(np.linalg.slogdet(wide)[1]), centre.tolist(), np.linalg.inv(wide).ravel().tolist(), cov.ravel().tolist()))
+        yield pd.DataFrame(out, columns=[x.split()[0] for x in ESTIMATE.split(", ")])
 
 
-ESTIMATE = "grp string, start int, logdet double, centre array<double>, precision array<double>"
+def squared_distance(centre: str = "centre", precision: str = "precision") -> Column:
+    d = [F.col(c) / CELL - F.col(centre)[i] for i, c in enumerate(NAMES)]
+    p = len(NAMES)
+    terms = [d[i] * d[j] * F.col(precision)[i * p + j] * (1 if i == j else 2) for i, j in PAIRS]
+    return sum(terms[1:], terms[0])
 
 
-def estimates(rows: DataFrame) -> DataFrame:
-    sums = [F.sum(c).alias(f"s{i}") for i, c in enumerate(NAMES)]
-    sums += [F.sum(F.col(NAMES[i]) * F.col(NAMES[j])).alias(f"q{i}_{j}") for i, j in PAIRS]
-    return rows.groupBy("grp", "start").agg(F.count("*").alias("n"), *sums).mapInPandas(_inverses, ESTIMATE)
+def distance_bin(d2: Column) -> Column:
+    return F.floor(F.log1p(1000 * F.greatest(d2, F.lit(0.0))) * BINS)
 
 
-def squared_distance() -> Column:
-    d = [F.col(c) - F.col("centre")[i] for i, c in enumerate(NAMES)]
-    p = len(NAMES)
-    terms = [d[i] * d[j] * F.col("precision")[i * p + j] * (1 if i == j else 2) for i, j in PAIRS]
-    return sum(terms[1:], terms[0])
+def _closer_half(ranked: DataFrame) -> DataFrame:
+    """The next estimates from rows with ``bin``: all bins up to and with that of the median."""
+    binned = moments(ranked, ["grp", "start", "bin"])
+    line = W.partitionBy("grp", "start").orderBy("bin")
+    before = F.coalesce(F.sum("n").over(line.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    all_rows = F.sum("n").over(W.partitionBy("grp", "start"))
+    near = binned.withColumns({"_before": before, "_all": all_rows}).where(2 * F.col("_before") < F.col("_all"))
+    return near.groupBy("grp", "start").agg(*[F.sum(c).alias(c) for c in MOMENTS]).mapInPandas(_estimates, ESTIMATE)
+
 
+def _middle(rows: DataFrame, value: str, by: list[str]) -> DataFrame:
+    """(by, middle): the exact weighted lower median of a whole-number column."""
+    counted = rows.groupBy(*by, value).agg(F.sum("n").alias("n"))
+    line = W.partitionBy(*by).orderBy(value)
+    counted = counted.withColumns({"_upto": F.sum("n").over(line), "_all": F.sum("n").over(W.partitionBy(*by))})
+    return counted.where(2 * F.col("_upto") >= F.col("_all")).groupBy(*by).agg(F.min(value).alias("middle"))
 
-def measured(rows: DataFrame, fit: DataFrame, *, by_start: bool) -> DataFrame:
-    fit = fit.select(F.col("grp").alias("_g"), *([F.col("start")] if by_start else []), "centre", "precision")
-    return common.attach(rows, fit, F.col("grp") == F.col("_g")).withColumn("d2", squared_distance()).drop("_g", "centre", "precision")
 
+def _long(rows: DataFrame, value=lambda c: F.col(c)) -> DataFrame:
+    """(grp, axis, x, n): a row per coordinate."""
+    axes = F.explode(F.array(*[F.struct(F.lit(i).alias("axis"), value(c).alias("x")) for i, c in enumerate(NAMES)])).alias("_a")
+    return rows.select("grp", "n", axes).select("grp", "n", "_a.axis", "_a.x")
 
-def mcd(rows: DataFrame, steps: int = STEPS) -> DataFrame:
-    """(grp, centre, precision, scale): the best start's estimate and its median squared distance."""
-    middle = rows.groupBy("grp").agg(*[F.percentile_approx(c, 0.5, 2000).alias(f"m_{c}") for c in NAMES])
-    rows_m = common.attach(rows, middle.withColumnRenamed("grp", "_g"), F.col("grp") == F.col("_g")).drop("_g")
-    spread = rows_m.groupBy("grp").agg(*[(1.4826 * F.percentile_approx(F.abs(F.col(c) - F.col(f"m_{c}")), 0.5, 2000)).alias(f"w_{c}") for c in NAMES])
-    rows_m = common.attach(rows_m, spread.withColumnRenamed("grp", "_g"), F.col("grp") == F.col("_g")).drop("_g")
-    z = [(F.col(c) - F.col(f"m_{c}")) / F.greatest(F.col(f"w_{c}"), F.lit(f)) for c, f in FLOORS.items()]
+
+def _by_axis(rows: DataFrame, out: str) -> DataFrame:
+    """(_g, out_0, out_1, ...) from (grp, axis, middle)."""
+    return rows.groupBy(F.col("grp").alias("_g")).agg(*[F.max(F.when(F.col("axis") == i, F.col("middle"))).alias(f"{out}_{i}") for i in range(len(NAMES))])
+
+
+def mcd(rows: DataFrame, steps: int = MAX_STEPS) -> DataFrame:
+    """``ESTIMATE`` of the best start of every group; ``rows`` are cells."""
+    middle = _by_axis(_middle(_long(rows), "x", ["grp", "axis"]), "m")
+    placed = common.attach(rows, middle, F.col("grp") == F.col("_g")).drop("_g")
+    spread = _by_axis(_middle(_long(placed, lambda c: F.abs(F.col(c) - F.col(f"m_{NAMES.index(c)}"))), "x", ["grp", "axis"]), "w")
+    placed = common.attach(placed, spread, F.col("grp") == F.col("_g")).drop("_g")
+    z = [(F.col(c) - F.col(f"m_{i}")) / CELL / F.greatest(F.col(f"w_{i}") * (1.4826 / CELL), F.lit(f)) for i, (c, f) in enumerate(FLOORS.items())]
     starts = F.array(
-        F.struct(F.lit(0).alias("start"), sum((x * x for x in z[1:]), z[0] * z[0]).alias("d2")),
-        F.struct(F.lit(1).alias("start"), F.greatest(*[F.abs(x) for x in z]).alias("d2")),
+        F.struct(F.lit(0).alias("start"), distance_bin(sum((x * x for x in z[1:]), z[0] * z[0])).alias("bin")),
+        F.struct(F.lit(1).alias("start"), distance_bin(F.greatest(*[F.abs(x) for x in z])).alias("bin")),
     )
-    ranked = rows_m.select("grp", *NAMES, F.explode(starts).alias("_s")).select("grp", *NAMES, "_s.start", "_s.d2")
-    fit = None
-    for _ in range(steps + 1):
-        half = ranked.groupBy("grp", "start").agg(F.percentile_approx("d2", 0.5, 2000).alias("_half"))
-        half = half.select(F.col("grp").alias("_g"), F.col("start").alias("_t"), "_half")
-        inner = common.attach(ranked, half, (F.col("grp") == F.col("_g")) & (F.col("start") == F.col("_t"))).where("d2 <= _half").drop("_g", "_t")
-        fit = common.materialise(estimates(inner), "mcd")
-        ranked = measured(rows, fit, by_start=True)
-    best = fit.groupBy("grp").agg(F.min_by(F.struct("centre", "precision"), F.struct("logdet", "start")).alias("_b")).select("grp", "_b.centre", "_b.precision")
-    scale = measured(rows, best, by_start=False).groupBy("grp").agg(F.percentile_approx("d2", 0.5, 2000).alias("scale"))
-    return best.join(scale, "grp")
-
-
-def robust_verdicts(stats: DataFrame, *, cutoff: float = CUTOFF, min_group: int = MIN_GROUP, steps: int = STEPS) -> DataFrame:
-    """Add ``base_failed``, ``distance`` (squared, scaled to chi-square) and ``kept`` to a table of statistics."""
-    rows = common.materialise(stats.withColumn("base_failed", base_failed()), "statistics")
-    rows = effective_groups(vectors(rows), min_group)
-    fit = mcd(rows.where(~F.col("base_failed")).select("grp", *NAMES), steps)
-    fit = fit.select(F.col("grp").alias("_g"), "centre", "precision", "scale")
-    judged = common.attach(rows, fit, F.col("grp") == F.col("_g"))
-    scaled = squared_distance() / F.greatest(F.col("scale") / CHI2_MEDIAN, F.lit(1e-9))
-    # an estimate with the floors added can only be too wide, so distances are never scaled up
-    judged = judged.withColumn("distance", F.least(scaled, squared_distance()))
-    kept = ~F.col("base_failed") & (F.coalesce(F.col("distance"), F.lit(0.0)) <= cutoff)
-    return judged.withColumn("kept", kept).drop("_g", "centre", "precision", "scale")
-
-
-def quality_rules(docs: DataFrame, **options) -> DataFrame:
-    return robust_verdicts(text_statistics(docs), **options)
+    ranked = placed.select("grp", *NAMES, "n", F.explode(starts).alias("_s")).select("grp", *NAMES, "n", "_s.start", "_s.bin")
+    fit = common.materialise(_closer_half(ranked), "mcd")
+    for _ in range(steps):
+        known = fit.select(F.col("grp").alias("_g"), "start", "centre", "precision")
+        ranked = common.attach(rows, known, F.col("grp") == F.col("_g")).withColumn("bin", distance_bin(squared_distance()))
+        after = common.materialise(_closer_half(ranked.select("grp", "start", *NAMES, "n", "bin")), "mcd")
+        moved = after.alias("a").join(fit.alias("b"), ["grp", "start"]).where(F.col("a.logdet") < F.col("b.logdet") - 1e-9)
+        # a step that doesn't lower a group's determinant leaves its estimate as it was
+        fit = common.materialise(after.unionByName(fit).groupBy("grp", "start").agg(F.min_by(F.struct("n", "logdet", "centre", "precision", "cov"), "logdet").alias("_f")).select("grp", "start", "_f.*"), "mcd")
+        if moved.isEmpty():
+            break
+    best = fit.groupBy("grp").agg(F.min_by(F.struct("start", "n", "logdet", "centre", "precision", "cov"), F.struct("logdet", "start")).alias("_b"))
+    return best.select("grp", "_b.*")
+
+
+def drawn(own: tuple, above: tuple, k: float) -> tuple[np.ndarray, np.ndarray, float]:
+    """(centre, covariance, rows) of a group drawn towards the level above by n / (n + k)."""
+    share = own[2] / (own[2] + k)
+    return share * own[0] + (1 - share) * above[0], share * own[1] + (1 - share) * above[1], own[2]
+
+
+MODEL = "lang string, source string, centre array<double>, precision array<double>"
+
+
+def _drawn(k: float):
+    p = len(NAMES)
+
+    def run(batches):
+        for frame in batches:
+            out = []
+            for row in frame.to_dict("records"):
+                whole, language, own = ((np.array(row[f"centre_{x}"]), np.array(row[f"cov_{x}"]).reshape(p, p), row[f"rows_{x}"]) for x in LEVELS)
+                centre, cov, _ = drawn(own, drawn(language, whole, k), k)
+                out.append((row["lang"], row["source"], centre.tolist(), np.linalg.inv(floored(cov)).ravel().tolist()))
+            yield pd.DataFrame(out, columns=[x.split()[0] for x in MODEL.split(", ")])
+
+    return run
+
+
+def models(rows: DataFrame, steps: int = MAX_STEPS, prior_rows: float = PRIOR_ROWS) -> DataFrame:
+    """(lang, source, centre, precision, scale) of every language and source; ``rows`` have vectors."""
+    table = common.materialise(cells(rows), "cells")
+    fit = mcd(table, steps).join(table.groupBy("grp").agg(F.sum("n").alias("rows")), "grp")
+    fit = common.materialise(fit, "fit")
+    groups = rows.select("lang", "source").distinct()
+    for level in LEVELS:
+        own = fit.select(F.col("grp").alias("_g"), *[F.col(c).alias(f"{c}_{level}") for c in ("centre", "cov", "rows")])
+        groups = groups.join(own, group_name(level) == F.col("_g")).drop("_g")
+    model = common.materialise(groups.mapInPandas(_drawn(prior_rows), MODEL), "models")
+    # distances are scaled so that their median is that of chi-square, but never made larger
+    placed = common.attach(table, model.select(group_name("own").alias("_g"), "centre", "precision"), F.col("grp") == F.col("_g"), "inner")
+    middle = _middle(placed.withColumn("bin", distance_bin(squared_distance())), "bin", ["grp"])
+    scale = F.greatest(F.lit(1.0), F.expm1(F.col("middle") / BINS) / 1000 / CHI2_MEDIAN)
+    middle = middle.select(F.col("grp").alias("_g"), scale.alias("scale"))
+    return common.materialise(model.join(middle, group_name("own") == F.col("_g")).drop("_g"), "models")
+
+
+def robust_verdicts(stats: DataFrame, *, tail: float = TAIL, steps: int = MAX_STEPS, prior_rows: float = PRIOR_ROWS) -> DataFrame:
+    """Add ``base_failed``, ``distance`` (squared, scaled to chi-square; null without a group's estimate) and ``kept``."""
+    spark = stats.sparkSession
+    with common.only_last(spark), common.batches_of(spark, 8 << 20):
+        rows = vectors(common.materialise(stats.withColumn("base_failed", base_failed()), "statistics"))
+        fit = models(rows.where(~F.col("base_failed")), steps, prior_rows)
+        fit = fit.withColumnsRenamed({"lang": "_l", "source": "_s"})
+        judged = common.attach(rows, fit, F.col("lang").eqNullSafe(F.col("_l")) & F.col("source").eqNullSafe(F.col("_s")))
+        judged = judged.withColumn("distance", squared_distance() / F.col("scale"))
+        kept = ~F.col("base_failed") & (F.coalesce(F.col("distance"), F.lit(0.0)) <= chi_square(tail))
+        return common.materialise(judged.withColumn("kept", kept).drop("_l", "_s", "centre", "precision", "scale"), "verdicts")
+
+
+def quality_rules(docs: DataFrame, *, columns: list[str] | None = None, **options) -> DataFrame:
+    """Statistics and verdict of every row of ``docs``; ``row_key`` is a hash of ``columns``."""
+    return robust_verdicts(text_statistics(docs, columns), **options)

@@ -1,24 +1,14 @@
 """Quality statistics and verdicts, token counts, mixing."""
 
-import re
-from collections import Counter
-
 import numpy as np
+import pytest
 
 from daybook.llm import mixing as M
 from daybook.llm import quality_rules as Q
 from daybook.llm import token_counts as T
+from tests.llm import plain
 
-WORD = re.compile(r"[^\x20\x09-\x0D]+")
-
-
-def plain_statistics(text):
-    text = text or ""
-    words = WORD.findall(text)
-    lines = [x for x in text.split("\n") if WORD.search(x)]
-    windows = Counter(tuple(words[i : i + 3]) for i in range(len(words) - 2))
-    cover = {i + k for i in range(len(words) - 2) if windows[tuple(words[i : i + 3])] > 1 for k in range(3)}
-    return len(words), sum(map(len, words)), sum(c in "#*$%&|<>" for c in text), len(lines) - len(set(lines)), len(lines), len(cover)
+plain_statistics = plain.statistics
 
 
 def test_statistics_equal_plain_ones(texts):
@@ -26,11 +16,38 @@ def test_statistics_equal_plain_ones(texts):
         assert Q.statistics_of(t) == plain_statistics(t)
 
 
-def test_verdicts(docs):
-    out = Q.quality_rules(docs).toPandas()
-    assert len(out) == docs.count() and out.kept.notna().all()
-    assert (out.base_failed == ((out.n_words < 50) | (100 * out.n_repeat_words > 50 * out.n_words))).all()
-    assert not (out.kept & out.base_failed).any()
+def held_against_plain(frame):
+    rows = [tuple(x) for x in frame.select("doc_id", "text", "lang", "source").collect()]
+    want = {}
+    for (i, t, g, s), (stats, base, d2) in zip(rows, plain.verdicts([r[1:] for r in rows]), strict=True):
+        want.setdefault((i, g, s, stats, base), []).append((t, d2))
+    limit, n = Q.chi_square(Q.TAIL), 0
+    for x in Q.quality_rules(frame).collect():
+        stats = (x.n_words, x.word_chars, x.n_symbols, x.n_dup_lines, x.n_lines, x.n_repeat_words)
+        d2 = want[(x.doc_id, x.lang, x.source, stats, x.base_failed)][0][1]
+        assert (x.distance is None) == (d2 is None)
+        assert d2 is None or x.distance == pytest.approx(d2, rel=1e-6, abs=1e-6)
+        assert x.kept == (not x.base_failed and (d2 is None or d2 <= limit))
+        n += 1
+    assert n == len(rows)
+
+
+def test_verdicts_equal_a_slow_estimate(docs):
+    held_against_plain(docs)
+
+
+def test_verdicts_of_groups_of_all_sizes(spark):
+    r = np.random.default_rng(6)
+    rows = []
+    for k, n in enumerate((1, 2, 3, 10, 40, 90)):
+        for _ in range(n):
+            words = [f"w{x}" + "$" * int(r.random() < 0.05 * k) for x in r.integers(0, 90 + 900 * k, int(r.integers(55, 160)))]
+            rows.append((len(rows), " ".join(words) + "\nsame line\nsame line" * int(r.integers(0, 3)), ("en", "de", None)[k % 3], f"s{k}"))
+    held_against_plain(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string"))
+
+
+def test_limit_is_a_chi_square_quantile():
+    assert Q.CHI2_MEDIAN == pytest.approx(3.356694, abs=1e-6) and Q.chi_square(0.05) == pytest.approx(9.487729, abs=1e-6)
 
 
 def test_outliers_of_a_group_are_rejected(spark):
@@ -59,19 +76,15 @@ def test_empty_tables(empty):
     assert Q.quality_rules(empty).count() == T.token_counts(empty).count() == M.mix(empty).count() == 0
 
 
-def plain_targets(sizes):
-    names = sorted((s for s in sizes if s is not None)) + [None] * (None in sizes)
-    weight = {s: (5, 2, 1)[i % 3] for i, s in enumerate(names)}
-    target, left, free = {}, 1.5 * sum(sizes.values()), set(names)
-    while True:
-        total = sum(weight[s] for s in free)
-        over = {s for s in free if left * weight[s] / total > 2 * sizes[s] + 1e-9}
-        if not over:
-            return target | {s: left * weight[s] / total for s in free}
-        for s in over:
-            target[s] = 2 * sizes[s]
-            left -= target[s]
-        free -= over
+def test_row_keys_tell_nulls_apart(spark):
+    from daybook.llm import common
+
+    rows = [(1, None, "x"), (1, "x", None), (1, "x", "x"), (1, None, None)]
+    frame = spark.createDataFrame(rows, "doc_id long, lang string, source string")
+    assert frame.select(common.row_key(frame.columns).alias("k")).distinct().count() == 4
+
+
+plain_targets = plain.targets
 
 
 def test_mix_meets_its_targets(docs):
