@@ -10,6 +10,7 @@ import pytest
 from daybook.llm import near_dedup as N
 from daybook.llm import simhash as S
 from daybook.llm import suffix_dedup as D
+from tests.llm import plain
 
 
 def test_next_edits(docs):
@@ -42,8 +43,43 @@ def test_likeness_follows_the_share_of_common_terms():
     assert S.likeness(whole, close) > 0.9 > 0.75 > S.likeness(whole, other)
 
 
-@pytest.mark.parametrize(("radius", "blocks"), [(0, 2), (3, 6), (2, 4)])
-def test_block_tables_find_all_near_fingerprints(spark, radius, blocks):
+def plain_fingerprint(text):
+    words = text.encode().split()
+    n = min(3, len(words))
+    terms = Counter(tuple(words[i : i + n]) for i in range(len(words) - n + 1)) if n else {}
+    votes = [0] * 64
+    for term, count in terms.items():
+        h = int(S.term_hashes(b" ".join(term).decode(), {})[0])
+        for k in range(64):
+            votes[k] += count.bit_length() * (1 if h >> k & 1 else -1)
+    return sum(1 << k for k in range(64) if votes[k] > 0)
+
+
+def test_fingerprints_equal_a_plain_vote(docs):
+    rows = [(x.doc_id, x.text or "") for x in docs.select("doc_id", "text").collect()]
+    short = [t for _, t in rows if len(t) < 3000]
+    assert [S.fingerprint(S.term_hashes(t, {})) for t in short] == [plain_fingerprint(t) for t in short]
+    got = S.fingerprinted(docs).collect()
+    by = {}
+    for i, t in rows:
+        by.setdefault(i, []).append(t)
+    prints = {S.fingerprint(S.term_hashes(t, {})) for _, t in rows}
+    for x in got:
+        own = int(x.fingerprint, 16)
+        assert any(len(t) == x.n_chars and own == S.fingerprint(S.term_hashes(t, {})) for t in by[x.doc_id])
+        assert x.n_near == sum(0 < (own ^ p).bit_count() <= S.RADIUS for p in prints)
+        assert x.near_edited == 1 - (own ^ int(x.edited_fingerprint, 16)).bit_count() / 64
+    once = {i: t[0] for i, t in by.items() if len(t) == 1 and i is not None}
+    for x in got:
+        if x.doc_id in once and x.doc_id + 1 in once:
+            t, f = once[x.doc_id], once[x.doc_id + 1]
+            h = len(t) // 2
+            assert int(x.edited_fingerprint, 16) == S.fingerprint(S.term_hashes(t[: len(t) - h] + f[:h], {}))
+
+
+@pytest.mark.parametrize(("radius", "blocks", "part"), [(0, 2, 4096), (3, 6, 4096), (2, 4, 4096), (3, 6, 7)])
+def test_block_tables_find_all_near_fingerprints(spark, monkeypatch, radius, blocks, part):
+    monkeypatch.setattr(S, "PART_CLASSES", part)
     r = random.Random(3)
     prints = [r.getrandbits(64) for _ in range(60)]
     for x in prints[:30]:
@@ -52,18 +88,18 @@ def test_block_tables_find_all_near_fingerprints(spark, radius, blocks):
             for b in r.sample(range(64), r.randint(0, 5)):
                 y ^= 1 << b
             prints.append(y)
-    rows = spark.createDataFrame([(i, f"{x:016x}") for i, x in enumerate(prints)] + [(999, None)], "doc_id long, fingerprint string")
-    members, pairs = S.near_fingerprints(rows, radius=radius, blocks=blocks)
-    signed = [S._signed(x) for x in prints]
-    assert {(x.doc_id, x["class"]) for x in members.collect()} == set(enumerate(signed))
-    distinct = sorted(set(signed))
+    for _ in range(80):  # a crowd around one of them
+        prints.append(prints[0] ^ (1 << r.randrange(64)) ^ (1 << r.randrange(64)))
+    distinct = sorted({S._signed(x) for x in prints})
+    classes = spark.createDataFrame([(x,) for x in distinct], "class long")
     want = {(a, b, n) for i, a in enumerate(distinct) for b in distinct[i + 1 :] if (n := ((a ^ b) & (2**64 - 1)).bit_count()) <= radius}
-    assert {tuple(x) for x in pairs.collect()} == want
+    got = [tuple(x) for x in S.near_pairs(classes, radius=radius, blocks=blocks).collect()]
+    assert len(got) == len(set(got)) and set(got) == want
+    counts = Counter(x for a, b, _ in want for x in (a, b))
+    assert {tuple(x) for x in S.near_counts(classes, radius=radius, blocks=blocks).collect()} == set(counts.items())
 
 
-def shingle_set(text):
-    words = (text or "").encode().lower().split()
-    return {tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))} if words else set()
+shingle_set = plain.shingle_set
 
 
 def test_near_duplicates(docs):
@@ -117,28 +153,80 @@ def test_registers_merge():
 
 
 def plain_removal(rows, length=50):
-    first = {}
-    for i, t in rows:
-        for k in range(len(t) - length + 1):
-            w = t[k : k + length]
-            first[w] = min(first.get(w, i), i)
     out = []
-    for i, t in rows:
-        gone = [False] * len(t)
-        for k in range(len(t) - length + 1):
-            if first[t[k : k + length]] < i:
-                gone[k : k + length] = [True] * length
+    for (i, t), gone in zip(rows, plain.removed(rows, length), strict=True):
         kept = bytes(c for c, g in zip(t, gone, strict=True) if not g)
         out.append((i, len(t), sum(gone), sum(g and not (k and gone[k - 1]) for k, g in enumerate(gone)), hashlib.sha256(kept).hexdigest()))
     return Counter(out)
 
 
-def test_repeated_passages(docs):
+def holds(frame, length=50, **options):
     none = 1 << 62
-    rows = [(none if x.doc_id is None else x.doc_id, (x.text or "").encode()) for x in docs.select("doc_id", "text").collect()]
-    got = D.remove_repeats(docs).collect()
-    assert Counter((none if x.doc_id is None else x.doc_id, x.n_bytes, x.n_removed, x.n_spans, x.kept_sha256) for x in got) == plain_removal(rows)
+    rows = [(none if x.doc_id is None else x.doc_id, (x.text or "").encode()) for x in frame.select("doc_id", "text").collect()]
+    got = D.remove_repeats(frame, length=length, **options).collect()
+    assert Counter((none if x.doc_id is None else x.doc_id, x.n_bytes, x.n_removed, x.n_spans, x.kept_sha256) for x in got) == plain_removal(rows, length)
+
+
+def test_repeated_passages(docs):
+    holds(docs)
+
+
+def test_passages_that_overlap_in_part(spark, monkeypatch):
+    """Texts of few letters and periodic texts: anchors repeat, stretches differ by where they begin and end."""
+    r = random.Random(11)
+    base = "".join(r.choice("ab") for _ in range(400))
+    rows = []
+    for i in range(120):
+        a = r.randrange(300)
+        cut = base[a : a + r.randint(40, 100)]
+        rows.append((i, "".join(r.choice("ab") for _ in range(r.randint(0, 30))) + cut + "".join(r.choice("abc") for _ in range(r.randint(0, 30)))))
+    rows += [(200 + i, ("xy" * 40)[i % 3 : 40 + 7 * i % 60]) for i in range(20)] + [(300 + i, "z" * (45 + i)) for i in range(12)]
+    rows += [(400 + i, "\0" * (48 + i) + "q" * i + "\0" * 60) for i in range(8)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    holds(frame, chunk_bytes=1500)
+    holds(frame, length=20)
+    monkeypatch.setattr(D, "SETTLE", 7)
+    holds(frame, chunk_bytes=1500)
+
+
+def phrase_rows(n):
+    r = random.Random(12)
+    phrase, letters = "under the terms of this licence only ", "abcdefghijklmnopqrstuvwxyz "
+    fill = lambda k: "".join(r.choice(letters) for _ in range(k))
+    rows = [(i, fill(60) + phrase + fill(60)) for i in range(n)]
+    return rows + [(n + i, rows[i][1][20:120] + fill(9)) for i in range(0, n, 50)]
+
+
+def test_crowded_anchors_are_cut_into_windows(spark, monkeypatch):
+    """One phrase in thousands of contexts; some of them occur twice."""
+    monkeypatch.setattr(D, "CROWD", 50)
+    holds(spark.createDataFrame(phrase_rows(3000), "doc_id long, text string").repartition(4), chunk_bytes=40_000)
+
+
+def test_a_crowded_anchor_is_found(spark):
+    rows = phrase_rows(1500)
+    texts = [t.encode() for _, t in rows]
+    c = D._Chunk({"chunk": 0, "data": b"".join(texts), "ids": [i for i, _ in rows], "sizes": [len(t) for t in texts]}, 50)
+    key, several, often, number = c.anchors()
+    at = int(np.bincount(number).argmax())
+    assert several[at] and often[at] == 255 and int(c.sketch(number, len(key))[at]).bit_count() == 8
+
+
+def test_characters_that_lose_a_byte_go_as_a_whole():
+    text = "aé€😀b\ufffd"
+    raw = np.frombuffer(text.encode(), np.uint8)
+    for k in range(len(raw)):
+        gone = np.zeros(len(raw), bool)
+        gone[k] = True
+        kept = raw[~D.whole_characters(raw, gone)].tobytes().decode()
+        assert len(kept) == len(text) - 1 and kept in {text[:i] + text[i + 1 :] for i in range(len(text))}
+
+
+def test_lengths_that_front_coding_cannot_hold_are_refused(empty):
+    for length in (15, 131):
+        with pytest.raises(ValueError, match="16 to 130"):
+            D.remove_repeats(empty, length=length)
 
 
 def test_empty_tables(empty):
-    assert S.next_edits(empty).count() == N.near_duplicates(empty).count() == D.remove_repeats(empty).count() == 0
+    assert S.fingerprinted(empty).count() == N.near_duplicates(empty).count() == D.remove_repeats(empty).count() == 0
