@@ -32,6 +32,11 @@ def open_input(uri: str):
     return system.open_input_file(path)
 
 
+def file_tasks(files: int, most: int = 10_000) -> int:
+    """Tasks that deal with so many files: one each, or several one behind the other."""
+    return max(1, min(files, most))
+
+
 def read_all(uri: str) -> bytes:
     with open_input(uri) as f:
         return f.read()

@@ -1,12 +1,16 @@
 """WARC archives: a monolithic gzip writer, its normaliser with a sidecar offset index, and a reader by that index.
 
 ``write_archives`` puts a record per page into archives that are one gzip stream each, as crawlers that pipe
-through gzip leave them.  ``normalise`` inflates such a stream once, in pieces, rewrites every record as a gzip
-member of its own and writes the index ``<archive>.idx`` (a JSON line per record: offset, length, type, id).
-``read_archives`` seeks to each member by the index.
+through gzip leave them.  ``normalise`` inflates such a stream once, in bounded pieces, rewrites every record as a gzip
+member of its own and writes the index ``<archive>.idx`` (a JSON line per record: offset, length, type, id).  A stream
+that ends early, or whose checksum is wrong, is an error.  ``read_archives`` seeks to each member by the index.
 
 Of records with equal payloads of ``min_revisit_bytes`` or more, the one with the largest page id is a response
-and the others revisit it; no payload is stored for a revisit.
+and the others revisit it; no payload is stored for a revisit.  Payloads that are smaller, or stand alone, aren't
+shuffled by digest unless they share a task with those that are; digests of very many pages are broadcast.
+
+Record ids are made of the archive's name and the record's place in it, so they are unique whatever the page ids; the
+page's id and that of the page it refers to are fields of their own (``X-Page-ID``, ``X-Refers-To-Page``).
 
 Defined results: a null payload is empty; a null id never is the largest, so among equal payloads whose ids are
 all null every record is a response; rows that share the largest id are all responses; each row gives a record; an
@@ -18,6 +22,7 @@ from __future__ import annotations
 import base64
 import hashlib
 import json
+import uuid
 import zlib
 from collections.abc import Iterator
 
@@ -31,44 +36,56 @@ VERSION = b"WARC/1.1\r\n"
 ARCHIVE_BYTES = 64 << 20
 READ_BYTES = 1 << 20
 MIN_REVISIT_BYTES = 1000
+#: ``WARC-Date`` of pages, which come without one.
+DATE = "2000-01-01T00:00:00Z"
+PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 RECORD = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, url string"
 
 
 def planned(pages: DataFrame, min_bytes: int = MIN_REVISIT_BYTES) -> DataFrame:
-    """(page_id, url, payload, digest, refers_to); ``refers_to`` is null for responses."""
+    """(page_id, url, payload, digest, refers_to, refers_url); both are null for responses."""
     payload = F.coalesce(F.col("html").cast("string"), F.lit("")).cast("binary")
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), payload.alias("payload"))
     rows = rows.withColumn("digest", F.sha1("payload"))
-    slim = rows.where(F.octet_length("payload") >= min_bytes).select("digest", "page_id")
-    original = slim.groupBy("digest").agg(F.max("page_id").alias("_last"), F.count("*").alias("_n")).where("_n > 1 and _last is not null")
-    joined = rows.join(original.select(F.col("digest").alias("_digest"), "_last"), F.col("digest") == F.col("_digest"), "left")
+    large, small = rows.where(F.octet_length("payload") >= min_bytes), rows.where(F.octet_length("payload") < min_bytes)
+    same = large.groupBy("digest").agg(F.max("page_id").alias("_last"), F.count("*").alias("_n")).where("_n > 1 and _last is not null")
+    same = common.materialise(same, "equal")
+    urls = large.select(F.col("digest").alias("_d"), "page_id", "url").join(same, (F.col("_d") == F.col("digest")) & (F.col("page_id") == F.col("_last")))
+    urls = urls.groupBy("digest").agg(F.max("_last").alias("_last"), F.max("_n").alias("_n"), F.min("url").alias("_url"))
+    joined = common.join_split(large, common.materialise(urls, "equal"), "digest", "_n", "left")
     later = F.col("page_id").isNull() | (F.col("page_id") < F.col("_last"))
-    return joined.withColumn("refers_to", F.when(later, F.col("_last"))).drop("_digest", "_last")
+    joined = joined.withColumn("refers_to", F.when(later, F.col("_last"))).withColumn("refers_url", F.when(later, F.coalesce("_url", F.lit("")))).drop("_last", "_url")
+    return joined.unionByName(small.withColumns({"refers_to": F.lit(None).cast("long"), "refers_url": F.lit(None).cast("string")}))
 
 
-def _identity(page_id: int | None) -> str:
-    return f"<urn:x-page:{'' if page_id is None else page_id}>"
+def _page(number: str) -> int | None:
+    return int(number) if number else None
 
 
-def _page(identity: str) -> int | None:
-    number = identity.strip("<>").rpartition(":")[2]
-    return int(number) if number else None
+def _address(url: str | None) -> str:
+    return (url or "").replace("\r", "%0D").replace("\n", "%0A")
+
+
+def record_id(archive: str, number: int) -> str:
+    return f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'{archive}#{number}')}>"
 
 
-def record(page_id: int | None, url: str | None, payload: bytes, digest: str, refers_to: int | None) -> bytes:
-    """A response or revisit record, with the two line ends that close it."""
-    coded = base64.b32encode(bytes.fromhex(digest)).decode()
+def record(identity: str, row: dict, date: str = DATE) -> bytes:
+    """A response or revisit record of a planned row, with the two line ends that close it."""
+    coded, revisit = base64.b32encode(bytes.fromhex(row["digest"])).decode(), row["refers_to"] is not None
     head = {
-        "WARC-Type": "response" if refers_to is None else "revisit",
-        "WARC-Record-ID": _identity(page_id),
-        "WARC-Target-URI": (url or "").replace("\r", "%0D").replace("\n", "%0A"),
+        "WARC-Type": "revisit" if revisit else "response",
+        "WARC-Record-ID": identity,
+        "WARC-Date": date,
+        "WARC-Target-URI": _address(row["url"]),
         "WARC-Payload-Digest": f"sha1:{coded}",
-        "X-Payload-Length": str(len(payload)),
+        "X-Page-ID": "" if row["page_id"] is None else str(row["page_id"]),
+        "X-Payload-Length": str(len(row["payload"])),
         "Content-Type": "application/http; msgtype=response",
     }
-    if refers_to is not None:
-        head |= {"WARC-Refers-To": _identity(refers_to), "WARC-Profile": "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"}
-    block = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n" + (payload if refers_to is None else b"")
+    if revisit:
+        head |= {"WARC-Profile": PROFILE, "WARC-Refers-To-Target-URI": _address(row["refers_url"]), "WARC-Refers-To-Date": date, "X-Refers-To-Page": str(row["refers_to"])}
+    block = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n" + (b"" if revisit else row["payload"])
     head["Content-Length"] = str(len(block))
     return VERSION + "".join(f"{k}: {v}\r\n" for k, v in head.items()).encode() + b"\r\n" + block + b"\r\n\r\n"
 
@@ -100,17 +117,22 @@ def split_records(chunks: Iterator[bytes]) -> Iterator[bytes]:
 
 
 def inflated(source) -> Iterator[bytes]:
-    """The content of a gzip file of any number of members, in pieces."""
+    """The content of a gzip file of any number of members, in pieces of at most ``READ_BYTES``."""
     inflate = zlib.decompressobj(31)
     while data := source.read(READ_BYTES):
         while data:
-            yield inflate.decompress(data)
-            data = inflate.unused_data
             if inflate.eof:
                 inflate = zlib.decompressobj(31)
+            if piece := inflate.decompress(data, READ_BYTES):
+                yield piece
+            data = inflate.unused_data if inflate.eof else inflate.unconsumed_tail
+    while piece := inflate.decompress(b"", READ_BYTES):
+        yield piece
+    if not inflate.eof:
+        raise ValueError("the gzip stream ends before its checksum")
 
 
-def _write(folder: str, archive_bytes: int):
+def _write(folder: str, archive_bytes: int, date: str):
     def run(batches):
         out, squeeze, uri, size, n = None, None, "", 0, 0
 
@@ -124,7 +146,7 @@ def _write(folder: str, archive_bytes: int):
                 if out is None:
                     uri = files.fresh(folder, ".warc.gz")
                     out, squeeze, size, n = files.open_output(uri), zlib.compressobj(6, zlib.DEFLATED, 31), 0, 0
-                data = record(row["page_id"], row["url"], row["payload"], row["digest"], row["refers_to"])
+                data = record(record_id(uri, n), row, date)
                 out.write(squeeze.compress(data))
                 size, n = size + len(data), n + 1
                 if size >= archive_bytes:
@@ -136,11 +158,11 @@ def _write(folder: str, archive_bytes: int):
     return run
 
 
-def write_archives(pages: DataFrame, folder: str, *, min_revisit_bytes: int = MIN_REVISIT_BYTES, archive_bytes: int = ARCHIVE_BYTES) -> DataFrame:
+def write_archives(pages: DataFrame, folder: str, *, min_revisit_bytes: int = MIN_REVISIT_BYTES, archive_bytes: int = ARCHIVE_BYTES, date: str = DATE) -> DataFrame:
     """Write monolithic archives into ``folder``; (archive, n_records) per file."""
-    common.small_batches(pages.sparkSession, 500)
-    rows = planned(pages, min_revisit_bytes)
-    return common.materialise(rows.mapInArrow(_write(folder, archive_bytes), "archive string, n_records long"), "archives")
+    with common.only_last(pages.sparkSession), common.batches_of(pages.sparkSession):
+        rows = planned(pages, min_revisit_bytes)
+        return common.materialise(rows.mapInArrow(_write(folder, archive_bytes, date), "archive string, n_records long"), "archives")
 
 
 def normalise_file(source: str, target: str) -> int:
@@ -172,8 +194,8 @@ def _normalise(folder: str):
 
 
 def _spread(archives: DataFrame) -> DataFrame:
-    """One row a task, as near as may be: each row stands for a file."""
-    return archives.repartition(max(1, archives.count()))
+    """Each row stands for a file; a task takes one, or several one behind the other."""
+    return archives.repartition(files.file_tasks(archives.count()))
 
 
 def normalise(archives: DataFrame, folder: str) -> DataFrame:
@@ -190,12 +212,12 @@ def read_record(data: bytes) -> tuple:
     payload = block[block.index(b"\r\n\r\n") + 4 :]
     stated = base64.b32decode(head["warc-payload-digest"].partition(":")[2]).hex()
     if head["warc-type"] == "revisit":
-        size, digest, refers = int(head["x-payload-length"]), stated, _page(head["warc-refers-to"])
+        size, digest, refers = int(head["x-payload-length"]), stated, _page(head["x-refers-to-page"])
     else:
         size, digest, refers = len(payload), hashlib.sha1(payload).hexdigest(), None
         if digest != stated:
             raise ValueError(f"{head['warc-record-id']}: the payload is not the one that was written")
-    return _page(head["warc-record-id"]), size, digest, head["warc-type"], refers, head["warc-target-uri"]
+    return _page(head["x-page-id"]), size, digest, head["warc-type"], refers, head["warc-target-uri"]
 
 
 def _read(batches):

@@ -2,6 +2,7 @@
 
 import gzip
 import hashlib
+import io
 import json
 
 import pytest
@@ -38,9 +39,38 @@ def test_members_stand_alone_and_the_index_finds_them(pages, tmp_path):
         assert len(data) > len(files.read_all(row.source)) or row.n_records == 1
 
 
+def planned_row(page_id, payload=b"x", refers_to=None):
+    return {"page_id": page_id, "url": "u", "payload": payload, "digest": hashlib.sha1(payload).hexdigest(), "refers_to": refers_to, "refers_url": None if refers_to is None else "w"}
+
+
 def test_broken_stream_is_an_error():
     with pytest.raises(ValueError, match="left after"):
-        list(warc.split_records(iter([warc.record(1, "u", b"x", "00", None)[:-1]])))
+        list(warc.split_records(iter([warc.record("<urn:uuid:1>", planned_row(1))[:-1]])))
+
+
+@pytest.mark.parametrize("short", [1, 4, 8, 9, 200, None])
+def test_truncated_streams_are_errors(short):
+    records = b"".join(warc.record(warc.record_id("a", i), planned_row(i, bytes([i]) * 5000)) for i in range(40))
+    whole = gzip.compress(records)
+    assert b"".join(warc.inflated(io.BytesIO(whole))) == records
+    assert b"".join(warc.inflated(io.BytesIO(whole + whole))) == records * 2
+    with pytest.raises(ValueError, match="ends before"):
+        list(warc.inflated(io.BytesIO(whole[:-short] if short else b"")))
+
+
+def test_inflating_is_bounded():
+    pieces = [len(x) for x in warc.inflated(io.BytesIO(gzip.compress(bytes(50 << 20))))]
+    assert sum(pieces) == 50 << 20 and max(pieces) <= warc.READ_BYTES
+
+
+def test_required_fields_and_unique_ids(pages, tmp_path):
+    raw = warc.write_archives(pages, f"file://{tmp_path}/raw")
+    heads = []
+    for row in raw.collect():
+        heads += [warc.fields(x[: x.index(b"\r\n\r\n")]) for x in warc.split_records(iter([gzip.decompress(files.read_all(row.archive))]))]
+    assert len({h["warc-record-id"] for h in heads}) == len(heads) == pages.count()
+    assert all(h[k] for h in heads for k in ("warc-type", "warc-record-id", "warc-date", "content-length"))
+    assert {h["warc-refers-to-target-uri"] for h in heads if h["warc-type"] == "revisit"} == {"u2", "u"}
 
 
 def test_empty_table(spark):
