@@ -11,8 +11,9 @@ and position resets:
   cumulative segment lengths ``0, l1, l1 + l2, ...``;
 * ``<shard>.reset``: int64 offsets into the flat matrix at which the position starts from 0 again.
 
-Defined results: null and empty texts have no token and no piece; rows with equal ids are packed one by one; an
-empty table gives an empty result; extra columns are ignored.
+Defined results: null and empty texts have no token and no piece; rows with equal ids are packed one by one (those
+that are equal in id and text as well go to one shard); which shard a piece goes to depends on its id, number and
+tokens only; an empty table gives an empty result; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -107,7 +108,11 @@ def vocabulary_path(name: str = VOCABULARY) -> str:
     return public_tokenizers.path(name)
 
 
-def _pieces(path: str | None, context: int, wide: bool):
+PIECE = "doc_id long, piece long, start long, ids binary"
+
+
+def encoded(path: str | None, context: int, wide: bool):
+    """Task function: (doc_id, text) to ``PIECE`` rows of at most ``context`` little-endian ids."""
     kind = np.dtype("<u4" if wide else "<u2")
     names = ["doc_id", "piece", "start", "ids"]
 
@@ -130,7 +135,7 @@ def _pack(folder: str, context: int, wide: bool, pad: int):
     kind = np.dtype("<u4" if wide else "<u2")
 
     def run(table: pa.Table) -> pa.Table:
-        order = np.lexsort([np.array(table.column(c).fill_null(-1).to_pylist(), np.int64) for c in ("piece", "doc_id")])
+        order = sorted(range(table.num_rows), key=list(zip(table.column("doc_id").fill_null(-1).to_pylist(), table.column("piece").to_pylist(), table.column("ids").to_pylist(), strict=True)).__getitem__)
         table = table.take(pa.array(order))
         ids = table.column("ids").to_pylist()
         lengths = np.array([len(x) // kind.itemsize for x in ids], np.int64)
@@ -147,41 +152,41 @@ def _pack(folder: str, context: int, wide: bool, pad: int):
         files.write_all(f"{name}.ids", matrix.tobytes())
         files.write_all(f"{name}.cu", np.array(cumulative, "<i8").tobytes())
         files.write_all(f"{name}.reset", resets.astype("<i8").tobytes())
-        shard = pa.array([name.rpartition("/")[2]] * len(ids), pa.string())
+        shard = pa.array([name] * len(ids), pa.string())
         columns = [*(table.column(c) for c in ("doc_id", "piece", "start")), pa.array(lengths), shard, pa.array(row), pa.array(offset)]
         return pa.Table.from_arrays([c.combine_chunks() if isinstance(c, pa.ChunkedArray) else c for c in columns], [x.split()[0] for x in SEGMENT.split(", ")])
 
     return run
 
 
-def read_shard(folder: str, shard: str, context: int = CONTEXT, *, wide: bool = False) -> tuple[np.ndarray, list[np.ndarray], np.ndarray]:
+def read_shard(shard: str, context: int = CONTEXT, *, wide: bool = False) -> tuple[np.ndarray, list[np.ndarray], np.ndarray]:
     """(id matrix, cumulative segment lengths of each row, position of every id) of a written shard."""
-    matrix = np.frombuffer(files.read_all(f"{folder}/{shard}.ids"), "<u4" if wide else "<u2").reshape(-1, context)
-    flat = np.frombuffer(files.read_all(f"{folder}/{shard}.cu"), "<i8")
+    matrix = np.frombuffer(files.read_all(f"{shard}.ids"), "<u4" if wide else "<u2").reshape(-1, context)
+    flat = np.frombuffer(files.read_all(f"{shard}.cu"), "<i8")
     ends, at = [], 1
     for _ in range(int(flat[0])):
         ends.append(flat[at + 1 : at + 1 + flat[at]])
         at += 1 + int(flat[at])
-    resets = np.frombuffer(files.read_all(f"{folder}/{shard}.reset"), "<i8")
+    resets = np.frombuffer(files.read_all(f"{shard}.reset"), "<i8")
     start = np.zeros(matrix.size, np.int64)
     start[resets] = resets
     return matrix, ends, (np.arange(matrix.size) - np.maximum.accumulate(start)).reshape(matrix.shape)
 
 
 def pack(docs: DataFrame, folder: str | None = None, *, path: str | None = None, context: int = CONTEXT, wide: bool = False, pad: int = 0, shard_bytes: int = SHARD_BYTES) -> DataFrame:
-    """(doc_id, piece, start, n_tokens, shard, row, offset) of every piece; the shards' files are in ``folder``.
+    """(doc_id, piece, start, n_tokens, shard, row, offset) of every piece; ``shard`` is the path of its files, in ``folder``.
 
     ``path`` names a vocabulary file of byte-pair ranks that all executors have.  The rows are committed before they
     are returned, and name only files of tasks that ended well.
     """
     spark = docs.sparkSession
     folder = folder or common.work_path(spark, "packed")
-    common.small_batches(spark, 500)
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     total = slim.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     shards = max(1, -(-total // shard_bytes))
-    pieces = slim.mapInArrow(_pieces(path, context, wide), "doc_id long, piece long, start long, ids binary")
-    # dealt by the place of the row in its task, so that equal or null ids spread as well
-    dealt = pieces.withColumn("deal", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(shards)))
+    pieces = slim.mapInArrow(encoded(path, context, wide), PIECE)
+    # by what a piece is, so that the packing is the same however the table is split; null ids spread as well
+    dealt = pieces.withColumn("deal", F.pmod(F.xxhash64("doc_id", "piece", "ids"), F.lit(shards)))
     packed = dealt.groupBy("deal").applyInArrow(_pack(folder, context, wide, pad), SEGMENT)
-    return common.materialise(packed, "segments")
+    with common.batches_of(spark, 4 << 20, rows=500):
+        return common.materialise(packed, "segments")

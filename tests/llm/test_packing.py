@@ -1,5 +1,6 @@
 """Best-fit packing, length buckets: round trips and brute force."""
 
+from collections import Counter
 from itertools import combinations
 
 import numpy as np
@@ -37,8 +38,11 @@ def test_round_trip_of_written_shards(spark, docs, tmp_path):
     folder = f"file://{tmp_path}"
     out = P.pack(docs, folder, context=128, shard_bytes=20_000).toPandas()
     assert out.shard.nunique() > 1
+    again = P.pack(docs.repartition(7), folder, context=128, shard_bytes=20_000).toPandas()
+    place = ["doc_id", "piece", "start", "n_tokens", "row", "offset"]
+    assert out[place].sort_values(place).reset_index(drop=True).equals(again[place].sort_values(place).reset_index(drop=True))
     own = P.encoder(P.vocabulary_path())
-    shards = {s: P.read_shard(folder, s, 128) for s in out.shard.unique()}
+    shards = {s: P.read_shard(s, 128) for s in out.shard.unique()}
     got = {}
     for x in out.itertuples():
         matrix, ends, positions = shards[x.shard]
@@ -72,11 +76,31 @@ def test_bucket_boundaries_are_optimal():
     assert L.boundaries([], [], 3) == []
 
 
-def test_length_buckets_hold_every_word_once(docs):
-    out = L.pack(docs, context=64, buckets=4, token_budget=256).toPandas()
+def test_written_batches_hold_every_token_once(docs, tmp_path):
+    options = {"context": 64, "buckets": 4, "token_budget": 256}
+    packed = L.pack(docs, f"file://{tmp_path}", shard_bytes=4000, **options)
+    out = packed.toPandas()
     assert (out.n_tokens <= out.bucket_len).all() and out.bucket_len.nunique() <= 4
-    assert not out.duplicated(["bucket_len", "batch", "slot"]).any()
-    per = out.groupby(["bucket_len", "batch"]).size().reset_index(name="n")
-    assert (per.n * per.bucket_len <= 256).all()
-    words = sum(len((x.text or "").encode().split()) for x in docs.collect())
-    assert out.n_tokens.sum() == words
+    assert not out.duplicated(["shard", "batch", "slot"]).any() and out.shard.nunique() > 4
+    own = P.encoder(P.vocabulary_path())
+    got = []
+    for (shard, batch), rows in out.groupby(["shard", "batch"]):
+        width = int(rows.bucket_len.iloc[0])
+        ids, lengths = L.read_batch(shard, width, int(batch), token_budget=256)
+        assert len(rows) == len(ids) <= max(1, 256 // width) and (rows.bucket_len == width).all()
+        for x in rows.itertuples():
+            assert lengths[x.slot] == x.n_tokens and not ids[x.slot, x.n_tokens :].any()
+            got.append((-1 if x.doc_id != x.doc_id else int(x.doc_id), x.start, tuple(ids[x.slot, : x.n_tokens].tolist())))
+    want = []
+    for d in docs.select("doc_id", "text").collect():
+        ids = own.encode_ordinary(d.text or "")
+        want += [(-1 if d.doc_id is None else d.doc_id, at, tuple(ids[at : at + 64])) for at in range(0, len(ids), 64)]
+    assert sorted(got) == sorted(want)
+    report = {x.bucket_len: x for x in L.padding(packed).collect()}
+    assert sum(x.n_padding for x in report.values()) == int((out.bucket_len - out.n_tokens).sum())
+    # the boundaries are those of the histogram of these very pieces
+    sizes = Counter(len(ids) for _, _, ids in want)
+    assert sorted(report) == L.boundaries(list(sizes), list(sizes.values()), 4)
+    again = L.pack(docs.repartition(5), f"file://{tmp_path}", shard_bytes=4000, **options).toPandas()
+    place = ["doc_id", "start", "n_tokens", "bucket_len", "batch", "slot"]
+    assert out[place].sort_values(place).reset_index(drop=True).equals(again[place].sort_values(place).reset_index(drop=True))
