@@ -88,13 +88,34 @@ def probabilities(score: np.ndarray, thresholds: np.ndarray) -> np.ndarray:
     return np.diff(full, axis=1)
 
 
+def in_order(steps: np.ndarray) -> np.ndarray:
+    """Thresholds from a first value and logarithms of steps, so that they stay in order."""
+    return np.cumsum(np.concatenate([steps[:1], np.exp(steps[1:])]))
+
+
+def loss_and_gradient(w: np.ndarray, steps: np.ndarray, rows: np.ndarray, cols: np.ndarray, grade: np.ndarray, ridge: float) -> tuple[float, np.ndarray]:
+    """Penalised mean negative log likelihood and its slope in the weights and the steps."""
+    n, thresholds = len(grade), in_order(steps)
+    score = np.bincount(rows, weights=w[cols], minlength=n)
+    below = _sigmoid(thresholds[None, :] - score[:, None])
+    full = np.concatenate([np.zeros((n, 1)), below, np.ones((n, 1))], axis=1)
+    slope = full * (1 - full)
+    at = np.arange(n)
+    p = np.maximum(full[at, grade + 1] - full[at, grade], 1e-12)
+    upper, lower = slope[at, grade + 1] / p, slope[at, grade] / p
+    by_score = (upper - lower) / n
+    by_threshold = np.array([(lower[grade == k + 1].sum() - upper[grade == k].sum()) / n for k in range(len(steps))])
+    chain = np.array([by_threshold.sum()] + [by_threshold[k:].sum() * math.exp(steps[k]) for k in range(1, len(steps))])
+    gradient = np.concatenate([np.bincount(cols, weights=by_score[rows], minlength=len(w)) + ridge * w, chain])
+    return float(-np.log(p).mean() + ridge / 2 * w @ w), gradient
+
+
 def fit_cumulative(rows: np.ndarray, cols: np.ndarray, grade: np.ndarray, grades: int = GRADES, rounds: int = ROUNDS, ridge: float = 2e-4, rate: float = 0.05) -> tuple[np.ndarray, np.ndarray]:
     """(weights, thresholds) by penalised maximum likelihood, full-batch Adam; features are present (rows, cols) pairs."""
     n = len(grade)
     weights = np.zeros(SIZE)
     shares = np.clip(np.cumsum(np.bincount(grade, minlength=grades))[:-1] / n, 0.5 / n, 1 - 0.5 / n)
     start = np.log(shares / (1 - shares))
-    # thresholds are a first value and logarithms of steps, so they stay in order
     steps = np.concatenate([start[:1], np.log(np.maximum(np.diff(start), 1e-2))])
     used = np.flatnonzero(np.bincount(cols, minlength=SIZE) >= MIN_DOCS)
     place = np.full(SIZE, -1)
@@ -104,24 +125,13 @@ def fit_cumulative(rows: np.ndarray, cols: np.ndarray, grade: np.ndarray, grades
     w = np.zeros(len(used))
     moments = [np.zeros(len(w) + len(steps)) for _ in range(2)]
     for t in range(1, rounds + 1):
-        thresholds = np.cumsum(np.concatenate([steps[:1], np.exp(steps[1:])]))
-        score = np.bincount(rows, weights=w[cols], minlength=n)
-        below = _sigmoid(thresholds[None, :] - score[:, None])
-        full = np.concatenate([np.zeros((n, 1)), below, np.ones((n, 1))], axis=1)
-        slope = full * (1 - full)
-        at = np.arange(n)
-        p = np.maximum(full[at, grade + 1] - full[at, grade], 1e-12)
-        upper, lower = slope[at, grade + 1] / p, slope[at, grade] / p
-        by_score = (upper - lower) / n
-        by_threshold = np.array([(lower[grade == k + 1].sum() - upper[grade == k].sum()) / n for k in range(grades - 1)])
-        chain = np.array([by_threshold.sum()] + [by_threshold[k:].sum() * math.exp(steps[k]) for k in range(1, grades - 1)])
-        gradient = np.concatenate([np.bincount(cols, weights=by_score[rows], minlength=len(w)) + ridge * w, chain])
+        _, gradient = loss_and_gradient(w, steps, rows, cols, grade, ridge)
         moments[0] = 0.9 * moments[0] + 0.1 * gradient
         moments[1] = 0.99 * moments[1] + 0.01 * gradient**2
         move = rate * (moments[0] / (1 - 0.9**t)) / (np.sqrt(moments[1] / (1 - 0.99**t)) + 1e-8)
         w, steps = w - move[: len(w)], steps - move[len(w) :]
     weights[used] = w
-    return weights, np.cumsum(np.concatenate([steps[:1], np.exp(steps[1:])]))
+    return weights, in_order(steps)
 
 
 def ratings(labels: DataFrame) -> DataFrame:
@@ -153,7 +163,6 @@ def _fit(grades: int, rounds: int):
 
 def fit(docs: DataFrame, rated: DataFrame, *, sample_rows: int = SAMPLE_ROWS, rounds: int = ROUNDS) -> tuple[np.ndarray, np.ndarray] | None:
     """(weights, thresholds) from a sample of about ``sample_rows`` rated documents; None without any."""
-    common.small_batches(docs.sparkSession, 500)
     total = rated.count()
     if not total:
         return None
@@ -162,7 +171,8 @@ def fit(docs: DataFrame, rated: DataFrame, *, sample_rows: int = SAMPLE_ROWS, ro
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     sample = common.attach(texts, chosen, F.col("doc_id") == F.col("rated"), "inner", rows=2 * sample_rows).select("text", F.col("grade").cast("int").alias("grade"))
     found = sample.mapInArrow(_featured, "grade int, features binary").where(F.octet_length("features") > 0)
-    model = found.groupBy().applyInArrow(_fit(GRADES, rounds), "weights binary, thresholds array<double>").collect()
+    with common.batches_of(docs.sparkSession):
+        model = found.groupBy().applyInArrow(_fit(GRADES, rounds), "weights binary, thresholds array<double>").collect()
     return (np.frombuffer(model[0]["weights"], np.float32), np.array(model[0]["thresholds"])) if model else None
 
 
@@ -186,10 +196,11 @@ def _scored(model, min_tail: float):
 def grade(docs: DataFrame, model: tuple[np.ndarray, np.ndarray] | None, *, min_tail: float = MIN_TAIL) -> DataFrame:
     """(doc_id, expected_grade, tail, kept), one row per row of ``docs``; kept if the highest grade is likely enough."""
     spark = docs.sparkSession
-    common.small_batches(spark, 500)
     if model is None:
         even = np.arange(1, GRADES) / GRADES
         model, min_tail = (np.zeros(SIZE, np.float32), np.log(even / (1 - even))), 0.0
     shared = spark.sparkContext.broadcast(model)
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return slim.mapInArrow(_scored(shared, min_tail), "doc_id long, expected_grade double, tail double, kept boolean")
+    scored = slim.mapInArrow(_scored(shared, min_tail), "doc_id long, expected_grade double, tail double, kept boolean")
+    with common.batches_of(spark):
+        return common.materialise(scored, "graded")

@@ -6,8 +6,9 @@ space after it, and a character that is in no piece of two or more characters ne
 checked against the vocabulary when it is loaded.  A text therefore falls into pre-tokens whose counts add up:
 runs of spaces with the word after them, and the lines between characters that never merge.
 
-Which vocabulary strings encode alone as one token is proved once, by encoding each of them; pre-tokens among them
-count 1 without a merge.  The rest are encoded, each different one once a batch, and remembered in a bounded table.
+Which vocabulary strings encode alone as one token is proved once, offline on the driver, by encoding each of them,
+and the list (no longer than the vocabulary) is broadcast; pre-tokens among them count 1 without a merge.  The rest
+are encoded, each different one once a batch, and remembered in a bounded table.
 
 Defined results: null text is empty and has 0 tokens; rows with equal ids are counted one by one; an empty table
 gives an empty result; extra columns are ignored.
@@ -29,13 +30,15 @@ SPACE = "▁"
 LIMIT = 4096
 #: Entries of the table of counts, and the longest pre-token that it keeps.
 TABLE_ENTRIES, TABLE_KEY = 400_000, 64
+#: Characters that the usual normal forms, case folding or white-space rules would change.
+_FOLDED = "Aﬁ①Ａé\u0301ﷺ\t\u00a0\u3000\u200b"
 _RUNS = re.compile(r" +[^ ]*")
 
 
 class Counter:
     """Counts tokens of one model; ``break_char`` is a character that never merges."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, proven: list[str] | None = None):
         import sentencepiece
 
         self.model = sentencepiece.SentencePieceProcessor(model_file=path)
@@ -46,11 +49,13 @@ class Counter:
             raise ValueError(f"{path}: words of this vocabulary can't be counted apart")
         if self.model.encode(" a", out_type=str)[0] not in (SPACE * 2, SPACE) or self.model.encode(""):
             raise ValueError(f"{path}: this model does not keep spaces")
+        if any(self.model.normalize(" " + c) not in (SPACE * 2 + c, SPACE + c) for c in _FOLDED):
+            raise ValueError(f"{path}: this model rewrites characters")
         self.break_tokens = len(self.model.encode(self.break_char)) - 1
-        self.proven = self._prove()
+        self.proven = self.prove() if proven is None else dict.fromkeys(proven, 1)
         self.table: dict[str, int] = dict(self.proven)
 
-    def _prove(self) -> dict[str, int]:
+    def prove(self) -> dict[str, int]:
         """The vocabulary strings that encode alone as one token, by their pre-token key."""
         keys = [self._key(p) for p in self.pieces]
         return {k: 1 for k, n in zip(keys, self._merged(keys), strict=True) if n == 1}
@@ -109,15 +114,21 @@ def counter(path: str) -> Counter:
     return Counter(path)
 
 
+_workers: dict[str, Counter] = {}
+
+
 def model_path(name: str = MODEL) -> str:
     import public_tokenizers
 
     return public_tokenizers.path(name)
 
 
-def _counts(name: str | None, path: str | None, limit: int):
+def _counts(name: str, path: str | None, proven, limit: int):
     def run(batches):
-        own = counter(path or model_path(name))
+        place = path or model_path(name)
+        if place not in _workers:
+            _workers[place] = Counter(place, proven.value)
+        own = _workers[place]
         for batch in batches:
             texts = [t or "" for t in batch.column("text").to_pylist()]
             n = pa.array(own.count(texts), pa.int64())
@@ -130,6 +141,9 @@ def _counts(name: str | None, path: str | None, limit: int):
 
 def token_counts(docs: DataFrame, *, model: str = MODEL, path: str | None = None, limit: int = LIMIT) -> DataFrame:
     """(doc_id, n_bytes, n_tokens, over_limit) without a shuffle; ``path`` names a model file that all executors have."""
-    common.small_batches(docs.sparkSession, 500)
+    spark = docs.sparkSession
+    proven = spark.sparkContext.broadcast(list(counter(path or model_path(model)).proven))
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return slim.mapInArrow(_counts(model, path, limit), "doc_id long, n_bytes long, n_tokens long, over_limit boolean")
+    counted = slim.mapInArrow(_counts(model, path, proven, limit), "doc_id long, n_bytes long, n_tokens long, over_limit boolean")
+    with common.batches_of(spark, 4 << 20, rows=500):
+        return common.materialise(counted, "counts")
