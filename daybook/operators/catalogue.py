@@ -42,12 +42,13 @@ def word_listing(catalogue: DataFrame, *, pattern: str | None = None, min_total:
 
 def length_buckets(stats: DataFrame) -> DataFrame:
     """(band, low, entries): half-open bands of words, empty ones as 0, empty ones at the end left out."""
+    sizes = stats.groupBy("words").agg(F.count("*").alias("n"))  # words are counted once, bands are cut after that
     band = sum(((F.col("words") >= e).cast("int") for e in EDGES), F.lit(0))
-    counts = stats.groupBy(band.alias("band")).agg(F.count("*").alias("entries"))
-    last = counts.agg(F.coalesce(F.max("band"), F.lit(0)).alias("last"))
+    counts = sizes.groupBy(band.alias("band")).agg(F.sum("n").alias("entries"))
     bands = stats.sparkSession.createDataFrame([(i, e) for i, e in enumerate((0, *EDGES))], "band int, low int")
-    kept = bands.join(F.broadcast(last), F.col("band") <= F.col("last"))  # seven rows and one
-    return kept.join(counts, "band", "left").select("band", "low", F.coalesce("entries", F.lit(0)).alias("entries"))
+    last = F.max(F.when(F.col("entries").isNotNull(), F.col("band"))).over(W.partitionBy())  # seven rows
+    kept = bands.join(counts, "band", "left").withColumn("_last", F.coalesce(last, F.lit(0))).where("band <= _last")
+    return kept.select("band", "low", F.coalesce("entries", F.lit(0)).alias("entries"))
 
 
 def nearest_rank(rows: DataFrame, column: str, percents: tuple[int, ...]) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions import text as T
 from ..functions.text import ratio
 
 
@@ -26,29 +27,36 @@ def totals(entries: DataFrame) -> DataFrame:
     )
 
 
-def text_summary(stats: DataFrame, catalogue: DataFrame) -> DataFrame:
-    """One row over all entries and words; zeros for an empty archive."""
-    a = stats.agg(
-        F.count("*").alias("entries"), *[F.coalesce(f("words"), F.lit(0)).alias(n) for n, f in (("words", F.sum), ("shortest", F.min), ("longest", F.max))],
-        F.coalesce(F.sum("chars"), F.lit(0)).alias("chars"),
+def text_summary(entries: DataFrame) -> DataFrame:
+    """One row over all entries and words; zeros for an empty archive.
+
+    Every text is split once: its words and one row without a word, which carries its size, are summed by word.
+    """
+    cut = entries.select(T.words(F.col("text")).alias("w"), F.char_length("text").alias("chars"))
+    rows = cut.select(F.size("w").cast("long").alias("size"), "chars", F.explode(F.concat("w", F.array(F.lit(None).cast("string")))).alias("word"))
+    own = lambda c: F.when(F.col("word").isNull(), F.col(c))
+    per = rows.groupBy("word").agg(
+        F.count("*").alias("total"), F.sum(own("size")).alias("words"), F.min(own("size")).alias("shortest"), F.max(own("size")).alias("longest"), F.sum(own("chars")).alias("chars"),
+    )
+    none = F.col("word").isNull()
+    both = per.agg(
+        F.coalesce(F.max(F.when(none, F.col("total"))), F.lit(0)).alias("entries"), *[F.coalesce(F.max(c), F.lit(0)).alias(c) for c in ("words", "shortest", "longest", "chars")],
+        F.count("word").alias("vocabulary"), F.count_if(~none & (F.col("total") == 1)).alias("used_once"),
     )
-    b = catalogue.agg(F.count("*").alias("vocabulary"), F.count_if(F.col("total") == 1).alias("used_once"))
-    both = a.join(b)  # two single rows
     return both.withColumn("mean_words", F.round(ratio(F.col("words"), F.col("entries")), 6))
 
 
-def timeline(entries: DataFrame, stats: DataFrame, bag: DataFrame) -> DataFrame:
-    """(year, entries, images, videos, words, distinct_words, new_words)"""
-    year = entries.select("date_id", F.year("date").alias("year"), "kind")
-    base = year.join(stats, "date_id", "left").groupBy("year").agg(
-        F.count("*").alias("entries"), F.count_if(F.col("kind") == "image").alias("images"), F.count_if(F.col("kind") == "video").alias("videos"),
-        F.coalesce(F.sum("words"), F.lit(0)).alias("words"),
-    )
-    per = bag.join(year.select("date_id", "year"), "date_id").select("word", "year").distinct()
-    distinct = per.groupBy("year").agg(F.count("*").alias("distinct_words"))
-    new = per.groupBy("word").agg(F.min("year").alias("year")).groupBy("year").agg(F.count("*").alias("new_words"))
-    out = base.join(distinct, "year", "left").join(new, "year", "left")
-    return out.fillna(0, ["distinct_words", "new_words"])
+def timeline(entries: DataFrame) -> DataFrame:
+    """(year, entries, images, videos, words, distinct_words, new_words)
+
+    Texts are split once, into (year, word) counts; kinds are counted from a scan without texts.
+    """
+    year = F.year("date").alias("year")
+    base = entries.groupBy(year).agg(F.count("*").alias("entries"), F.count_if(F.col("kind") == "image").alias("images"), F.count_if(F.col("kind") == "video").alias("videos"))
+    per = entries.select(year, F.explode(T.words(F.col("text"))).alias("word")).groupBy("year", "word").agg(F.count("*").alias("n"))
+    first = per.withColumn("_first", F.min("year").over(W.partitionBy("word")))  # a row a year at most
+    words = first.groupBy("year").agg(F.sum("n").alias("words"), F.count("*").alias("distinct_words"), F.count_if(F.col("year") == F.col("_first")).alias("new_words"))
+    return base.join(words, "year", "left").fillna(0, ["words", "distinct_words", "new_words"])
 
 
 def coverage(entries: DataFrame) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from itertools import combinations
+
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -17,19 +19,36 @@ def sign_prints(vectors: DataFrame) -> DataFrame:
     return vectors.select(F.col("vec_id").alias("id"), bits.alias("print"))
 
 
+#: A print is cut into so many blocks; prints within the radius agree in ``BLOCKS - radius`` of them.
+BLOCKS = 11
+
+
 def near_pairs(prints: DataFrame, radius: int = RADIUS) -> DataFrame:
     """(a, b, distance) of all different prints of 64 bits within ``radius``, flat prints left out.
 
-    Prints within the radius agree in one of ``radius + 1`` bands, so an equi-join on bands finds every pair; equal
-    prints are joined once, as one class, and expanded to their members by the caller.
+    Prints within the radius agree in all but ``radius`` blocks, so an equi-join on every choice of the others finds
+    each pair; longer keys meet fewer strangers than single bands.  A pair counts in the first choice that it agrees
+    in.  Equal prints are one class, expanded to their members by the caller.
     """
     detailed = prints.where((F.bit_count("print") >= LEAST_BITS) & (F.bit_count("print") <= 64 - LEAST_BITS)).select("print").distinct()
-    cuts = [64 * i // (radius + 1) for i in range(radius + 2)]
-    bands = F.array(*[F.shiftrightunsigned("print", a).bitwiseAND(F.lit((1 << (b - a)) - 1)) for a, b in zip(cuts, cuts[1:], strict=False)])
-    filed = detailed.select("print", F.posexplode(bands).alias("band", "value"))
-    distance = F.bit_count(F.col("a").bitwiseXOR(F.col("b")))
-    both = filed.withColumnRenamed("print", "a").join(filed.withColumnRenamed("print", "b"), ["band", "value"])
-    return both.where((F.col("a") < F.col("b")) & (distance <= radius)).select("a", "b", distance.alias("distance")).distinct()
+    blocks = max(BLOCKS, radius + 1)
+    cuts = [64 * i // blocks for i in range(blocks + 1)]
+    masks = [_signed((1 << b) - (1 << a)) for a, b in zip(cuts, cuts[1:], strict=False)]
+    choices = list(combinations(range(blocks), blocks - radius))
+    kept = [_signed(sum(masks[i] & (1 << 64) - 1 for i in choice)) for choice in choices]
+    # for every set of blocks that differ, the first choice without any of them
+    first = [next((n for n, c in enumerate(choices) if not any(differ >> i & 1 for i in c)), -1) for differ in range(1 << blocks)]
+    filed = detailed.select("print", F.posexplode(F.array(*[F.lit(m).cast("long") for m in kept])).alias("choice", "mask"))
+    filed = filed.select("print", "choice", F.col("print").bitwiseAND(F.col("mask")).alias("key"))
+    both = filed.withColumnRenamed("print", "a").join(filed.withColumnRenamed("print", "b"), ["choice", "key"])
+    near = both.withColumn("differ", F.col("a").bitwiseXOR(F.col("b"))).where((F.col("a") < F.col("b")) & (F.bit_count("differ") <= radius))
+    changed = sum((F.when(F.col("differ").bitwiseAND(F.lit(m).cast("long")) != 0, 1 << i).otherwise(0) for i, m in enumerate(masks)), F.lit(0))
+    own = F.get(F.lit(first), changed)
+    return near.where(own == F.col("choice")).select("a", "b", F.bit_count("differ").alias("distance"))
+
+
+def _signed(x: int) -> int:
+    return x - (1 << 64) if x >> 63 else x
 
 
 def groups(edges: DataFrame, checkpoint=None) -> DataFrame:

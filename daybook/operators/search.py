@@ -9,7 +9,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import BASES, folded, tokens
+from ..functions.text import BASES, TOKEN, fold, folded, tokens
 
 MAX_TERMS, MAX_PREFIXES = 24, 4
 K1, B = 1.2, 0.75
@@ -81,7 +81,7 @@ def search(entries: DataFrame, query: str, weights: dict[str, float]) -> DataFra
     phrases = list(dict.fromkeys(p for g in groups for p in (*g.wanted, *g.unwanted)))
     wanted = list(dict.fromkeys(p for g in groups for p in g.wanted))
     lines = [F.concat(F.lit(" "), F.array_join(tokens(F.coalesce(F.col(c), F.lit(""))), " "), F.lit(" ")).alias(c) for c in weights]
-    cut = entries.select("date_id", *lines)
+    cut = entries.select("date_id", F.inline(F.array(F.struct(*lines))))  # each line is made once, not in every use
     spaces = lambda c: F.char_length(c) - F.char_length(F.replace(c, F.lit(" "), F.lit("")))
     tokens_in = lambda c: F.when(F.col(c) == "  ", F.lit(0)).otherwise(spaces(F.col(c)) - 1)
     counted = cut.select(
@@ -120,3 +120,33 @@ def highlight(text: Column, query: str, before: str = "<mark>", after: str = "</
     pattern = f"(?iu)(?<![\\p{{L}}\\p{{N}}])({'|'.join(t.replace(chr(92) * 2, chr(92)) for t in terms)})(?![\\p{{L}}\\p{{N}}])"
     return F.regexp_replace(text, pattern, f"{before}$1{after}")
 
+
+
+def snippets(entries: DataFrame, query: str, column: str, n: int = 16, *, before: str = "<mark>", after: str = "</mark>") -> DataFrame:
+    """(date_id, snippet): of rows that match in the column, ``n`` tokens (1 to 64) around the first wanted phrase, marked.
+
+    An ellipsis stands where the text goes on.
+    """
+    n = max(1, min(64, n))
+    wanted = list(dict.fromkeys(p for g in parse(query) for p in g.wanted))
+    met = search(entries, query, {column: 1.0}).where(f"hits_{column}").select("date_id") if wanted else entries.select("date_id").limit(0)
+    text = F.col(column)
+    shown = entries.join(met, "date_id", "left_semi").select(
+        "date_id", F.split(text, TOKEN).alias("gaps"), F.regexp_extract_all(text, F.lit(TOKEN), F.lit(0)).alias("own"),
+    ).withColumn("folded", F.transform("own", lambda t: F.lower(fold(t))))
+
+    def place(p: Phrase) -> Column:
+        last = len(p.tokens) - 1
+        tests = lambda i: [
+            F.startswith(F.get("folded", i + k), F.lit(t)) if p.prefix and k == last else F.get("folded", i + k) == t for k, t in enumerate(p.tokens)
+        ]
+        found = F.filter(F.sequence(F.lit(0), F.size("folded") - 1), lambda i: reduce(lambda a, b: a & b, tests(i)))
+        return F.get(found, F.lit(0))
+
+    first = F.least(*[place(p) for p in wanted], F.lit(None).cast("int")) if wanted else F.lit(0)
+    shown = shown.where(F.size("own") > 0).withColumn("at", F.greatest(F.coalesce(first, F.lit(0)) - (n - 1) // 2, F.lit(0)))
+    end = F.least(F.col("at") + n, F.size("own"))
+    cut = F.transform(F.slice("own", F.col("at") + 1, F.lit(n)), lambda t, i: F.concat(t, F.when(F.col("at") + i + 1 < end, F.get("gaps", F.col("at") + i + 1)).otherwise("")))
+    marked = highlight(F.array_join(cut, ""), query, before, after)
+    told = F.concat(F.when(F.col("at") > 0, "…").otherwise(""), marked, F.when(end < F.size("own"), "…").otherwise(""))
+    return shown.select("date_id", told.alias("snippet"))

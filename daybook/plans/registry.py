@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -74,8 +77,7 @@ def L04_word_listing(spark, sf_dir):
     select *, round(words / entries, 6) as mean_words from a, b"""
 )
 def A03_text_summary(spark, sf_dir):
-    e = entries(spark, sf_dir)
-    return insight.text_summary(catalogue.entry_stats(e), catalogue.words(catalogue.entry_words(e)))
+    return insight.text_summary(entries(spark, sf_dir))
 
 
 @query(_BAG + ", r as (select words, row_number() over (order by words) - 1 as place, count(*) over () as n from stats), p as (select unnest([10, 50, 90, 99]) as p) select p, words as value from r, p where place = n * p // 100")
@@ -127,8 +129,7 @@ def A25_kind_share(spark, sf_dir):
     select base.*, coalesce(distinct_words, 0) as distinct_words, coalesce(new_words, 0) as new_words from base left join d using (year) left join n using (year)"""
 )
 def A07_timeline(spark, sf_dir):
-    e = entries(spark, sf_dir)
-    return insight.timeline(e, catalogue.entry_stats(e), catalogue.entry_words(e))
+    return insight.timeline(entries(spark, sf_dir))
 
 
 @query(_ENTRIES + "select year(date)::int as year, month(date)::int as month, count(*) as entries from entries group by 1, 2")
@@ -274,10 +275,14 @@ def H03_near_prints(spark, sf_dir):
     return pictures.near_pairs(pictures.sign_prints(read(spark, sf_dir, "embeddings")))
 
 
-@query()
-def H04_print_groups(spark, sf_dir):
-    near = H03_near_prints(spark, sf_dir)
-    return pictures.groups(near)
+def _kept(spark: SparkSession, rows: DataFrame) -> DataFrame:
+    """Written to the shared folder and read again: cuts lineage and survives lost executors."""
+    known = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not known and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+    path = f"{known or 'file://' + tempfile.mkdtemp(prefix='daybook-')}/kept-{uuid.uuid4().hex}"
+    rows.write.parquet(path)
+    return spark.read.schema(rows.schema).parquet(path)
 
 
 _RUNS = "with runs as (select conv_id as grp, turn as date_id, role, text as title from conversations), l as (select *, lag(date_id) over w as d, lag(role) over w as r, lag(title) over w as t, row_number() over w as k from runs window w as (partition by grp order by date_id)) "

@@ -33,10 +33,25 @@ def deliver(notices: DataFrame, ledger_path: str, send, checkpoint: str) -> Stre
 
 
 def once(nonces: DataFrame, at: str, key: str, life: str) -> DataFrame:
-    """Each key once within its life; later repeats are new. Works on streams and tables alike."""
+    """Each key once within its life, counted from the use that was accepted; later repeats are new.
+
+    On a stream the state of a key goes when the watermark passes the end of its life.  On a table the uses of one
+    key, which a sound client never makes many of, are walked in order of time by one task.
+    """
     if nonces.isStreaming:
         return nonces.withWatermark(at, life).dropDuplicatesWithinWatermark([key])
-    return nonces.dropDuplicates([key])
+    seconds = F.expr(f"cast(interval {life} as interval day to second)")
+    marked = nonces.withColumn("_from", F.unix_micros(F.col(at).cast("timestamp"))).withColumn("_until", F.unix_micros(F.col(at).cast("timestamp") + seconds))
+
+    def accepted(rows: pd.DataFrame) -> pd.DataFrame:
+        rows, keep, until = rows.sort_values("_from", kind="stable"), [], None
+        for begin, end in zip(rows["_from"], rows["_until"], strict=True):
+            fresh = until is None or begin > until
+            until = end if fresh else until
+            keep.append(fresh)
+        return rows[keep]
+
+    return marked.groupBy(key).applyInPandas(accepted, marked.schema).drop("_from", "_until")
 
 
 def latest(readings: DataFrame, by: str, at: str, value: str) -> DataFrame:
@@ -69,11 +84,18 @@ def sticky_cohorts(casts: DataFrame, ttl_seconds: int) -> DataFrame:
 
     def stream(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         held = state.get if state.exists else None
+        if state.hasTimedOut:
+            state.remove()
+            return
         for rows in frames:
             rows = rows.sort_values(["at", "cohort"])
             held, out = fold(held, rows)
             yield rows.assign(cohort=out)[["voter", "at", "cohort"]]
         if held is not None:
             state.update(held)
+            # a cohort that is over needs no state; the watermark has to pass its end
+            over = int(held[1].timestamp() * 1000) + 1000 * ttl_seconds + 1
+            state.setTimeoutTimestamp(max(over, state.getCurrentWatermarkMs() + 1))
 
-    return casts.groupBy("voter").applyInPandasWithState(stream, schema, "cohort string, at timestamp", "append", GroupStateTimeout.NoTimeout)
+    timed = casts.withWatermark("at", "1 hour")
+    return timed.groupBy("voter").applyInPandasWithState(stream, schema, "cohort string, at timestamp", "append", GroupStateTimeout.EventTimeTimeout)
