@@ -51,7 +51,7 @@ RANGE_BYTES = 32 << 20
 BLOCK = 1 << 18
 NO_ID = (1 << 63) - 1
 #: Occurrences, and bits of the sketch of different stretches, that make an anchor crowded.
-CROWD, CROWD_BITS = 4096, 4
+CROWD, CROWD_BITS = 32_768, 3
 #: Different stretches that are settled together.
 SETTLE = 20_000
 _STEP = np.uint64(0x9E3779B97F4A7C15)
@@ -188,8 +188,8 @@ class _Chunk:
         return key[at], several, often, number
 
     def sketch(self, number: np.ndarray, anchors: int) -> np.ndarray:
-        """Eight bits an anchor, one of which each different stretch sets."""
-        bit = np.uint8(1) << (_ends_hash(self.data, self.start, self.n, self.length) >> np.uint64(61)).astype(np.uint8)
+        """Four bits an anchor, one of which each different stretch sets."""
+        bit = np.uint8(1) << (_ends_hash(self.data, self.start, self.n, self.length) >> np.uint64(62)).astype(np.uint8)
         out = np.zeros(anchors, np.uint8)
         np.bitwise_or.at(out, number, bit)
         return out
@@ -216,6 +216,16 @@ def _batch(rows: list[tuple], names: list[str], types: list) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names)
 
 
+def _short(keys: np.ndarray) -> bytes:
+    """The first six bytes of hashes; anchors that are equal in these are treated as one in the first exchange only."""
+    return keys.astype(">u8").view(np.uint8).reshape(-1, 8)[:, :6].tobytes()
+
+
+def _nibbles(x: np.ndarray) -> bytes:
+    even = np.append(x, np.zeros(len(x) % 2, np.uint8))
+    return (even[::2] << np.uint8(4) | even[1::2]).tobytes()
+
+
 def _send_anchors(length: int, ranges: int):
     def run(batches):
         squeeze = zstandard.ZstdCompressor(level=1)
@@ -225,7 +235,7 @@ def _send_anchors(length: int, ranges: int):
             key, several, often, number = c.anchors()
             sketch = c.sketch(number, len(key))
             out = [
-                (r, row["chunk"], key[a:b].tobytes(), np.packbits(several[a:b]).tobytes(), squeeze.compress(often[a:b].tobytes()), sketch[a:b].tobytes())
+                (r, row["chunk"], _short(key[a:b]), np.packbits(several[a:b]).tobytes(), squeeze.compress(often[a:b].tobytes()), _nibbles(sketch[a:b]))
                 for r, a, b in _cuts(key, ranges)
             ]
             yield _batch(out, names, [pa.int32(), pa.int64()] + [pa.binary()] * 4)
@@ -236,12 +246,15 @@ def _send_anchors(length: int, ranges: int):
 def _shared_anchors(group: pa.Table) -> pa.Table:
     """Of one range: for each chunk, which of its anchors occur in two documents, and which are crowded."""
     expand = zstandard.ZstdDecompressor()
-    sets = [np.frombuffer(x, np.uint64) for x in group.column("anchors").to_pylist()]
+    sets = [np.frombuffer(x, np.uint8).reshape(-1, 6) for x in group.column("anchors").to_pylist()]
     sizes = [len(x) for x in sets]
     several = np.concatenate([np.unpackbits(np.frombuffer(x, np.uint8), count=n) for x, n in zip(group.column("several").to_pylist(), sizes, strict=True)])
     often = np.frombuffer(b"".join(expand.decompress(x) for x in group.column("often").to_pylist()), np.uint8)
-    sketch = np.frombuffer(b"".join(group.column("sketch").to_pylist()), np.uint8)
-    key = np.concatenate(sets)
+    pairs = (np.frombuffer(x, np.uint8) for x in group.column("sketch").to_pylist())
+    sketch = np.concatenate([np.stack([x >> 4, x & 15], axis=1).ravel()[:n] for x, n in zip(pairs, sizes, strict=True)])
+    key = np.zeros((sum(sizes), 8), np.uint8)
+    key[:, 2:] = np.concatenate(sets)
+    key = key.view(">u8").ravel().astype(np.uint64)
     order = np.argsort(key, kind="stable")
     at = np.flatnonzero(np.append(True, key[order][1:] != key[order][:-1]))
     runs = np.diff(np.append(at, len(key)))
