@@ -30,7 +30,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality rules keep."""
     judged = quality_rules.quality_rules(docs, columns=docs.columns)
     rejected = judged.where(~F.col("kept")).select(F.col("doc_id").alias("_i"), F.col("row_key").alias("_k")).distinct()
-    return _keyed(docs).join(rejected, _same(rejected), "left_anti").drop("__id", "__key")
+    return _keyed(docs).join(rejected.hint("merge"), _same(rejected), "left_anti").drop("__id", "__key")
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -47,7 +47,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     rejected = common.join_split(placed, groups, "_c", "_m").where(~(F.col("_i").eqNullSafe(F.col("_fi")) & (F.col("_k") == F.col("_fk"))))
     rejected = common.materialise(rejected.select("_i", "_k"), "rejected")
     repeated = common.materialise(placed.where("_n > 1").select("_i", "_k"), "repeated")
-    stay = rows.join(rejected, _same(rejected), "left_anti")
+    stay = rows.join(rejected.hint("merge"), _same(rejected), "left_anti")
     once = stay.join(repeated, _same(repeated), "left_anti")
     several = stay.join(repeated, _same(repeated), "left_semi").dropDuplicates(["__id", "__key"])
     return once.unionByName(several).drop("__id", "__key")
