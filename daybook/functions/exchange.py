@@ -177,30 +177,15 @@ def number_of(code: Column, use: str) -> Column:
 
 def split_mix(seed: Column, draw: int) -> Column:
     """The n-th number of the published splitmix64 generator, as a long of the same bits; wraps like the original."""
-    golden = F.lit(0x9E3779B97F4A7C15 - (1 << 64))
-    z = _plus(seed, _times(golden, F.lit(draw + 1)))
-    z = _times(z.bitwiseXOR(F.shiftrightunsigned(z, 30)), F.lit(0xBF58476D1CE4E5B9 - (1 << 64)))
-    z = _times(z.bitwiseXOR(F.shiftrightunsigned(z, 27)), F.lit(0x94D049BB133111EB - (1 << 64)))
-    return z.bitwiseXOR(F.shiftrightunsigned(z, 31))
-
-
-def _wrapped(x: Column) -> Column:
-    """A decimal modulo 2**64 as a long."""
-    low = F.pmod(x, F.lit(str(1 << 64)).cast("decimal(38,0)"))
-    return F.when(low >= F.lit(str(1 << 63)).cast("decimal(38,0)"), low - F.lit(str(1 << 64)).cast("decimal(38,0)")).otherwise(low).cast("long")
-
-
-def _plus(a: Column, b: Column) -> Column:
-    return _wrapped(a.cast("decimal(38,0)") + b.cast("decimal(38,0)"))
 
+    @F.pandas_udf(LongType())
+    def run(x: pd.Series) -> pd.Series:
+        z = x.to_numpy(np.int64).view(np.uint64) + np.uint64((0x9E3779B97F4A7C15 * (draw + 1)) & ((1 << 64) - 1))
+        z = (z ^ (z >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+        z = (z ^ (z >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+        return pd.Series((z ^ (z >> np.uint64(31))).view(np.int64), index=x.index)
 
-def _times(a: Column, b: Column) -> Column:
-    """Product modulo 2**64 from halves of 32 bits."""
-    whole = lambda x: x.cast("decimal(20,0)")
-    low = F.lit(0xFFFFFFFF)
-    a0, a1, b0, b1 = a.bitwiseAND(low), F.shiftrightunsigned(a, 32), b.bitwiseAND(low), F.shiftrightunsigned(b, 32)
-    cross = _wrapped((whole(a1) * whole(b0) + whole(a0) * whole(b1)).cast("decimal(38,0)"))
-    return _plus(_wrapped((whole(a0) * whole(b0)).cast("decimal(38,0)")), F.shiftleft(cross, 32))
+    return run(seed)
 
 
 def fraction(value: Column) -> Column:
