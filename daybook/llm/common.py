@@ -39,9 +39,13 @@ def work_path(spark: SparkSession, label: str) -> str:
 
 
 def materialise(df: DataFrame, label: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it again: cuts lineage and survives lost executors."""
+    """Write ``df`` to the shared folder and read it again: cuts lineage and survives lost executors.
+
+    The shuffle files of the job go as soon as the table is written, since nothing reads them again.
+    """
     path = work_path(df.sparkSession, label)
-    df.write.option("compression", "zstd").parquet(path)
+    with shuffles_removed(df.sparkSession):
+        df.write.option("compression", "zstd").parquet(path)
     for made in _watching:
         made.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
@@ -78,11 +82,8 @@ def only_last(spark: SparkSession):
 
 
 @contextmanager
-def batches_of(spark: SparkSession, size: int = 16 << 20, rows: int | None = None):
-    """Bound the bytes (and rows) of an Arrow batch while the block's jobs run; the session's settings come back."""
-    wanted = {"spark.sql.execution.arrow.maxBytesPerBatch": str(size)}
-    if rows:
-        wanted["spark.sql.execution.arrow.maxRecordsPerBatch"] = str(rows)
+def _settings(spark: SparkSession, wanted: dict[str, str]):
+    """Session settings that hold while the block's jobs run; those of before come back."""
     before = {k: spark.conf.get(k) for k in wanted}
     try:
         for k, v in wanted.items():
@@ -93,6 +94,19 @@ def batches_of(spark: SparkSession, size: int = 16 << 20, rows: int | None = Non
             spark.conf.set(k, v)
 
 
+def batches_of(spark: SparkSession, size: int = 16 << 20, rows: int | None = None):
+    """Bound the bytes (and rows) of an Arrow batch while the block's jobs run."""
+    wanted = {"spark.sql.execution.arrow.maxBytesPerBatch": str(size)}
+    if rows:
+        wanted["spark.sql.execution.arrow.maxRecordsPerBatch"] = str(rows)
+    return _settings(spark, wanted)
+
+
+def shuffles_removed(spark: SparkSession):
+    """Delete the shuffle files of each of the block's jobs when it ends, not when the driver collects garbage."""
+    return _settings(spark, {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true"})
+
+
 def row_key(columns: list[str], seed: int = 0) -> Column:
     """A hash of a row's values that tells a null from its neighbour's; to be used together with the id."""
     parts: list[Column] = [F.lit(seed)]
