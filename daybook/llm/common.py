@@ -51,6 +51,21 @@ def materialise(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def bucketed(df: DataFrame, key: str, buckets: int):
+    """``df`` as a table of one file per hash bucket of ``key``, so that grouping by ``key`` needs no shuffle.
+
+    The table lies in the warehouse and is dropped at the end of the block.
+    """
+    spark, name = df.sparkSession, f"daybook_bucketed_{uuid.uuid4().hex}"
+    try:
+        with shuffles_removed(spark):
+            df.repartition(buckets, key).write.option("compression", "zstd").bucketBy(buckets, key).saveAsTable(name, format="parquet")
+        yield spark.table(name)
+    finally:
+        spark.sql(f"DROP TABLE IF EXISTS {name}")
+
+
 def _remove(spark: SparkSession, name: str) -> None:
     path = spark._jvm.org.apache.hadoop.fs.Path(name)
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)

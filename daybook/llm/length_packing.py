@@ -3,8 +3,10 @@
 Texts are tokenised and documents longer than the context split into pieces without loss.  The histogram of piece
 lengths is aggregated over all rows; it has at most ``context`` entries whatever the input, so the driver runs the
 dynamic program over it that chooses the bucket boundaries with the least padding.  The histogram also says how many
-shards of a bounded size each bucket needs; pieces are dealt to the shards of their bucket by hash.  A shard orders its
-pieces by hash, every ``token_budget // boundary`` of them make a batch, and the shard is written as
+shards of a bounded size each bucket needs; pieces are dealt to the shards of their bucket by hash.  The dealt pieces are
+written as a bucketed table, so that neither the first table of pieces nor the shuffle is left when the batches are
+written.  A shard orders its pieces by hash, every ``token_budget // boundary`` of them make a batch, and the shard is
+written as
 
 * ``<shard>.ids``: little-endian ids, ``rows x boundary``, padded at the end of each row, batch after batch;
 * ``<shard>.len``: little-endian int32, the tokens of each row.
@@ -26,6 +28,8 @@ from . import bfd_packing, common, files
 
 CONTEXT, BUCKETS, TOKEN_BUDGET = 4096, 12, 65_536
 SHARD_BYTES = 16 << 20
+#: Files of the table of dealt pieces at most; beyond it one holds several shards.
+MOST_FILES = 20_000
 ROW = "doc_id long, piece long, start long, n_tokens long, bucket_len long, shard string, batch long, slot long"
 
 
@@ -112,17 +116,21 @@ def pack(
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     width = 4 if wide else 2
     with common.only_last(spark), common.batches_of(spark, 4 << 20, rows=500):
-        rows = common.materialise(slim.mapInArrow(bfd_packing.encoded(path, context, wide), bfd_packing.PIECE), "pieces")
-        rows = rows.withColumn("n_tokens", F.expr(f"octet_length(ids) div {width}"))
+        pieces = common.materialise(slim.mapInArrow(bfd_packing.encoded(path, context, wide), bfd_packing.PIECE), "pieces")
+        rows = pieces.withColumn("n_tokens", F.expr(f"octet_length(ids) div {width}"))
         found = {r[0]: r[1] for r in rows.groupBy("n_tokens").count().collect()}  # at most ``context`` rows
         ends = boundaries(list(found), list(found.values()), buckets)
         held = {end: sum(n for size, n in found.items() if low < size <= end) for low, end in zip([0, *ends], ends, strict=False)}
         shards = {end: max(1, -(-n * end * width // shard_bytes)) for end, n in held.items()}
         rows = rows.withColumn("bucket_len", _by_length(F.col("n_tokens"), {end: end for end in ends}))
         rows = rows.withColumn("key", F.xxhash64("doc_id", "piece", "ids"))
-        rows = rows.withColumn("deal", F.pmod(F.xxhash64("key", F.lit(1)), _by_length(F.col("n_tokens"), shards)))
-        packed = rows.drop("n_tokens").groupBy("bucket_len", "deal").applyInArrow(_write(folder, token_budget, wide, pad), ROW)
-        return common.materialise(packed, "batches")
+        deal = F.pmod(F.xxhash64("key", F.lit(1)), _by_length(F.col("n_tokens"), shards))
+        dealt = rows.withColumn("place", F.shiftleft("bucket_len", 32) + deal)
+        tasks = min(MOST_FILES, max(int(spark.conf.get("spark.sql.shuffle.partitions")), sum(shards.values())))
+        with common.bucketed(dealt.drop("n_tokens"), "place", tasks) as table:
+            common.discard(pieces)
+            packed = table.groupBy("place").applyInArrow(_write(folder, token_budget, wide, pad), ROW)
+            return common.materialise(packed, "batches")
 
 
 def padding(packed: DataFrame) -> DataFrame:
