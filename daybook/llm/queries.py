@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bfd_packing, length_packing, mixing, near_dedup, ordinal, quality_rules, simhash, suffix_dedup, token_counts, warc
+from . import bfd_packing, fill_middle, length_packing, mixing, near_dedup, ordinal, quality_rules, simhash, suffix_dedup, token_counts, url_filter, warc, whitening
 from .common import table
 
 
@@ -52,6 +52,18 @@ def op10_length_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return length_packing.pack(table(spark, sf_dir, "documents"))
 
 
+def op11_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.verdicts(table(spark, sf_dir, "pages"))
+
+
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
+def op13_fill_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fill_middle.digests(table(spark, sf_dir, "documents"))
+
+
 QUERIES = (
     op1_bfd_packing,
     op2_warc,
@@ -63,6 +75,9 @@ QUERIES = (
     op8_near_duplicates,
     op9_ordinal_grades,
     op10_length_buckets,
+    op11_url_filter,
+    op12_whitening,
+    op13_fill_middle,
 )
 
 ORACLE = {
@@ -75,6 +90,28 @@ ORACLE = {
             case when payload_bytes >= 1000 and page_id < final then final end as refers_to
         from last
     """,
+    "op11_url_filter": r"""
+        with split as (select page_id, url, translate(coalesce(regexp_extract(url, '^.*?://([^/?#]*)', 1, 's'), ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as host,
+            coalesce(regexp_extract(url, '^.*?://[^/?#]*([^?#]*)', 1, 's'), '') as path from pages),
+        rules(how, h, p) as (values ('block', 'net', '/'), ('allow', 'example.net', '/en/'), ('block', 'example.com', '/de/'), ('allow', 'org', '/fr/')),
+        fits as (select page_id, arg_max(h || p, length(h || p)) as rule, arg_max(how, length(h || p)) as how
+            from split join rules on (host = h or ends_with(host, '.' || h)) and starts_with(path, p) group by page_id),
+        labels as (select distinct host, unnest(string_split(host, '.')) as label from split),
+        listed as (select distinct host from labels where regexp_matches(label, '(?:^|-)(?:ads|adult|bets|casino|gambling|pills|poker|porn|spam|viagra|warez|xxx)(?:-|$)'))
+        select s.page_id, s.host, s.path, f.rule, coalesce(f.how, case when l.host is null then 'allow' else 'block' end) as verdict, l.host is not null as listed
+        from split s left join fits f on f.page_id = s.page_id left join listed l on l.host = s.host
+    """,
+    "op13_fill_middle": r"""
+        with d as (select doc_id, coalesce(text, '') as text, sha256('42:' || coalesce(doc_id::varchar, '')) as digest from documents),
+        h as (select *, ('0x' || digest[1:8])::bigint as h1, ('0x' || digest[9:16])::bigint as h2, ('0x' || digest[17:24])::bigint as h3, ('0x' || digest[25:32])::bigint as h4,
+            regexp_extract_all(text, '[\x20\x09-\x0D]*[^\x20\x09-\x0D]+|[\x20\x09-\x0D]+') as units from d),
+        c as (select *, len(units) as n, case when text = '' or contains(text, '<P>') or contains(text, '<S>') or contains(text, '<M>') or h3 % 100 >= 50 then 'plain' when h4 % 100 < 80 then 'spm' else 'psm' end as form from h),
+        p as (select *, least(h1 % (n + 1), h2 % (n + 1)) as a, greatest(h1 % (n + 1), h2 % (n + 1)) as b from c),
+        x as (select *, coalesce(array_to_string(units[1:a], ''), '') as head, coalesce(array_to_string(units[a + 1:b], ''), '') as middle, coalesce(array_to_string(units[b + 1:], ''), '') as tail from p)
+        select doc_id, n, form, case form when 'plain' then null else length(head) end as prefix_chars, case form when 'plain' then null else length(middle) end as middle_chars,
+            sha256(case form when 'plain' then text when 'spm' then '<S>' || tail || '<P>' || head || '<M>' || middle else '<P>' || head || '<S>' || tail || '<M>' || middle end) as output_sha256, sha256(text) as restored_sha256
+        from x
+    """,
     "op8_near_duplicates": r"""
         with recursive words as (
             select doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') as w from documents),
