@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import unicodedata
 
 from pyspark.sql import Column
@@ -47,7 +48,8 @@ def _bases() -> dict[str, str]:
 
 #: The decomposition table of Unicode.
 BASES = _bases()
-_TABLE = str.maketrans(BASES)
+#: The same for ``str.translate``; the text keeps its length.
+UNMARKED = str.maketrans(BASES)
 
 
 def fold(text: Column) -> Column:
@@ -57,7 +59,16 @@ def fold(text: Column) -> Column:
 
 def folded(text: str) -> str:
     """``fold`` for a Python string."""
-    return "".join(c for c in text.translate(_TABLE) if unicodedata.category(c)[0] != "M")
+    return "".join(c for c in text.translate(UNMARKED) if unicodedata.category(c)[0] != "M")
+
+
+#: The index token for Python's own patterns: word characters but the underscore; folded texts hold no marks.
+_PYTHON_TOKEN = re.compile(r"[^\W_]+")
+
+
+def index_tokens(text: str) -> list[str]:
+    """``tokens`` for a Python string."""
+    return [t.lower() for t in _PYTHON_TOKEN.findall(text if text.isascii() else folded(text))]
 
 
 def tokens(text: Column) -> Column:

@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 import math
-import uuid
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..sources import work
+
 Z = 1.96
 SIGMA, SIDE_SIGMA = 2.0, 1.0
 STEPS, TOLERANCE = 500, 1e-11
@@ -91,14 +92,11 @@ def _keep(rows: DataFrame, *old: DataFrame) -> DataFrame:
 
     A checkpoint would hand on the sizes that the optimiser estimates, which multiply with every join.
     """
-    spark = rows.sparkSession
-    path = f"{spark.sparkContext.getCheckpointDir()}/ranking-{uuid.uuid4().hex}"
-    rows.write.parquet(path)
+    out = work.kept(rows, "ranking")
     for df in old:
         for name in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-            folder = spark._jvm.org.apache.hadoop.fs.Path(name)
-            folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
-    return spark.read.schema(rows.schema).parquet(path)
+            work.remove(rows.sparkSession, name)
+    return out
 
 
 def _with(rows: DataFrame, values: dict[str, float]) -> DataFrame:
@@ -152,7 +150,8 @@ def _turn(met: DataFrame, state: DataFrame, by: dict[str, float], prior: float)
 def board(scores: DataFrame, least: int = 0) -> DataFrame:
     """Adds lower, upper and place, best first by the lower bound; places are counted in sorted ranges."""
     bound = scores.where(F.col("comparisons") >= least).withColumns({"lower": F.col("score") - Z * F.col("stderr"), "upper": F.col("score") + Z * F.col("stderr")})
-    ranged = bound.repartitionByRange(F.desc("lower"), F.col("picture")).withColumn("__range", F.spark_partition_id()).checkpoint()
+    ranged = bound.repartitionByRange(F.desc("lower"), F.col("picture")).withColumn("__range", F.spark_partition_id())
+    ranged = work.kept(ranged, "ranking")
     counts = ranged.groupBy("__range").agg(F.count("*").alias("n"))  # a row per range
     before = F.coalesce(F.sum("n").over(W.orderBy("__range").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
     inside = F.row_number().over(W.partitionBy("__range").orderBy(F.desc("lower"), "picture"))

@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+import heapq
 import re
+from collections import Counter
 from dataclasses import dataclass, field
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+import pandas as pd
+import regex
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.text import BASES, TOKEN, fold, folded, tokens
+from ..functions.text import UNMARKED, index_tokens, tokens
 
 MAX_TERMS, MAX_PREFIXES = 24, 4
 K1, B = 1.2, 0.75
@@ -30,8 +34,8 @@ class Group:
 
 
 _ITEM = re.compile(r'(?P<no>-(?=\S))?(?:"(?P<quoted>[^"]*)"?(?P<star>\**)|(?P<bare>[^\s"]+))')
-#: The index token for Python's own patterns: word characters but the underscore.
-_PYTHON_TOKEN = re.compile(r"[^\W_]+")
+#: A token in a text of which marked letters were replaced; marks may stand in and around it.
+_SPAN, _MARKS = regex.compile(r"\p{M}*[\p{L}\p{N}][\p{L}\p{N}\p{M}]*"), regex.compile(r"\p{M}+")
 
 
 def parse(query: str) -> list[Group]:
@@ -46,7 +50,7 @@ def parse(query: str) -> list[Group]:
                 groups.append(Group())
             continue
         raw = m["quoted"] if bare is None else bare
-        found = tuple(t.lower() for t in _PYTHON_TOKEN.findall(folded(raw)))
+        found = tuple(index_tokens(raw))
         no, negate = bool(m["no"]) or negate, False
         prefix = bool(m["star"]) if bare is None else raw.endswith("*")
         if place == len(items) - 1 and bare is not None and not no:
@@ -67,30 +71,27 @@ def occurrences(line: Column, phrase: Phrase) -> Column:
     return F.regexp_count(line, F.lit(f"(?<= ){parts[0]}(?={''.join(f' {x}' for x in parts[1:])} )")).cast("long")
 
 
-def search(entries: DataFrame, query: str, weights: dict[str, float]) -> DataFrame:
-    """(date_id, score and hits_<column>): rows that match, better ones with lower scores.
+def phrases_of(groups: list[Group]) -> list[Phrase]:
+    return list(dict.fromkeys(p for g in groups for p in (*g.wanted, *g.unwanted)))
 
-    One pass tokenises and counts phrases per row; rows are kept slim, and the two aggregates that BM25 needs (rows
-    with each phrase, average length) are one row, which every slim row meets.
+
+def nothing(spark: SparkSession, columns: list[str]) -> DataFrame:
+    """The result of a query that wants nothing."""
+    return spark.createDataFrame([], "date_id long, score double, " + ", ".join(f"hits_{c} boolean" for c in columns))
+
+
+def ranked(counted: DataFrame, groups: list[Group], weights: dict[str, float], rows: Column | None = None, mean: Column | None = None) -> DataFrame:
+    """Matches and scores from ``counted`` (date_id, length, n_<phrase>_<column>, in the order of ``phrases_of``).
+
+    ``rows`` and ``mean`` are the number of documents and their mean length; without them ``counted`` has all documents.
     """
-    groups = parse(query)
-    spark = entries.sparkSession
-    hits = [f"hits_{c}" for c in weights]
-    if not groups:
-        return spark.createDataFrame([], "date_id long, score double, " + ", ".join(f"{h} boolean" for h in hits))
-    phrases = list(dict.fromkeys(p for g in groups for p in (*g.wanted, *g.unwanted)))
+    phrases = phrases_of(groups)
     wanted = list(dict.fromkeys(p for g in groups for p in g.wanted))
-    lines = [F.concat(F.lit(" "), F.array_join(tokens(F.coalesce(F.col(c), F.lit(""))), " "), F.lit(" ")).alias(c) for c in weights]
-    cut = entries.select("date_id", F.inline(F.array(F.struct(*lines))))  # each line is made once, not in every use
-    spaces = lambda c: F.char_length(c) - F.char_length(F.replace(c, F.lit(" "), F.lit("")))
-    tokens_in = lambda c: F.when(F.col(c) == "  ", F.lit(0)).otherwise(spaces(F.col(c)) - 1)
-    counted = cut.select(
-        "date_id", sum((tokens_in(c) for c in weights), F.lit(0)).alias("length"),
-        *[occurrences(F.col(c), p).alias(f"n_{i}_{c}") for i, p in enumerate(phrases) for c in weights],
-    )
     in_row = {p: sum((F.col(f"n_{i}_{c}") for c in weights), F.lit(0)) > 0 for i, p in enumerate(phrases)}
     place = {p: i for i, p in enumerate(phrases)}
     overall = counted.agg(F.count("*").alias("rows"), F.avg("length").alias("mean"), *[F.count_if(in_row[p]).alias(f"with_{place[p]}") for p in wanted])
+    if rows is not None:
+        overall = overall.withColumns({"rows": rows, "mean": mean})
     match = F.lit(False)
     for g in groups:
         yes = reduce(lambda a, b: a & b, [in_row[p] for p in g.wanted])
@@ -108,45 +109,135 @@ def search(entries: DataFrame, query: str, weights: dict[str, float]) -> DataFra
     return met.select("date_id", score.alias("score"), *flags)
 
 
+def search(entries: DataFrame, query: str, weights: dict[str, float]) -> DataFrame:
+    """(date_id, score and hits_<column>): rows that match, better ones with lower scores, from the texts themselves.
+
+    One pass tokenises and counts phrases per row; rows are kept slim, and the two aggregates that BM25 needs (rows
+    with each phrase, average length) are one row, which every slim row meets.  ``index.SearchIndex`` keeps the tokens.
+    """
+    groups = parse(query)
+    if not groups:
+        return nothing(entries.sparkSession, list(weights))
+    phrases = phrases_of(groups)
+    lines = [F.concat(F.lit(" "), F.array_join(tokens(F.coalesce(F.col(c), F.lit(""))), " "), F.lit(" ")).alias(c) for c in weights]
+    cut = entries.select("date_id", F.inline(F.array(F.struct(*lines))))  # each line is made once, not in every use
+    spaces = lambda c: F.char_length(c) - F.char_length(F.replace(c, F.lit(" "), F.lit("")))
+    tokens_in = lambda c: F.when(F.col(c) == "  ", F.lit(0)).otherwise(spaces(F.col(c)) - 1)
+    counted = cut.select(
+        "date_id", sum((tokens_in(c) for c in weights), F.lit(0)).alias("length"),
+        *[occurrences(F.col(c), p).alias(f"n_{i}_{c}") for i, p in enumerate(phrases) for c in weights],
+    )
+    return ranked(counted, groups, weights)
+
+
+def spans(text: str) -> tuple[list[str], list[tuple[int, int]]]:
+    """Index tokens of a text and where each stands in it, marks included."""
+    plain = text if text.isascii() else text.translate(UNMARKED)
+    found = list(_SPAN.finditer(plain))
+    return [_MARKS.sub("", m[0]).lower() for m in found], [m.span() for m in found]
+
+
+def matches(tokens: list[str], phrases: list[Phrase]) -> list[tuple[int, int, int]]:
+    """(start, end, phrase) of every place where a phrase stands, in tokens, by start."""
+    first: dict[str, list[int]] = {}
+    open_ended = []
+    for i, p in enumerate(phrases):
+        if p.prefix and len(p.tokens) == 1:
+            open_ended.append(i)
+        else:
+            first.setdefault(p.tokens[0], []).append(i)
+    out = []
+    for at, token in enumerate(tokens):
+        for i in first.get(token, ()):
+            p, end = phrases[i], at + len(phrases[i].tokens)
+            if tuple(tokens[at:end]) == p.tokens or p.prefix and end <= len(tokens) and tuple(tokens[at : end - 1]) == p.tokens[:-1] and tokens[end - 1].startswith(p.tokens[-1]):
+                out.append((at, end, i))
+        out += [(at, at + 1, i) for i in open_ended if token.startswith(phrases[i].tokens[0])]
+    return out
+
+
+def best_window(length: int, found: list[tuple[int, int, int]], n: int) -> int:
+    """Where the window of ``n`` tokens begins that holds most different phrases whole; the first of several.
+
+    The best window that comes first either begins the text or ends with a match, since one place to the left it would
+    hold fewer phrases; so only as many windows as matches are tried, and they slide.  If none holds a whole phrase,
+    the window begins with the first match.
+    """
+    best, begin, inside, held, ends, k = 0, 0, Counter(), [], sorted(found, key=lambda m: m[1]), 0
+    for s in sorted({0, *(max(0, m[1] - n) for m in found)}):
+        while k < len(ends) and ends[k][1] <= s + n:
+            heapq.heappush(held, ends[k])
+            inside[ends[k][2]] += 1
+            k += 1
+        while held and held[0][0] < s:
+            gone = heapq.heappop(held)[2]
+            inside[gone] -= 1
+            if not inside[gone]:
+                del inside[gone]
+        if len(inside) > best:
+            best, begin = len(inside), s
+    return begin if best or not found else min(found[0][0], max(0, length - n))
+
+
+def marked(text: str, at: list[tuple[int, int]], found: list[tuple[int, int, int]], start: int, end: int, before: str, after: str) -> str:
+    """Tokens ``start`` to ``end`` of a text with phrases marked whole; phrases that overlap share their marks."""
+    runs: list[list[int]] = []
+    for a, b, _ in found:
+        a, b = max(a, start), min(b, end)
+        if a < b and runs and a < runs[-1][1]:
+            runs[-1][1] = max(b, runs[-1][1])
+        elif a < b:
+            runs.append([a, b])
+    out, upto = [], at[start][0]
+    for a, b in runs:
+        out += [text[upto : at[a][0]], before, text[at[a][0] : at[b - 1][1]], after]
+        upto = at[b - 1][1]
+    return "".join(out) + text[upto : at[end - 1][1]]
+
+
+def wanted_phrases(query: str) -> list[Phrase]:
+    return list(dict.fromkeys(p for g in parse(query) for p in g.wanted))
+
+
 def highlight(text: Column, query: str, before: str = "<mark>", after: str = "</mark>") -> Column:
-    """Markers around every token that the query wants, with or without diacritics."""
-    forms: dict[str, str] = {}
-    for c, base in BASES.items():
-        forms[base.lower()] = forms.get(base.lower(), base.lower()) + c
-    spelt = lambda t: "".join((f"[{forms[c]}]" if c in forms else re.escape(c)) + "\\\\p{M}*" for c in t)
-    terms = sorted({spelt(t) + ("[\\\\p{L}\\\\p{M}]*" if p.prefix and t == p.tokens[-1] else "") for g in parse(query) for p in g.wanted for t in p.tokens}, key=len, reverse=True)
-    if not terms:
+    """The whole text with every phrase that the query wants marked, with or without diacritics; null stays null."""
+    phrases = wanted_phrases(query)
+    if not phrases:
         return text
-    pattern = f"(?iu)(?<![\\p{{L}}\\p{{N}}])({'|'.join(t.replace(chr(92) * 2, chr(92)) for t in terms)})(?![\\p{{L}}\\p{{N}}])"
-    return F.regexp_replace(text, pattern, f"{before}$1{after}")
 
+    @F.pandas_udf("string")
+    def show(texts: pd.Series) -> pd.Series:
+        return texts.map(one, na_action="ignore")
+
+    def one(t: str) -> str:
+        tokens, at = spans(t)
+        if not at:
+            return t
+        return t[: at[0][0]] + marked(t, at, matches(tokens, phrases), 0, len(at), before, after) + t[at[-1][1] :]
+
+    return show(text)
+
+
+def snippet(text: str, phrases: list[Phrase], n: int, before: str, after: str, cut: str = "…") -> str | None:
+    """The best window of a text, with ``cut`` where it goes on; None without tokens."""
+    tokens, at = spans(text)
+    if not at:
+        return None
+    found = matches(tokens, phrases)
+    begin = best_window(len(at), found, n)
+    end = min(begin + n, len(at))
+    whole = [m for m in found if begin <= m[0] and m[1] <= end] or found
+    return (cut if begin else "") + marked(text, at, whole, begin, end, before, after) + (cut if end < len(at) else "")
 
 
-def snippets(entries: DataFrame, query: str, column: str, n: int = 16, *, before: str = "<mark>", after: str = "</mark>") -> DataFrame:
-    """(date_id, snippet): of rows that match in the column, ``n`` tokens (1 to 64) around the first wanted phrase, marked.
+def snippets(entries: DataFrame, query: str, column: str, n: int = 16, *, before: str = "<mark>", after: str = "</mark>", found: DataFrame | None = None) -> DataFrame:
+    """(date_id, snippet): of rows that match in the column, the ``n`` tokens (1 to 64) with most different phrases, marked.
 
-    An ellipsis stands where the text goes on.
+    ``found`` is a search's result with ``hits_<column>``, as from the index; without it the texts are searched.
     """
-    n = max(1, min(64, n))
-    wanted = list(dict.fromkeys(p for g in parse(query) for p in g.wanted))
-    met = search(entries, query, {column: 1.0}).where(f"hits_{column}").select("date_id") if wanted else entries.select("date_id").limit(0)
-    text = F.col(column)
-    shown = entries.join(met, "date_id", "left_semi").select(
-        "date_id", F.split(text, TOKEN).alias("gaps"), F.regexp_extract_all(text, F.lit(TOKEN), F.lit(0)).alias("own"),
-    ).withColumn("folded", F.transform("own", lambda t: F.lower(fold(t))))
-
-    def place(p: Phrase) -> Column:
-        last = len(p.tokens) - 1
-        tests = lambda i: [
-            F.startswith(F.get("folded", i + k), F.lit(t)) if p.prefix and k == last else F.get("folded", i + k) == t for k, t in enumerate(p.tokens)
-        ]
-        found = F.filter(F.sequence(F.lit(0), F.size("folded") - 1), lambda i: reduce(lambda a, b: a & b, tests(i)))
-        return F.get(found, F.lit(0))
-
-    first = F.least(*[place(p) for p in wanted], F.lit(None).cast("int")) if wanted else F.lit(0)
-    shown = shown.where(F.size("own") > 0).withColumn("at", F.greatest(F.coalesce(first, F.lit(0)) - (n - 1) // 2, F.lit(0)))
-    end = F.least(F.col("at") + n, F.size("own"))
-    cut = F.transform(F.slice("own", F.col("at") + 1, F.lit(n)), lambda t, i: F.concat(t, F.when(F.col("at") + i + 1 < end, F.get("gaps", F.col("at") + i + 1)).otherwise("")))
-    marked = highlight(F.array_join(cut, ""), query, before, after)
-    told = F.concat(F.when(F.col("at") > 0, "…").otherwise(""), marked, F.when(end < F.size("own"), "…").otherwise(""))
-    return shown.select("date_id", told.alias("snippet"))
+    n, phrases = max(1, min(64, n)), wanted_phrases(query)
+    if not phrases:
+        return entries.select("date_id", F.lit(None).cast("string").alias("snippet")).limit(0)
+    met = (search(entries, query, {column: 1.0}) if found is None else found).where(f"hits_{column}").select("date_id")
+    show = F.pandas_udf(lambda texts: texts.map(lambda t: snippet(t, phrases, n, before, after), na_action="ignore"), "string")
+    return entries.select("date_id", column).join(met, "date_id", "left_semi").select("date_id", show(F.col(column)).alias("snippet")).where("snippet is not null")

@@ -6,9 +6,9 @@ from pyspark.sql import functions as F
 
 from ..functions import exchange, planets
 from ..operators import browse, catalogue, checks, reuse, search, voting
-from ..sources import space
+from ..sources import space, work
 from ..sources.tables import entries, read, votes
-from .registry import _BAG, _ENTRIES, _LINKS, _P, _VOTES, W04_words, W05_resources, X22_page_links, query
+from .registry import _BAG, _ENTRIES, _LINKS, _P, _VOTES, WEIGHTS, W04_words, W05_resources, X22_page_links, query, stored_index
 
 # -- words and links ----------------------------------------------------------------------------------------------
 
@@ -109,10 +109,8 @@ def _pictures(spark, sf_dir):
 
 def _grouped(spark, sf_dir):
     """Entries with their picture groups, found once and written."""
-    from .registry import _kept
-
     e = _pictures(spark, sf_dir)
-    return reuse.regrouped(e, _kept(spark, reuse.picture_groups(e, checkpoint=lambda df: _kept(spark, df))))
+    return reuse.regrouped(e, work.kept(reuse.picture_groups(e, checkpoint=work.kept)))
 
 
 @query(_PICTURES + "select date_id, picture_group from g")
@@ -370,12 +368,14 @@ def X25_turn_differences(spark, sf_dir):
 
 @query(_ENTRIES + "select date_id from entries where contains(lower(text), 'the') and regexp_matches(strip_accents(text), '(?i)(^|[^\\p{L}\\p{N}\\p{M}])the($|[^\\p{L}\\p{N}\\p{M}])') order by date_id desc limit 20")
 def F09_newest_matches(spark, sf_dir):
-    return search.search(entries(spark, sf_dir), '"the"', {"text": 1.0}).orderBy(F.desc("date_id")).limit(20).select("date_id")
+    return stored_index(spark, sf_dir).search('"the"', WEIGHTS).where("hits_text").orderBy(F.desc("date_id")).limit(20).select("date_id")
 
 
 @query()
 def F10_snippets(spark, sf_dir):
-    return search.snippets(entries(spark, sf_dir), '"of the"', "text", 12)
+    """The matches come from the index, only their texts are read."""
+    wanted = '"of the" OR "scum" OR video'
+    return search.snippets(entries(spark, sf_dir), wanted, "text", 12, found=stored_index(spark, sf_dir).search(wanted, WEIGHTS))
 
 
 # -- sky ----------------------------------------------------------------------------------------------------------

@@ -2,19 +2,17 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import hashing, sky, text
-from ..operators import catalogue, insight, joins, mutation, pictures, puzzles, ranking, search
+from ..operators import catalogue, insight, joins, mutation, pictures, puzzles, ranking, rollups, search
+from ..operators.index import SearchIndex
 from ..sources import pages as page_source
+from ..sources import work
 from ..sources.tables import ENTRIES_SQL, VOTES_SQL, entries, read, votes
 from ..streaming import ledger
 
-WEIGHTS = {"title": 10.0, "text": 1.0}
 #: The word pattern for the SQL twins.
 _P = text.WORD.replace("'", "''")
 _WORDS_SQL = f"""bag_all as (select date_id, year(date) as year, unnest(list_transform(list_filter(regexp_extract_all(text, '{_P}'),
@@ -105,6 +103,23 @@ def X28_word_hashes(spark, sf_dir):
     return W04_words(spark, sf_dir).select("word", hashing.salted(F.col("word"), 1).alias("hash"))
 
 
+#: Entries after a change: a seventh goes, a fifth is replaced, new ones come.
+_CHANGED_ENTRIES = _BAG.replace("entries as (", "base as (", 1).replace(", bag_all as", """, entries as (select date_id, date, kind, text from base where date_id % 7 <> 0 and date_id % 5 <> 0
+    union all select date_id, date, kind, replace(text, 'the', 'comet') from base where date_id % 5 = 0 union all select date_id + 10000000, date, kind, 'meteor ' || text from base where date_id % 11 = 0), bag_all as""", 1)
+
+
+@query(_CHANGED_ENTRIES + "select word, total, entries from catalogue")
+def W04_changed_words(spark, sf_dir):
+    """The roll-up after a change, from the roll-up before it and signed deltas."""
+    e = entries(spark, sf_dir).select("date_id", "text")
+    replaced = e.where("date_id % 5 = 0").withColumn("text", F.replace("text", F.lit("the"), F.lit("comet")))
+    new = e.where("date_id % 11 = 0").withColumns({"date_id": F.col("date_id") + 10_000_000, "text": F.concat(F.lit("meteor "), "text")})
+    upserts = replaced.union(new)
+    old = rollups.changed(e, upserts, e.where("date_id % 7 = 0"), "date_id")
+    state = rollups.WordRollup.build(catalogue.entry_words(e))
+    return state.change(catalogue.entry_words(old), catalogue.entry_words(upserts)).rows()
+
+
 # -- statistics -------------------------------------------------------------------------------------------------
 
 
@@ -212,6 +227,21 @@ def W05_resources(spark, sf_dir):
     return catalogue.resources(X22_page_links(spark, sf_dir))
 
 
+_CHANGED_LINKS = _LINKS.replace("with a as", """with changed as (select page_id, url, html from pages where page_id % 7 <> 0 and page_id % 5 <> 0
+    union all select page_id, url, replace(html, 'href="/', 'href="/moved/') from pages where page_id % 5 = 0 union all select page_id + 10000000, url, html from pages where page_id % 11 = 0), a as""", 1).replace("from pages)", "from changed)", 1)
+
+
+@query(_CHANGED_LINKS + "select * from resources")
+def W05_changed_resources(spark, sf_dir):
+    """The roll-up of links after a change; first and last are looked up again where the page that held them went."""
+    p = read(spark, sf_dir, "pages").select("page_id", "url", "html")
+    replaced = p.where("page_id % 5 = 0").withColumn("html", F.replace("html", F.lit('href="/'), F.lit('href="/moved/')))
+    upserts = replaced.union(p.where("page_id % 11 = 0").withColumn("page_id", F.col("page_id") + 10_000_000))
+    old = rollups.changed(p, upserts, p.where("page_id % 7 = 0"), "page_id")
+    state = rollups.LinkRollup.build(catalogue.page_links(p))
+    return state.change(catalogue.page_links(old), catalogue.page_links(upserts)).rows()
+
+
 @query(_LINKS + "select host, count(*) as links, sum(refs)::bigint as refs from resources group by host order by refs desc, host limit 20")
 def A12_hosts(spark, sf_dir):
     return catalogue.hosts(W05_resources(spark, sf_dir))
@@ -229,38 +259,80 @@ def X13_page_titles(spark, sf_dir):
 
 # -- search -----------------------------------------------------------------------------------------------------
 
-_TOKENS = _ENTRIES + """, t as (select date_id, list_transform(regexp_extract_all(title, '[\\p{L}\\p{N}\\p{M}]+'), lambda x: lower(x)) as a,
-    list_transform(regexp_extract_all(text, '[\\p{L}\\p{N}\\p{M}]+'), lambda x: lower(x)) as b from entries) """
+#: The four columns that search looks in, and their weights: the source stands for the credit, the kind for keywords.
+WEIGHTS = {"title": 10.0, "text": 1.0, "credit": 2.0, "keywords": 5.0}
+_TOKENS = _ENTRIES + """, searchable as (select date_id, title, text, host as credit, kind as keywords from entries) """
+
+
+def _lists(table: str) -> str:
+    """SQL for the tokens of the four columns as lists a to d (t) and as lines (l)."""
+    tokens = ", ".join(f"list_transform(regexp_extract_all(strip_accents({c}), '[\\p{{L}}\\p{{N}}\\p{{M}}]+'), lambda x: lower(x)) as {n}" for n, c in zip("abcd", WEIGHTS, strict=True))
+    lines = ", ".join(f"' ' || array_to_string({n}, ' ') || ' ' as {n}" for n in "abcd")
+    return f", t as (select date_id, {tokens} from {table}), l as (select date_id, {lines} from t) "
+
+
+def searchable(spark, sf_dir):
+    return entries(spark, sf_dir).select("date_id", "title", "text", F.col("host").alias("credit"), F.col("kind").alias("keywords"))
+
+
+_indexes: dict[tuple, SearchIndex] = {}
+
+
+def stored_index(spark, sf_dir) -> SearchIndex:
+    """The index of the documents of a folder, built on first use and again when their files change."""
+    key = (spark.sparkContext.applicationId, sf_dir, work.stamp(spark, f"{sf_dir}/documents.parquet"))
+    if key not in _indexes:
+        _indexes[key] = SearchIndex.build(searchable(spark, sf_dir), tuple(WEIGHTS))
+    return _indexes[key]
+
+
+@query(_TOKENS + _lists("searchable") + """, p as (select date_id, 0 as place, unnest(a) as token from t union all select date_id, 1, unnest(b) from t union all select date_id, 2, unnest(c) from t union all select date_id, 3, unnest(d) from t)
+    select token, place, count(distinct date_id) as entries, count(*) as occurrences from p group by token, place""")
+def F05_postings(spark, sf_dir):
+    """The index as stored: how many entries hold a token in each column, and how often."""
+    rows = stored_index(spark, sf_dir).postings().where("token <> ''")
+    return rows.groupBy("token", "place").agg(F.count("*").alias("entries"), F.sum("n").alias("occurrences"))
+
+
+_OF = lambda test: " + ".join(f"{w} * len(list_filter({n}, lambda x: {test}))" for n, w in zip("abcd", (10, 1, 2, 5)))
 
 
 @query(
-    _TOKENS + """, c as (select date_id, len(a) + len(b) as d, 10 * len(list_filter(a, lambda x: x = 'the')) + len(list_filter(b, lambda x: x = 'the')) as f1,
-        10 * len(list_filter(a, lambda x: starts_with(x, 'thea'))) + len(list_filter(b, lambda x: starts_with(x, 'thea'))) as f2,
-        len(list_filter(a, lambda x: x = 'idiot')) + len(list_filter(b, lambda x: x = 'idiot')) as f3 from t),
+    _TOKENS + _lists("searchable") + f""", c as (select date_id, len(a) + len(b) + len(c) + len(d) as d, {_OF("x = 'the'")} as f1, {_OF("starts_with(x, 'thea')")} as f2, {_OF("x = 'idiot'")} as f3 from t),
     s as (select count(*) as n, avg(d) as m, count(*) filter (where f1 > 0) as n1, count(*) filter (where f2 > 0) as n2 from c),
     w as (select *, case when ln((n - n1 + 0.5) / (n1 + 0.5)) <= 0 then 1e-6 else ln((n - n1 + 0.5) / (n1 + 0.5)) end as i1, case when ln((n - n2 + 0.5) / (n2 + 0.5)) <= 0 then 1e-6 else ln((n - n2 + 0.5) / (n2 + 0.5)) end as i2 from s)
     select date_id, round(-(i1 * f1 * 2.2 / (f1 + 1.2 * (0.25 + 0.75 * d / m)) + i2 * f2 * 2.2 / (f2 + 1.2 * (0.25 + 0.75 * d / m))), 6) as score from c, w where f1 > 0 and f2 > 0 and f3 = 0"""
 )
 def F08_ranked_search(spark, sf_dir):
-    return search.search(entries(spark, sf_dir), "the -idiot thea", WEIGHTS).select("date_id", F.round("score", 6).alias("score"))
+    return stored_index(spark, sf_dir).search("the -idiot thea", WEIGHTS).select("date_id", F.round("score", 6).alias("score"))
 
 
-@query(
-    _TOKENS + """, c as (select date_id, ' ' || array_to_string(a, ' ') || ' ' as a, ' ' || array_to_string(b, ' ') || ' ' as b from t)
-    select date_id, contains(a, ' of the ') or contains(a, ' scum ') as hits_title, contains(b, ' of the ') or contains(b, ' scum ') as hits_text
-    from c where contains(a, ' of the ') or contains(b, ' of the ') or contains(a, ' scum ') or contains(b, ' scum ')"""
-)
+_HITS = lambda *phrases: ", ".join("(" + " or ".join(f"contains({n}, ' {p} ')" for p in phrases) + f") as hits_{c}" for n, c in zip("abcd", WEIGHTS))
+_ANY = "hits_title or hits_text or hits_credit or hits_keywords"
+
+
+@query(_TOKENS + _lists("searchable") + f"select date_id, {_HITS('of the', 'scum', 'video')} from l where {_ANY}")
 def F07_phrase_match(spark, sf_dir):
-    return search.search(entries(spark, sf_dir), '"of the" OR "scum"', WEIGHTS).select("date_id", "hits_title", "hits_text")
+    return stored_index(spark, sf_dir).search('"of the" OR "scum" OR "video"', WEIGHTS).drop("score")
+
+
+@query(_TOKENS + _lists("searchable") + f"select date_id, {_HITS('fur')} from l where {_ANY}")
+def F06_accented_match(spark, sf_dir):
+    return stored_index(spark, sf_dir).search('"für"', WEIGHTS).drop("score")
 
 
 @query(
-    _ENTRIES + """, t as (select date_id, list_transform(regexp_extract_all(strip_accents(title), '[\\p{L}\\p{N}\\p{M}]+'), lambda x: lower(x)) as a,
-    list_transform(regexp_extract_all(strip_accents(text), '[\\p{L}\\p{N}\\p{M}]+'), lambda x: lower(x)) as b from entries)
-    select date_id, list_contains(a, 'fur') as hits_title, list_contains(b, 'fur') as hits_text from t where list_contains(a, 'fur') or list_contains(b, 'fur')"""
+    _TOKENS + """, changed as (select * from searchable where date_id % 7 <> 0 and date_id % 5 <> 0 union all select date_id, title, 'comet ' || text, credit, keywords from searchable where date_id % 5 = 0
+        union all select date_id + 10000000, title, 'meteor of the ' || text, credit, keywords from searchable where date_id % 11 = 0)"""
+    + _lists("changed") + f"select date_id, {_HITS('comet', 'meteor of', 'of the')} from l where {_ANY}"
 )
-def F06_accented_match(spark, sf_dir):
-    return search.search(entries(spark, sf_dir), '"für"', WEIGHTS).select("date_id", "hits_title", "hits_text")
+def F07_changed_index(spark, sf_dir):
+    """Matches after a change: a seventh of the entries goes, a fifth is replaced, new ones come; the documents' own index stays."""
+    e = searchable(spark, sf_dir)
+    replaced = e.where("date_id % 5 = 0").withColumn("text", F.concat(F.lit("comet "), "text"))
+    new = e.where("date_id % 11 = 0").withColumns({"date_id": F.col("date_id") + 10_000_000, "text": F.concat(F.lit("meteor of the "), "text")})
+    index = stored_index(spark, sf_dir).fork().change(replaced.union(new), e.where("date_id % 7 = 0").select("date_id"))
+    return index.search('"comet" OR "meteor of" OR "of the"', WEIGHTS).drop("score")
 
 
 # -- pictures ---------------------------------------------------------------------------------------------------
@@ -275,16 +347,6 @@ def H03_near_prints(spark, sf_dir):
     return pictures.near_pairs(pictures.sign_prints(read(spark, sf_dir, "embeddings")))
 
 
-def _kept(spark: SparkSession, rows: DataFrame) -> DataFrame:
-    """Written to the shared folder and read again: cuts lineage and survives lost executors."""
-    known = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not known and not spark.sparkContext.master.startswith("local"):
-        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-    path = f"{known or 'file://' + tempfile.mkdtemp(prefix='daybook-')}/kept-{uuid.uuid4().hex}"
-    rows.write.parquet(path)
-    return spark.read.schema(rows.schema).parquet(path)
-
-
 _RUNS = "with runs as (select conv_id as grp, turn as date_id, role, text as title from conversations), l as (select *, lag(date_id) over w as d, lag(role) over w as r, lag(title) over w as t, row_number() over w as k from runs window w as (partition by grp order by date_id)) "
 
 
