@@ -22,6 +22,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from . import common
+
 #: What stands before the prefix, the suffix and the middle.
 MARKS = ("<P>", "<S>", "<M>")
 COLUMNS = ("n", "form", "prefix_chars", "middle_chars", "output")
@@ -157,8 +159,13 @@ def restored(output: Column, form: Column, marks: tuple = MARKS) -> Column:
 
 
 def digests(docs: DataFrame) -> DataFrame:
-    """(doc_id, n, form, prefix_chars, middle_chars, output_sha256, restored_sha256) of every document."""
+    """(doc_id, n, form, prefix_chars, middle_chars, output_sha256, restored_sha256) of every document.
+
+    Runs take several times the bytes of their texts, so batches are kept small; a longer text is a batch of its own.
+    """
     made = transformed(docs.select("doc_id", "text")).drop("text")
     sha = lambda c: F.sha2(c.cast("binary"), 256)
     back = restored(F.col("output"), F.col("form"))
-    return made.select("doc_id", "n", "form", "prefix_chars", "middle_chars", sha(F.col("output")).alias("output_sha256"), sha(back).alias("restored_sha256"))
+    told = made.select("doc_id", "n", "form", "prefix_chars", "middle_chars", sha(F.col("output")).alias("output_sha256"), sha(back).alias("restored_sha256"))
+    with common.batches_of(docs.sparkSession, 4 << 20, rows=500):
+        return common.materialise(told, "fill-middle")
