@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, LongType, StringType, StructField, StructType
 
@@ -45,38 +45,72 @@ LONGEST = 1500
 DIFF = ArrayType(StructType([StructField("kind", StringType()), StructField("text", StringType())]))
 
 
-def shortest_edit(a: list[str], b: list[str]) -> list[tuple[str, str]]:
-    """Words kept, taken out and put in, with as few of the last two as possible (greedy furthest paths)."""
+def _walk(a: np.ndarray, b: np.ndarray, reach: np.ndarray, zero: int, d: int) -> tuple[np.ndarray, np.ndarray]:
+    """One step of all diagonals at once: (diagonals, how far each comes along ``a``) with ``d`` edits."""
     n, m = len(a), len(b)
-    reach, trail = {1: 0}, []
-    for d in range(n + m + 1):
-        trail.append(dict(reach))
-        for k in range(-d, d + 1, 2):
-            down = k == -d or (k != d and reach[k - 1] < reach[k + 1])
-            x = reach[k + 1] if down else reach[k - 1] + 1
-            y = x - k
-            while x < n and y < m and a[x] == b[y]:
-                x, y = x + 1, y + 1
-            reach[k] = x
-            if x >= n and y >= m:
-                break
-        else:
+    k = np.arange(-d + 2 * max(0, d - m), d - 2 * max(0, d - n) + 1, 2)
+    x = np.maximum(reach[zero + k - 1] + 1, reach[zero + k + 1])
+    going = np.flatnonzero((x < n) & (x - k < m))
+    while len(going):
+        going = going[a[x[going]] == b[x[going] - k[going]]]
+        x[going] += 1
+        going = going[(x[going] < n) & (x[going] - k[going] < m)]
+    reach[zero + k] = x
+    return k, x
+
+
+def _middle(a: np.ndarray, b: np.ndarray) -> tuple[int, int]:
+    """A place on a shortest edit path with half of its edits before it; both texts differ at both ends.
+
+    Paths grow from both ends, and where they first meet is half way.  Only the furthest place of each diagonal is held.
+    """
+    n, m = len(a), len(b)
+    zero, never = n + m + 2, -(n + m + 5)
+    ahead, behind = np.full(2 * zero + 1, never), np.full(2 * zero + 1, never)
+    ahead[zero + 1] = behind[zero + 1] = 0
+    back_a, back_b = a[::-1], b[::-1]
+    for d in range((n + m + 1) // 2 + 1):
+        for forward in (True, False):
+            one, other = (ahead, behind) if forward else (behind, ahead)
+            k, x = _walk(*((a, b) if forward else (back_a, back_b)), one, zero, d)
+            across = n - m - k  # the other end's diagonal
+            if ((n - m) % 2 == 1) == forward:
+                met = np.flatnonzero((np.abs(across) <= (d - 1 if forward else d)) & (x + other[zero + np.clip(across, -zero, zero)] >= n))
+                if len(met):
+                    x, k = int(x[met[0]]), int(k[met[0]])
+                    return (x, x - k) if forward else (n - x, m - (x - k))
+    raise AssertionError("paths from both ends meet")
+
+
+def shortest_edit(a: list[str], b: list[str]) -> list[tuple[str, str]]:
+    """(kind, word) of a shortest script from one list of words to the other, in memory that grows with their length.
+
+    A place half way along a shortest path cuts both lists, and each half is solved by itself.
+    """
+    codes: dict[str, int] = {}
+    x, y = (np.array([codes.setdefault(w, len(codes)) for w in words], np.int64) for words in (a, b))
+    out: list[tuple[str, str]] = []
+    todo = [(0, len(a), 0, len(b), 0)]
+    while todo:
+        i, j, p, q, same = todo.pop()
+        if same:
+            out += [("same", w) for w in a[i : i + same]]
+            continue
+        head = 0
+        while i < j and p < q and x[i] == y[p]:
+            i, p, head = i + 1, p + 1, head + 1
+        tail = 0
+        while i < j and p < q and x[j - 1] == y[q - 1]:
+            j, q, tail = j - 1, q - 1, tail + 1
+        out += [("same", w) for w in a[i - head : i]]
+        if tail:
+            todo.append((j, j, q, q, tail))
+        if i == j or p == q:
+            out += [("removed", w) for w in a[i:j]] + [("added", w) for w in b[p:q]]
             continue
-        break
-    out, x, y = [], n, m
-    for d in range(len(trail) - 1, -1, -1):
-        k, held = x - y, trail[d]
-        down = k == -d or (k != d and held[k - 1] < held[k + 1])
-        before = k + 1 if down else k - 1
-        px = held[before]
-        py = px - before
-        while x > px and y > py and x > 0 and y > 0:
-            out.append(("same", a[x - 1]))
-            x, y = x - 1, y - 1
-        if d:
-            out.append(("added", b[y - 1]) if down else ("removed", a[x - 1]))
-        x, y = px, py
-    return out[::-1]
+        u, v = _middle(x[i:j], y[p:q])
+        todo += [(i + u, j, p + v, q, 0), (i, i + u, p, p + v, 0)]
+    return out
 
 
 def word_diff(old: str | None, new: str | None) -> list[dict]:
@@ -107,6 +141,13 @@ def diff_words(old: pd.Series, new: pd.Series) -> pd.Series:
     return pd.Series([word_diff(a, b) for a, b in zip(old, new, strict=True)])
 
 
+def changed_fields(old: DataFrame, new: DataFrame, fields: tuple[str, ...], key: str = "date_id") -> DataFrame:
+    """(key, field, diff): of rows in both tables, the fields that differ, with their runs of words."""
+    pairs = F.array(*[F.struct(F.lit(f).alias("field"), F.col(f"o.{f}").alias("old"), F.col(f"n.{f}").alias("new")) for f in fields])
+    both = old.alias("o").join(new.alias("n"), F.col(f"o.{key}") == F.col(f"n.{key}")).select(F.col(f"n.{key}").alias(key), F.inline(pairs))
+    return both.where(~F.col("old").eqNullSafe(F.col("new"))).select(key, "field", diff_words("old", "new").alias("diff"))
+
+
 def count_words(diff: Column, kind: str) -> Column:
     """Words of a difference that are of one kind."""
     of_kind = F.filter(diff, lambda r: r["kind"] == kind)

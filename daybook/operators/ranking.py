@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import math
+import uuid
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -13,8 +14,12 @@ from ..sources import work
 Z = 1.96
 SIGMA, SIDE_SIGMA = 2.0, 1.0
 STEPS, TOLERANCE = 500, 1e-11
-#: How far conjugate gradients bring the squared rest down in a Newton step.
-FORCING = 1e-6
+#: How far conjugate gradients bring the squared rest down in a Newton step, at least; further as the gradient falls.
+FORCING, FINEST = 0.01, 1e-7
+#: Passes without a lower rest, after which rounding must be what is left.
+IDLE = 6
+#: What one even comparison tells about a score.
+INFORMATION = 0.25
 FUNNEL = (10, 100, 600)
 
 
@@ -26,151 +31,271 @@ def pair_sums(votes: DataFrame) -> DataFrame:
     return rows.groupBy("left", "right").agg(F.sum("w").alias("weight"), F.sum("y").alias("won"), F.count("*").alias("votes"))
 
 
-def fit(votes: DataFrame, sigma: float = SIGMA) -> DataFrame:
-    """(picture, score, stderr, comparisons, side_bias): maximum a posteriori scores of one connected problem.
+def fit(votes: DataFrame, sigma: float = SIGMA, anchors: DataFrame | None = None, start: DataFrame | None = None) -> DataFrame:
+    """(picture, score, stderr, comparisons, side_bias): maximum a posteriori scores.
 
-    Newton steps whose equations conjugate gradients solve, preconditioned by the diagonal.  A pass joins pairs with
-    the values of their pictures and sums per picture; the driver holds the side bias and a few sums only.  A pass
-    is written to the checkpoint folder.
+    Every score has a normal prior: mean 0 and standard deviation ``sigma`` (none if it is infinite), or that of its
+    row in ``anchors`` (picture, score, ess), whose precision is that of ``ess`` even comparisons and at least the
+    common one.  Pictures that only an anchor mentions keep its score.  ``start`` (picture, score), as of an earlier
+    fit, saves steps and changes no result.
+
+    Newton steps, each solved by conjugate gradients as far as the gradient has come down, preconditioned by the
+    diagonal.  Scores and links lie in tables bucketed by picture, so that a pass shuffles what each link hands on,
+    summed per picture beforehand, and nothing else; it is one job, whose sums are observed as it writes.  The driver
+    holds the side bias and a few sums.  Scores that no prior holds are shifted to a mean of 0 within their component.
     """
-    prior, side_prior = 0.0 if not math.isfinite(sigma) else sigma**-2, SIDE_SIGMA**-2
-    pairs = _keep(pair_sums(votes))
-    seen = _both(pairs, {"n": F.col("votes")}, {"n": F.col("votes")}).groupBy("picture").agg(F.sum("n").alias("comparisons"))
-    at = _keep(seen.select("picture", "comparisons", F.lit(0.0).alias("theta"), F.lit(0.0).alias("was")))
+    spark = votes.sparkSession
+    base, side_prior = 0.0 if not math.isfinite(sigma) else sigma**-2, SIDE_SIGMA**-2
+    pairs = _Held.of(pair_sums(votes), "left")
+    at = _Held.of(_pictures(pairs.rows, base, anchors, start), "picture")
+    if pairs.rows.isEmpty():
+        alone = work.kept(at.rows.withColumn("info", F.col("prec")), "ranking")
+        pairs.drop(), at.drop()
+        return _told(alone, 0.0)
     side = side_was = 0.0
-    least = math.inf
+    least, gradient, links, state, bias = math.inf, None, None, None, None
     for _ in range(STEPS):
-        met = _keep(_slopes(pairs, at, side))
-        state = _keep(_start(met, at, prior))
-        whole = met.agg(F.sum("y").alias("y"), F.sum("c").alias("c"), F.sum("loss").alias("loss")).first()
-        sums = state.agg(F.sum(F.col("r") * F.col("d")).alias("rz"), F.max(F.abs("d")).alias("moved"), F.sum(F.col("theta") * F.col("theta")).alias("norm")).first()
-        if sums.moved is None:
-            break
-        slope, info = whole.y - side * side_prior, whole.c + side_prior
-        if max(sums.moved, abs(slope / info)) < TOLERANCE:
+        slopes, whole = _observed(_slopes(pairs.rows, at.rows, side), y=F.sum("y"), c=F.sum("c"), loss=F.sum("loss"))
+        links = _Held.of(_links(slopes), "source", links)
+        bias = {k: v or 0.0 for k, v in whole.get.items()}
+        first, sums = _observed(_start(links.rows, at.rows), rz=F.sum(F.col("r") * F.col("d")), moved=F.max(F.abs("d")), norm=F.sum(F.col("prec") * (F.col("theta") - F.col("mean")) ** 2))
+        state = _Held.of(first, None, state)
+        sums = sums.get
+        slope, info = bias["y"] - side * side_prior, bias["c"] + side_prior
+        if max(sums["moved"], abs(slope / info)) < TOLERANCE:
             break
-        loss = whole.loss + (prior * sums.norm + side_prior * side * side) / 2
+        loss = bias["loss"] + (sums["norm"] + side_prior * side * side) / 2
         if loss > least + 1e-9 * abs(least):  # too far: half the way back
-            half = (F.col("theta") + F.col("was")) / 2
-            at, side = _keep(state.select("picture", "comparisons", half.alias("theta"), "was"), met, state, at), (side + side_was) / 2
+            at, side = _Held.of(state.rows.select(*_PICTURE[:-2], ((F.col("theta") + F.col("was")) / 2).alias("theta"), "was"), None, at), (side + side_was) / 2
             continue
         least = loss
-        x, d, r, rz = 0.0, slope / info, slope, sums.rz + slope * slope / info
-        goal = max(rz * FORCING, 1e-300)
-        by = {"alpha": 0.0, "beta": 0.0, "side": d}
+        x, d, r, rz = 0.0, slope / info, slope, sums["rz"] + slope * slope / info
+        goal = rz * min(FORCING, 1.0 if gradient is None else max(0.8 * (rz / gradient) ** 2, FINEST))
+        gradient = rz
+        alpha, beta, lowest, idle = 0.0, 0.0, rz, 0
         for _ in range(STEPS):
-            state = _keep(_turn(met, state, by, prior), state)
-            sums = state.agg(
-                F.sum(F.col("d") * F.col("hd")).alias("dhd"), F.sum(F.col("r") * F.col("hd") / _info()).alias("rhd"), F.sum(F.col("hd") * F.col("hd") / _info()).alias("hdhd"), F.sum("q").alias("q")
-            ).first()
-            hd = sums.q + d * side_prior
-            dhd = sums.dhd + d * hd
+            turned, told = _observed(
+                _turn(links.rows, state.rows, alpha, beta, d), dhd=F.sum(F.col("d") * F.col("hd")), rhd=F.sum(F.col("r") * F.col("hd") / _info()),
+                hdhd=F.sum(F.col("hd") * F.col("hd") / _info()), q=F.sum(F.col("t") * F.col("d")),
+            )
+            state = _Held.of(turned, None, state)
+            told = told.get
+            hd = told["q"] + (bias["c"] + side_prior) * d
+            dhd = told["dhd"] + d * hd
             if dhd <= 0:
-                by = {"alpha": 0.0, "beta": 0.0, "side": 0.0}
+                alpha = 0.0
                 break
             alpha = rz / dhd
-            rest = max(rz - 2 * alpha * (sums.rhd + r * hd / info) + alpha * alpha * (sums.hdhd + hd * hd / info), 0.0)
+            rest = max(rz - 2 * alpha * (told["rhd"] + r * hd / info) + alpha * alpha * (told["hdhd"] + hd * hd / info), 0.0)
             x, r = x + alpha * d, r - alpha * hd
             d, rz, beta = r / info + rest / rz * d, rest, rest / rz
-            by = {"alpha": alpha, "beta": beta, "side": d}
-            if rz <= goal:
+            idle = 0 if rest < lowest else idle + 1
+            lowest = min(lowest, rest)
+            if rz <= goal or idle >= IDLE:
                 break
-        moved = F.col("theta") + F.col("x") + F.col("alpha") * F.col("d")
-        at = _keep(_with(state, by).select("picture", "comparisons", moved.alias("theta"), F.col("theta").alias("was")), met, state, at)
+        moved = F.col("theta") + F.col("x") + F.lit(alpha) * F.col("d")
+        at = _Held.of(state.rows.select(*_PICTURE[:-2], moved.alias("theta"), F.col("theta").alias("was")), None, at)
         side, side_was = side + x, side
-    state = _keep(state.select("picture", "comparisons", "theta", "info"), pairs, met, state, at)
-    mean = state.agg(F.avg("theta")).first()[0] or 0.0
-    return state.select("picture", (F.col("theta") - mean).alias("score"), (1 / F.sqrt(_info())).alias("stderr"), "comparisons", F.lit(side).alias("side_bias"))
+    scores = work.kept(state.rows.select("picture", "comparisons", "theta", "mean", "prec", "info"), "ranking")
+    if base == 0:
+        scores = _centred(scores, work.kept(pairs.rows.select("left", "right"), "ranking"))
+    for table in (pairs, at, links, state):
+        table.drop()
+    return _told(scores, side)
 
 
-def _info() -> Column:
-    return F.greatest(F.col("info"), F.lit(1e-12))
+def _told(scores: DataFrame, side: float) -> DataFrame:
+    return scores.select("picture", F.col("theta").alias("score"), (1 / F.sqrt(_info())).alias("stderr"), "comparisons", F.lit(side).alias("side_bias"))
+
+
+_PICTURE = ("picture", "comparisons", "mean", "prec", "theta", "was")
 
 
-def _keep(rows: DataFrame, *old: DataFrame) -> DataFrame:
-    """Written to the checkpoint folder and read again; ``old`` ones are deleted then.
+class _Held:
+    """Rows checkpointed to the shared folder, dealt by a column: joins and sums on it need no shuffle.
 
-    A checkpoint would hand on the sizes that the optimiser estimates, which multiply with every join.
+    A checkpoint cuts the lineage, survives lost executors and, unlike a file that is read again, keeps the partitioning.
     """
-    out = work.kept(rows, "ranking")
-    for df in old:
-        for name in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-            work.remove(rows.sparkSession, name)
-    return out
 
+    def __init__(self, rows: DataFrame):
+        self.rows = rows
+
+    @classmethod
+    def of(cls, rows: DataFrame, key: str | None, old: _Held | None = None) -> _Held:
+        """Rows dealt by ``key``, or as they are; ``old`` is dropped afterwards, so rows may come from it."""
+        spark = rows.sparkSession
+        if not spark.sparkContext.getCheckpointDir():
+            spark.sparkContext.setCheckpointDir(work.shared_dir(spark))
+        held = cls((rows if key is None else rows.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), key)).checkpoint())
+        if old is not None:
+            old.drop()
+        return held
+
+    def drop(self) -> None:
+        name = self.rows._jdf.queryExecution().analyzed().rdd().getCheckpointFile()
+        if name.isDefined():
+            work.remove(self.rows.sparkSession, name.get())
 
-def _with(rows: DataFrame, values: dict[str, float]) -> DataFrame:
-    """Values of a pass as columns: data, where literals would have every pass compiled anew."""
-    row = ", ".join(f"{float(v)!r}D" for v in values.values())
-    return rows.crossJoin(F.broadcast(rows.sparkSession.sql(f"select * from values ({row}) as t({', '.join(values)})")))
 
+def _observed(rows: DataFrame, **sums: Column) -> tuple[DataFrame, Observation]:
+    """Rows whose sums are told once they have been written."""
+    seen = Observation()
+    return rows.observe(seen, *[c.alias(k) for k, c in sums.items()]), seen
 
-def _both(pairs: DataFrame, left: dict[str, Column], right: dict[str, Column]) -> DataFrame:
-    """A row for each side of a pair."""
-    sides = [F.struct(F.col(at).alias("picture"), *[c.alias(k) for k, c in given.items()]) for at, given in (("left", left), ("right", right))]
-    return pairs.select(F.explode(F.array(*sides)).alias("s")).select("s.*")
+
+def _info() -> Column:
+    return F.greatest(F.col("info"), F.lit(1e-12))
 
 
-def _meet(pairs: DataFrame, values: DataFrame) -> DataFrame:
-    """Pairs with the value ``v`` of their left picture as ``a`` and of their right one as ``b``."""
-    return pairs.join(values.select(F.col("picture").alias("left"), F.col("v").alias("a")), "left").join(values.select(F.col("picture").alias("right"), F.col("v").alias("b")), "right")
+def _pictures(pairs: DataFrame, base: float, anchors: DataFrame | None, start: DataFrame | None) -> DataFrame:
+    """Every picture of a pair or an anchor, with its prior and where the fit begins."""
+    seen = pairs.select(F.explode(F.array("left", "right")).alias("picture"), "votes").groupBy("picture").agg(F.sum("votes").alias("comparisons"))
+    rows = seen.withColumns({"mean": F.lit(0.0), "prec": F.lit(base)})
+    if anchors is not None:
+        prior = anchors.select("picture", F.col("score").cast("double").alias("_m"), F.greatest(F.col("ess") * INFORMATION, F.lit(base)).cast("double").alias("_p"))
+        both = seen.join(prior, "picture", "full")
+        rows = both.select("picture", F.coalesce("comparisons", F.lit(0)).alias("comparisons"), F.coalesce("_m", F.lit(0.0)).alias("mean"), F.coalesce("_p", F.lit(base)).alias("prec"))
+    theta = F.col("mean")
+    if start is not None:
+        rows = rows.join(start.select("picture", F.col("score").cast("double").alias("_s")), "picture", "left")
+        theta = F.coalesce("_s", "mean")
+    return rows.select("picture", "comparisons", "mean", "prec", theta.alias("theta"), theta.alias("was"))
 
 
 def _slopes(pairs: DataFrame, at: DataFrame, side: float) -> DataFrame:
     """(left, right, y, c, loss): residual, curvature and negative log likelihood of each pair."""
-    met = _with(_meet(pairs, at.select("picture", F.col("theta").alias("v"))), {"side": side})
-    met = met.withColumn("m", F.col("a") - F.col("b") + F.col("side")).withColumn("p", 1 / (1 + F.exp(-F.col("m"))))
+    value = lambda side, name: at.select(F.col("picture").alias(side), F.col("theta").alias(name))
+    met = pairs.join(value("left", "a"), "left").join(value("right", "b"), "right")
+    met = met.withColumn("m", F.col("a") - F.col("b") + F.lit(side)).withColumn("p", 1 / (1 + F.exp(-F.col("m"))))
     loss = F.col("weight") * (F.greatest("m", F.lit(0.0)) + F.log1p(F.exp(-F.abs("m")))) - F.col("won") * F.col("m")
     curve = F.col("weight") * F.col("p") * (1 - F.col("p"))
     return met.select("left", "right", (F.col("won") - F.col("weight") * F.col("p")).alias("y"), curve.alias("c"), loss.alias("loss"))
 
 
-def _start(met: DataFrame, at: DataFrame, prior: float) -> DataFrame:
-    """The state of conjugate gradients before their first pass: solution x, rest r, direction d."""
-    sums = _both(met, {"y": F.col("y"), "c": F.col("c")}, {"y": -F.col("y"), "c": F.col("c")}).groupBy("picture").agg(F.sum("y").alias("y"), F.sum("c").alias("c"))
-    none = F.lit(0.0)
-    rows = at.join(sums, "picture").select("*", (F.col("y") - prior * F.col("theta")).alias("r"), (F.col("c") + prior).alias("info"))
-    return rows.select("picture", "comparisons", "theta", "was", none.alias("x"), "r", (F.col("r") / _info()).alias("d"), none.alias("hd"), "info")
-
-
-def _turn(met: DataFrame, state: DataFrame, by: dict[str, float], prior: float) -> DataFrame:
-    """Brings the state up to the pass and multiplies the new direction; ``q`` adds up to the side bias's part."""
-    rest = F.col("r") - F.col("alpha") * F.col("hd")
-    state = _with(state, by).select(
-        "picture", "comparisons", "theta", "was", (F.col("x") + F.col("alpha") * F.col("d")).alias("x"), rest.alias("r"),
-        F.when(F.col("alpha") == 0, F.col("d")).otherwise(rest / _info() + F.col("beta") * F.col("d")).alias("d"), "info",
-    )
-    q = F.col("c") * (F.col("a") - F.col("b") + F.col("side"))
-    part = _with(_meet(met, state.select("picture", F.col("d").alias("v"))), {"side": by["side"]}).select("left", "right", q.alias("q"))
-    rows = _both(part, {"h": F.col("q"), "q": F.col("q")}, {"h": -F.col("q"), "q": F.lit(0.0)})
-    sums = rows.groupBy("picture").agg(F.sum("h").alias("h"), F.sum("q").alias("q"))
-    return state.join(sums, "picture").withColumn("hd", F.col("h") + prior * F.col("d")).drop("h")
+def _links(slopes: DataFrame) -> DataFrame:
+    """(source, target, y, c, sign): each pair from both of its ends; the residual is that of the source."""
+    ends = F.array(
+        F.struct(F.col("left").alias("source"), F.col("right").alias("target"), F.col("y").alias("y"), F.col("c").alias("c"), F.lit(1.0).alias("sign")),
+        F.struct(F.col("right").alias("source"), F.col("left").alias("target"), (-F.col("y")).alias("y"), F.col("c").alias("c"), F.lit(-1.0).alias("sign")),
+    )
+    return slopes.select(F.inline(ends))
+
+
+def _start(links: DataFrame, at: DataFrame) -> DataFrame:
+    """The state of conjugate gradients before their first pass: solution x, rest r, direction d; ``t`` is the side bias's column."""
+    sums = links.groupBy(F.col("source").alias("picture")).agg(F.sum("y").alias("y"), F.sum("c").alias("c"), F.sum(F.col("c") * F.col("sign")).alias("t"))
+    none, c, y = F.lit(0.0), F.coalesce("c", F.lit(0.0)), F.coalesce("y", F.lit(0.0))
+    rows = at.join(sums, "picture", "left").withColumns({"r": y - F.col("prec") * (F.col("theta") - F.col("mean")), "info": c + F.col("prec")})
+    return rows.select(*_PICTURE, none.alias("x"), "r", (F.col("r") / _info()).alias("d"), none.alias("hd"), "info", F.coalesce("t", none).alias("t"))
+
+
+def _turn(links: DataFrame, state: DataFrame, alpha: float, beta: float, side: float) -> DataFrame:
+    """Brings the state up to the pass and multiplies the new direction by the curvature."""
+    rest = F.col("r") - F.lit(alpha) * F.col("hd")
+    direction = F.col("d") if alpha == 0 else rest / _info() + F.lit(beta) * F.col("d")
+    state = state.select(*_PICTURE, (F.col("x") + F.lit(alpha) * F.col("d")).alias("x"), rest.alias("r"), direction.alias("d"), "info", "t")
+    handed = links.join(state.select(F.col("picture").alias("source"), "d"), "source").groupBy(F.col("target").alias("picture")).agg(F.sum(F.col("c") * F.col("d")).alias("m"))
+    hd = F.col("info") * F.col("d") - F.coalesce("m", F.lit(0.0)) + F.col("t") * F.lit(side)
+    return state.join(handed, "picture", "left").withColumn("hd", hd).drop("m")
+
+
+def _centred(scores: DataFrame, pairs: DataFrame) -> DataFrame:
+    """Components that no prior holds, moved to a mean of 0."""
+    member = components(pairs)
+    rows = scores.join(member, "picture", "left").withColumn("root", F.coalesce("root", "picture"))
+    shift = rows.groupBy("root").agg(F.avg("theta").alias("middle"), F.max("prec").alias("held"))
+    return rows.join(shift, "root").withColumn("theta", F.when(F.col("held") > 0, F.col("theta")).otherwise(F.col("theta") - F.col("middle"))).drop("root", "middle", "held")
+
+
+def components(pairs: DataFrame) -> DataFrame:
+    """(picture, root): the least picture of each one's component, by handing on least roots and jumping to theirs."""
+    both = work.kept(pairs.select(F.inline(F.array(F.struct(F.col("left").alias("a"), F.col("right").alias("b")), F.struct(F.col("right").alias("a"), F.col("left").alias("b"))))).distinct(), "links")
+    roots = work.kept(both.groupBy(F.col("a").alias("picture")).agg(F.least(F.min("a"), F.min("b")).alias("root")), "roots")
+    while True:
+        near = both.join(roots.select(F.col("picture").alias("b"), "root"), "b").groupBy(F.col("a").alias("picture")).agg(F.min("root").alias("near"))
+        met = roots.join(near, "picture").withColumn("low", F.least("root", "near"))
+        # a root whose own root fell takes it at once, so paths halve; so do those that point to it
+        fell = met.groupBy("root").agg(F.min("low").alias("fallen")).withColumnRenamed("root", "old")
+        jumped = met.join(fell, met["low"] == fell["old"], "left").select("picture", "root", F.least("low", F.coalesce("fallen", "low")).alias("new"))
+        new, seen = _observed(jumped, changed=F.count_if(F.col("new") != F.col("root")))
+        before, roots = roots, work.kept(new.select("picture", F.col("new").alias("root")), "roots")
+        _drop(before)
+        if not seen.get["changed"]:
+            _drop(both)
+            return roots
+
+
+def _drop(rows: DataFrame) -> None:
+    for name in {f.rsplit("/", 1)[0] for f in rows.inputFiles()}:
+        work.remove(rows.sparkSession, name)
 
 
 def board(scores: DataFrame, least: int = 0) -> DataFrame:
     """Adds lower, upper and place, best first by the lower bound; places are counted in sorted ranges."""
     bound = scores.where(F.col("comparisons") >= least).withColumns({"lower": F.col("score") - Z * F.col("stderr"), "upper": F.col("score") + Z * F.col("stderr")})
-    ranged = bound.repartitionByRange(F.desc("lower"), F.col("picture")).withColumn("__range", F.spark_partition_id())
-    ranged = work.kept(ranged, "ranking")
+    return numbered(bound, [F.desc("lower"), F.col("picture")], "place")
+
+
+def _ranged(rows: DataFrame, order: list[Column]) -> DataFrame:
+    """Rows in ranges of the order, in column ``__range``; written, as ranges are drawn from a sample."""
+    return work.kept(rows.repartitionByRange(*order).withColumn("__range", F.spark_partition_id()), "ranges")
+
+
+def numbered(rows: DataFrame, order: list[Column], out: str) -> DataFrame:
+    """Adds the place of each row in the order, from 1, counted range by range."""
+    ranged = _ranged(rows, order)
     counts = ranged.groupBy("__range").agg(F.count("*").alias("n"))  # a row per range
     before = F.coalesce(F.sum("n").over(W.orderBy("__range").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    inside = F.row_number().over(W.partitionBy("__range").orderBy(F.desc("lower"), "picture"))
+    inside = F.row_number().over(W.partitionBy("__range").orderBy(*order))
     placed = ranged.join(F.broadcast(counts.select("__range", before.alias("__before"))), "__range")
-    return placed.withColumn("place", (F.col("__before") + inside).cast("int")).drop("__range", "__before")
+    return placed.withColumn(out, (F.col("__before") + inside).cast("int")).drop("__range", "__before")
+
+
+def _followers(rows: DataFrame) -> DataFrame:
+    """(place, next): the first place whose upper bound is below the place's lower bound, if any.
+
+    Bounds of both kinds are sorted together; the answer is the least place among the upper bounds before, range by
+    range.  An upper bound equal to the lower bound doesn't count, so it is sorted behind.
+    """
+    ends = F.array(F.struct(F.col("upper").alias("at"), F.lit(1).alias("kind"), F.col("place").alias("place")), F.struct(F.col("lower").alias("at"), F.lit(0).alias("kind"), F.col("place").alias("place")))
+    ranged = _ranged(rows.select(F.inline(ends)), [F.col("at"), F.col("kind"), F.col("place")])
+    upper = F.when(F.col("kind") == 1, F.col("place"))
+    lows = ranged.groupBy("__range").agg(F.min(upper).alias("low"))  # a row per range
+    before = F.min("low").over(W.orderBy("__range").rowsBetween(W.unboundedPreceding, -1))
+    inside = F.min(upper).over(W.partitionBy("__range").orderBy("at", "kind", "place").rowsBetween(W.unboundedPreceding, -1))
+    met = ranged.join(F.broadcast(lows.select("__range", before.alias("__before"))), "__range")
+    return met.withColumn("next", F.least("__before", inside)).where("kind = 0").select("place", "next")
 
 
 def tiers(ranked: DataFrame) -> DataFrame:
     """(picture, place, tier): a new tier begins where an upper bound is below the lower bound of the tier's leader.
 
-    Leaders are found one after the other by a filtered aggregate, a job for each tier.
+    Each place knows which would lead after it, if it led; the leaders are the chain that begins with the first place.
+    It is found by pointer jumping: the leaders known so far reach as many more by pointers of twice the length, so
+    n tiers take log n joins.  A place's tier is the number of leaders up to it, counted in sorted ranges.
     """
-    rows, leaders = ranked.select("picture", "place", "lower", "upper").checkpoint(), []
-    rest = rows
-    while (leader := rest.agg(F.min(F.struct("place", "lower")).alias("l")).first().l) is not None:
-        leaders.append(leader.place)
-        rest = rows.where(F.col("upper") < leader.lower)
-    tier = F.size(F.filter(F.array(*map(F.lit, leaders)), lambda place: place <= F.col("place")))
-    return rows.select("picture", "place", tier.alias("tier"))
+    rows = work.kept(ranked.select("picture", "place", "lower", "upper"), "tiers")
+    jump = work.kept(_followers(rows).where("next is not null"), "jumps")
+    leaders = work.kept(rows.where("place = 1").select("place"), "leaders")
+    while True:
+        found = leaders.join(jump, "place").select(F.col("next").alias("place"))
+        grown = work.kept(leaders.union(found).distinct(), "leaders")
+        more = grown.count() > leaders.count()
+        _drop(leaders)
+        leaders = grown
+        if not more:
+            break
+        ahead = jump.select(F.col("place").alias("next"), F.col("next").alias("then"))
+        doubled = work.kept(jump.join(ahead, "next").select("place", F.col("then").alias("next")), "jumps")
+        _drop(jump)
+        jump = doubled
+    first = F.when(F.col("lead").isNotNull(), 1).otherwise(0)
+    flagged = _ranged(rows.join(leaders.withColumn("lead", F.lit(True)), "place", "left").select("picture", "place", first.alias("first")), [F.col("place")])
+    counts = flagged.groupBy("__range").agg(F.sum("first").alias("n"))  # a row per range
+    before = F.coalesce(F.sum("n").over(W.orderBy("__range").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    inside = F.sum("first").over(W.partitionBy("__range").orderBy("place"))
+    met = flagged.join(F.broadcast(counts.select("__range", before.alias("__before"))), "__range")
+    return met.select("picture", "place", (F.col("__before") + inside).cast("int").alias("tier"))
 
 
 def progress(pool: int, votes: int) -> list[tuple[str, int, int]]:
