@@ -82,6 +82,33 @@ def _middle(a: np.ndarray, b: np.ndarray) -> tuple[int, int]:
     raise AssertionError("paths from both ends meet")
 
 
+#: Cells of a table that is filled instead of cutting once more.
+CELLS = 4096
+
+
+def _filled(a: list[str], b: list[str]) -> list[tuple[str, str]]:
+    """A shortest script by the table of common lengths, for few words."""
+    common = [[0] * (len(b) + 1)]
+    for w in reversed(a):
+        below, row = common[-1], [0]
+        for j in range(len(b) - 1, -1, -1):
+            row.append(below[len(b) - 1 - j] + 1 if w == b[j] else max(below[len(b) - j], row[-1]))
+        common.append(row)
+    out, i, j = [], 0, 0
+    left = lambda i, j: common[len(a) - i][len(b) - j]
+    while i < len(a) or j < len(b):
+        if i < len(a) and j < len(b) and a[i] == b[j]:
+            out.append(("same", a[i]))
+            i, j = i + 1, j + 1
+        elif j == len(b) or i < len(a) and left(i + 1, j) >= left(i, j + 1):
+            out.append(("removed", a[i]))
+            i += 1
+        else:
+            out.append(("added", b[j]))
+            j += 1
+    return out
+
+
 def shortest_edit(a: list[str], b: list[str]) -> list[tuple[str, str]]:
     """(kind, word) of a shortest script from one list of words to the other, in memory that grows with their length.
 
@@ -108,6 +135,9 @@ def shortest_edit(a: list[str], b: list[str]) -> list[tuple[str, str]]:
         if i == j or p == q:
             out += [("removed", w) for w in a[i:j]] + [("added", w) for w in b[p:q]]
             continue
+        if (j - i) * (q - p) <= CELLS:
+            out += _filled(a[i:j], b[p:q])
+            continue
         u, v = _middle(x[i:j], y[p:q])
         todo += [(i + u, j, p + v, q, 0), (i, i + u, p, p + v, 0)]
     return out

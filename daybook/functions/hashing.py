@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -19,6 +20,27 @@ def hash64(data: bytes) -> int:
     return h
 
 
+def hash_many(values: list[bytes]) -> np.ndarray:
+    """``hash64`` of many values, a byte of all of them at a time; those that have ended drop out."""
+    order = np.array(sorted(range(len(values)), key=lambda i: -len(values[i])), np.int64)
+    sizes = np.array([len(values[i]) for i in order], np.int64)
+    data = np.frombuffer(b"".join(values[i] for i in order), np.uint8).astype(np.uint64)
+    starts = np.cumsum(sizes) - sizes
+    h = np.full(len(values), FNV_START, np.uint64)
+    for at in range(int(sizes.max(initial=0))):
+        n = int(np.searchsorted(-sizes, -at, side="left"))  # values longer than ``at`` come first
+        h[:n] = (h[:n] ^ data[starts[:n] + at]) * np.uint64(FNV_PRIME)
+    out = np.empty_like(h)
+    out[order] = h
+    return out
+
+
+def word_hashes(salt: int, words: list[str]) -> list[str]:
+    """``word_hash`` of many words."""
+    front = salt.to_bytes(8, "big")
+    return [f"{h:x}" for h in hash_many([front + w.encode() for w in words]).tolist()]
+
+
 def word_hash(salt: int, word: str) -> str:
     return f"{hash64(salt.to_bytes(8, 'big') + word.encode()):x}"
 
@@ -26,6 +48,7 @@ def word_hash(salt: int, word: str) -> str:
 def salted(word: Column, salt: int) -> Column:
     @F.pandas_udf(StringType())
     def run(words: pd.Series) -> pd.Series:
-        return words.map(lambda w: None if w is None else word_hash(salt, w))
+        held = words.dropna()
+        return pd.Series(word_hashes(salt, list(held)), index=held.index, dtype=object).reindex(words.index).where(words.notna(), None)
 
     return run(word)

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from . import ranking
+
 #: What one comparison of equals tells about a score, and the most that a baseline may claim.
 COMPARISON_INFORMATION, MOST_EFFECTIVE = 0.25, 50.0
 BAND = 0.25
@@ -134,17 +136,19 @@ def drawn_pairs(scores: DataFrame, n: int, seed: int, avoid: DataFrame | None =
     """(draw, left, right): pairs of pictures of one band, bands drawn by doubt, of four candidates the one compared least.
 
     Bands number a few hundred at most (scores over a quarter); the draws are rows, and each meets its band's pictures
-    by their random place, so no pool is gathered.
+    by their random place, counted in sorted ranges, so no pool and no band is gathered.
     """
     pool = scores if avoid is None else scores.join(avoid, "picture", "left_anti")
     spark = scores.sparkSession
     from pyspark.sql import Window as W
 
-    placed = pool.withColumn("band", F.floor(F.col("score") / BAND))
-    inside = W.partitionBy("band").orderBy(F.xxhash64("picture", F.lit(seed)), "picture")
-    placed = placed.select("picture", "comparisons", "band", (F.row_number().over(inside) - 1).alias("place"))
+    placed = pool.select("picture", "comparisons", F.floor(F.col("score") / BAND).alias("band"))
+    placed = ranking.numbered(placed, [F.col("band"), F.xxhash64("picture", F.lit(seed)), F.col("picture")], "_at")
     line = W.orderBy("band")
-    known = bands(pool).where("pictures > 1").withColumns({"upto": F.sum("doubt").over(line), "whole": F.sum("doubt").over(W.partitionBy())})
+    every = bands(pool)
+    starts = every.select("band", (F.sum("pictures").over(line) - F.col("pictures")).alias("_start"))
+    placed = placed.join(F.broadcast(starts), "band").select("picture", "comparisons", "band", (F.col("_at") - 1 - F.col("_start")).alias("place"))
+    known = every.where("pictures > 1").withColumns({"upto": F.sum("doubt").over(line), "whole": F.sum("doubt").over(W.partitionBy())})
     chance = lambda k: F.pmod(F.xxhash64("draw", F.lit(seed), F.lit(k)), F.lit(1 << 53)) / float(1 << 53)
     draws = spark.range(n).withColumnRenamed("id", "draw").withColumn("_u", chance(0))
     chosen = draws.join(F.broadcast(known), F.col("_u") * F.col("whole") < F.col("upto"))

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions import exchange, planets
-from ..operators import browse, catalogue, checks, reuse, search, voting
-from ..sources import space, work
+from ..functions import exchange, mac, planets
+from ..operators import browse, catalogue, checks, puzzles, ranking, reads, reuse, search, voting
+from ..sources import feed_source, space, work
 from ..sources.tables import entries, read, votes
+from ..streaming import budgets
 from .registry import _BAG, _ENTRIES, _LINKS, _P, _VOTES, WEIGHTS, W04_words, W05_resources, X22_page_links, query, stored_index
 
 # -- words and links ----------------------------------------------------------------------------------------------
@@ -401,3 +402,110 @@ def K10_shower_peaks(spark, sf_dir):
 @query()
 def K11_timeline(spark, sf_dir):
     return planets.timeline(spark, "2026-08-10 00:00:00")
+
+
+# -- budgets, feeds, read sets, keys, differences, deals ------------------------------------------------------------
+
+#: Votes in a day, small enough for the supplied votes to use it up.
+_DAY, _A_DAY = 86_400, 3
+
+
+@query(
+    _VOTES.replace("with ", "with recursive ", 1) + f""", v as (select vote_id, voter::varchar as key, epoch_us(voted_at) as us, row_number() over (partition by voter order by voted_at, vote_id) as k from votes),
+    w as (select vote_id, key, us, k, [us] as acc, [us] as mine, false as refused from v where k = 1
+        union all select vote_id, key, us, k, case when len(f) >= {_A_DAY} then f else list_append(f, us) end, list_append(g, us), len(f) >= {_A_DAY}
+        from (select v.*, list_filter(w.acc, lambda t: t >= v.us - {_DAY} * 1000000::bigint) as f, list_filter(w.mine, lambda t: t >= v.us - {_DAY} * 1000000::bigint) as g from w join v on v.key = w.key and v.k = w.k + 1))
+    select vote_id, key, len(mine) as asked, len(acc) as used, refused from w"""
+)
+def T07_refused_votes(spark, sf_dir):
+    """Votes that a daily budget refuses; refused ones use nothing up, so each verdict depends on those before."""
+    return budgets.budgets(votes(spark, sf_dir, groups=None), "voter", _A_DAY, _DAY).drop("voted_at")
+
+
+@query("select distinct (epoch_us(ts) // 21600000000)::bigint as poll, event_id, value from events")
+def S12_feed_items(spark, sf_dir):
+    """Events polled every six hours, each body repeating the two before; every event comes once, with the poll that told it first."""
+    e = read(spark, sf_dir, "events").select("event_id", "value", F.expr("unix_micros(cast(ts as timestamp)) div 21600000000").alias("first"))
+    said = e.select("event_id", "value", F.explode(F.sequence("first", F.col("first") + 2)).alias("poll"))
+    folder = work.fresh(spark, "feed")
+    feed_source.polled(said, "poll", folder)
+    spark.dataSource.register(feed_source.FeedSource)
+    items = spark.read.format(feed_source.NAME).load(folder).select("poll", F.from_json("item", "event_id long, value double").alias("x"))
+    return items.select("poll", "x.event_id", "x.value")
+
+
+_READS = "with reads as (select distinct user_id as reader, event_id // 10 as date_id from events where event_type = 'view') "
+
+
+def _reads(spark, sf_dir):
+    return read(spark, sf_dir, "events").where("event_type = 'view'").select(F.col("user_id").alias("reader"), F.expr("event_id div 10").alias("date_id"))
+
+
+@query(_READS + "select doc_id as date_id from documents where doc_id not in (select date_id from reads where reader = 7)")
+def P17_unread(spark, sf_dir):
+    sets = reads.read_sets(_reads(spark, sf_dir))
+    return reads.unread(entries(spark, sf_dir).select("date_id"), sets, 7)
+
+
+@query(_READS + "select reader, count(*) filter (where date_id <= 500) as n from reads group by reader")
+def P17_read_before(spark, sf_dir):
+    """How many of the first entries each reader has read, from bitmaps of two halves of the log put together."""
+    r = _reads(spark, sf_dir)
+    return reads.read_before(reads.merged(reads.read_sets(r.where("date_id % 3 < 2")), reads.read_sets(r.where("date_id % 3 > 0"))), 500)
+
+
+_SECRET = b"a key for the archive"
+_PADS = [p.hex() for p in mac.pads(_SECRET)]
+
+
+@query(
+    f"""with a as (select event_id, unhex(printf('%02x%02x%02x00', 10, user_id % 256, event_id % 7)) as network, case event_type when 'view' then 'firefox' when 'click' then 'edge' when 'error' then 'none' else 'other' end as class from events),
+    i as (select event_id, sha256(unhex('{_PADS[0]}') || network || '|'::blob || class::blob) as h from a)
+    select event_id, substr(sha256(unhex('{_PADS[1]}') || unhex(h)), 1, 16) as cohort from i"""
+)
+def X31_cohorts(spark, sf_dir):
+    e = read(spark, sf_dir, "events")
+    address = F.concat_ws(".", F.lit("10"), F.col("user_id") % 256, F.col("event_id") % 7, F.col("event_id") % 250)
+    agent = F.when(F.col("event_type") == "view", "Mozilla/5.0 Firefox/1").when(F.col("event_type") == "click", "Chrome Edg/2").when(F.col("event_type") != "error", F.col("event_type"))
+    return e.select("event_id", F.lower(F.hex(mac.cohort(_SECRET, address, agent))).alias("cohort"))
+
+
+@query()
+def X31_ballots(spark, sf_dir):
+    """Votes as signed ballots, opened again; one in three is opened with another key and gives nothing."""
+    v = votes(spark, sf_dir, groups=None).where("left < 2147483648 and right < 2147483648")
+    issued, voter = F.unix_millis(F.col("voted_at").cast("timestamp")), F.unhex(F.md5(F.col("voter").cast("string")))
+    body = mac.ballot_body(F.lit("beautiful"), F.col("left"), F.col("right"), F.when(F.col("vote_id") % 2 == 0, voter), F.col("outcome") == "tie", issued, F.xxhash64("vote_id"))
+    signed = v.select("vote_id", F.when(F.col("vote_id") % 3 == 0, mac.signed(b"another", body)).otherwise(mac.signed(_SECRET, body)).alias("token"))
+    return signed.select("vote_id", mac.opened(_SECRET, F.col("token")).alias("b")).select("vote_id", "b.category", "b.left", "b.right", "b.probe", "b.issued_ms", "b.nonce")
+
+
+@query(
+    r"""with t as (select conv_id * 1000 + turn as date_id, role, text from conversations), n as (select date_id, role, text, lag(role) over w as o_role, lag(text) over w as o_text, lag(date_id) over w as o from t window w as (order by date_id)),
+    p as (select date_id, unnest(['role', 'text']) as field, unnest([o_role, o_text]) as old, unnest([role, text]) as new from n where o = date_id - 1)
+    select date_id, field, len(regexp_extract_all(coalesce(old, ''), '\S+')) as old_words, len(regexp_extract_all(coalesce(new, ''), '\S+')) as new_words from p where old is distinct from new"""
+)
+def Z27_changed_fields(spark, sf_dir):
+    """Fields that differ from one turn to the next; what stays and goes is the old text, what stays and comes the new one."""
+    turns = read(spark, sf_dir, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("date_id"), "role", "text")
+    found = exchange.changed_fields(turns.withColumn("date_id", F.col("date_id") + 1), turns, ("role", "text"))
+    n = lambda kind: exchange.count_words(F.col("diff"), kind)
+    return found.select("date_id", "field", (n("same") + n("removed")).cast("long").alias("old_words"), (n("same") + n("added")).cast("long").alias("new_words"))
+
+
+@query()
+def G05_order_chain(spark, sf_dir):
+    """(round, a, b): the pairs of a day's order game over all entries with a picture."""
+    pool = entries(spark, sf_dir).where("kind = 'image'").select("date_id")
+    dates = puzzles.chain(pool, puzzles.Deal.daily("order", 9000))
+    rows = [(i, a, b) for i, (a, b) in enumerate(zip(dates, dates[1:]), 1)]
+    return spark.createDataFrame(rows, "round int, a long, b long")
+
+
+@query()
+def R01_anchored_fit(spark, sf_dir):
+    """The fit with a tenth of the pictures anchored to a baseline."""
+    v = votes(spark, sf_dir, groups=None)
+    pictures = v.select(F.explode(F.array("left", "right")).alias("picture")).distinct().where("picture % 10 = 0")
+    baseline = pictures.select("picture", (F.pmod(F.xxhash64("picture"), F.lit(400)) / 100.0 - 2).alias("score"), F.lit(20.0).alias("ess"))
+    return ranking.fit(v, anchors=voting.anchors(baseline)).select("picture", F.round("score", 9).alias("score"), F.round("stderr", 9).alias("stderr"), "comparisons")

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 # First words of a message and the notice they mean; letters of the scales.
@@ -143,6 +142,6 @@ def sky_notices(events: DataFrame, now: Column, topic: str, leads: dict[str, int
 
 def entry_notice(entries: DataFrame, published: Column, now: Column, topic: str, max_age_hours: int = 36) -> DataFrame:
     """(topic, key, title) of the newest entry, unless it is too old."""
-    last = entries.withColumn("_n", F.row_number().over(W.orderBy(F.desc("date_id")))).where("_n = 1")
+    last = entries.orderBy(F.desc("date_id")).limit(1)
     fresh = last.where(F.unix_seconds(now) - F.unix_seconds(published) <= max_age_hours * 3600)
     return fresh.select(F.lit(topic).alias("topic"), F.concat(F.lit("entry:"), F.col("date").cast("string")).alias("key"), "title")
