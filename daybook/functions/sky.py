@@ -70,6 +70,11 @@ _SYZYGY = (
 )
 
 
+def lunation_near(jd: Column) -> Column:
+    """The number of the lunation nearest to an instant, counted from the first new moon of 2000."""
+    return F.round(lunation(2000 + centuries(jd) * 100))
+
+
 def syzygy(k: Column) -> Column:
     """Julian ephemeris date of new moon (whole ``k``) or full moon (``k`` and a half)."""
     t = k / 1236.85

@@ -9,7 +9,7 @@ from ..operators import browse, catalogue, checks, puzzles, ranking, reads, reus
 from ..sources import feed_source, space, work
 from ..sources.tables import entries, read, votes
 from ..streaming import budgets
-from .registry import _BAG, _ENTRIES, _LINKS, _P, _VOTES, WEIGHTS, W04_words, W05_resources, X22_page_links, query, stored_index
+from .registry import _BAG, _ENTRIES, _LINKS, _P, _VOTES, WEIGHTS, W04_words, W05_resources, X22_page_links, archive_years, query, stored_index
 
 # -- words and links ----------------------------------------------------------------------------------------------
 
@@ -387,21 +387,25 @@ def K08_planets(spark, sf_dir):
     return planets.planets(entries(spark, sf_dir).select(F.col("date").cast("timestamp").alias("at")).distinct())
 
 
+def _new_years(spark, sf_dir):
+    return archive_years(spark, sf_dir).select(F.make_timestamp("year", F.lit(1), F.lit(1), F.lit(0), F.lit(0), F.lit(0)).alias("at"))
+
+
 @query()
 def K09_milestones(spark, sf_dir):
-    years = spark.range(2000, 2040).select(F.make_timestamp("id", F.lit(1), F.lit(1), F.lit(0), F.lit(0), F.lit(0)).alias("at"))
-    return planets.milestones(years)
+    return planets.milestones(_new_years(spark, sf_dir))
 
 
 @query()
 def K10_shower_peaks(spark, sf_dir):
-    years = spark.range(1995, 2045).select(F.make_timestamp("id", F.lit(1), F.lit(1), F.lit(0), F.lit(0), F.lit(0)).alias("at"))
-    return planets.shower_peaks(years)
+    return planets.shower_peaks(_new_years(spark, sf_dir))
 
 
 @query()
 def K11_timeline(spark, sf_dir):
-    return planets.timeline(spark, "2026-08-10 00:00:00")
+    """What the sky holds from the last event on."""
+    now = read(spark, sf_dir, "events").agg(F.date_format(F.max("ts"), "yyyy-MM-dd HH:mm:ss")).first()[0]
+    return planets.timeline(spark, now)
 
 
 # -- budgets, feeds, read sets, keys, differences, deals ------------------------------------------------------------

@@ -486,29 +486,40 @@ def G03_cloze(spark, sf_dir):
     return puzzles.cloze(entries(spark, sf_dir), given, 7)
 
 
-@query("select id, id * 6 * 3600 / 86400.0 + 2461041.5 as jd from range(400) t(id)")
+@query("select event_id, round(epoch_us(ts) / 1000000 / 86400 + 2440587.5, 6) as jd from events")
 def K01_julian_dates(spark, sf_dir):
-    at = F.timestamp_seconds(F.lit(1767225600) + F.col("id") * 6 * 3600)
-    return spark.range(400).select("id", sky.julian_date(at).alias("jd"))
+    return read(spark, sf_dir, "events").select("event_id", F.round(sky.julian_date(F.col("ts")), 6).alias("jd"))
+
+
+@query(_ENTRIES + "select date_id, round((2000 + (epoch_us(date::timestamp) / 1000000 / 86400 + 2440587.5 - 2451545.0) / 36525 * 100 - 2000) * 12.3685) as k from entries")
+def Z18_lunations(spark, sf_dir):
+    """The lunation nearest to each entry."""
+    return entries(spark, sf_dir).select("date_id", sky.lunation_near(sky.julian_date(F.col("date"))).alias("k"))
+
+
+def _quarters(spark, sf_dir):
+    """(k) the new and the full moons of the lunations that have entries."""
+    return Z18_lunations(spark, sf_dir).select("k").distinct().select(F.explode(F.array(F.col("k"), F.col("k") + 0.5)).alias("k"))
 
 
 @query()
 def K05_syzygies(spark, sf_dir):
-    k = (F.col("id") / 2).alias("k")
-    return spark.range(-600, 1400).select(k).select("k", sky.syzygy_instant(F.col("k")).alias("at"))
+    return _quarters(spark, sf_dir).select("k", sky.syzygy_instant(F.col("k")).alias("at"))
+
+
+def archive_years(spark, sf_dir):
+    return entries(spark, sf_dir).select(F.year("date").alias("year")).distinct()
 
 
 @query()
 def K02_turnings(spark, sf_dir):
-    years = spark.range(1900, 2100).withColumnRenamed("id", "year")
     at = F.posexplode(F.array(*[sky.turning_instant(F.col("year"), q) for q in range(4)])).alias("quarter", "at")
-    return years.select("year", at)
+    return archive_years(spark, sf_dir).select("year", at)
 
 
 @query()
 def K07_eclipses(spark, sf_dir):
-    k = spark.range(-600, 1400).select((F.col("id") / 2).alias("k"))
-    return sky.eclipses(k)
+    return sky.eclipses(_quarters(spark, sf_dir))
 
 
 @query()
