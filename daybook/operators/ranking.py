@@ -18,6 +18,8 @@ STEPS, TOLERANCE = 500, 1e-11
 FORCING, FINEST = 0.01, 1e-7
 #: Passes without a lower rest, after which rounding must be what is left.
 IDLE = 6
+#: Passes between two that write a file.
+SIZED = 5
 #: What one even comparison tells about a score.
 INFORMATION = 0.25
 FUNNEL = (10, 100, 600)
@@ -66,19 +68,19 @@ def fit(votes: DataFrame, sigma: float = SIGMA, anchors: DataFrame | None = None
             break
         loss = bias["loss"] + (sums["norm"] + side_prior * side * side) / 2
         if loss > least + 1e-9 * abs(least):  # too far: half the way back
-            at, side = _Held.of(state.rows.select(*_PICTURE[:-2], ((F.col("theta") + F.col("was")) / 2).alias("theta"), "was"), None, at), (side + side_was) / 2
+            at, side = _Held.of(state.rows.select(*_PICTURE[:-2], ((F.col("theta") + F.col("was")) / 2).alias("theta"), "was"), "picture", at, sized=True), (side + side_was) / 2
             continue
         least = loss
         x, d, r, rz = 0.0, slope / info, slope, sums["rz"] + slope * slope / info
-        goal = rz * min(FORCING, 1.0 if gradient is None else max(0.8 * (rz / gradient) ** 2, FINEST))
+        goal = max(rz * min(FORCING, 1.0 if gradient is None else max(0.8 * (rz / gradient) ** 2, FINEST)), (TOLERANCE / 3) ** 2)
         gradient = rz
         alpha, beta, lowest, idle = 0.0, 0.0, rz, 0
-        for _ in range(STEPS):
+        for turn in range(1, STEPS + 1):
             turned, told = _observed(
                 _turn(links.rows, state.rows, alpha, beta, d), dhd=F.sum(F.col("d") * F.col("hd")), rhd=F.sum(F.col("r") * F.col("hd") / _info()),
                 hdhd=F.sum(F.col("hd") * F.col("hd") / _info()), q=F.sum(F.col("t") * F.col("d")),
             )
-            state = _Held.of(turned, None, state)
+            state = _Held.of(turned, None, state) if turn % SIZED else _Held.of(turned, "picture", state, sized=True)
             told = told.get
             hd = told["q"] + (bias["c"] + side_prior) * d
             dhd = told["dhd"] + d * hd
@@ -94,7 +96,7 @@ def fit(votes: DataFrame, sigma: float = SIGMA, anchors: DataFrame | None = None
             if rz <= goal or idle >= IDLE:
                 break
         moved = F.col("theta") + F.col("x") + F.lit(alpha) * F.col("d")
-        at = _Held.of(state.rows.select(*_PICTURE[:-2], moved.alias("theta"), F.col("theta").alias("was")), None, at)
+        at = _Held.of(state.rows.select(*_PICTURE[:-2], moved.alias("theta"), F.col("theta").alias("was")), "picture", at, sized=True)
         side, side_was = side + x, side
     scores = work.kept(state.rows.select("picture", "comparisons", "theta", "mean", "prec", "info"), "ranking")
     if base == 0:
@@ -121,12 +123,20 @@ class _Held:
         self.rows = rows
 
     @classmethod
-    def of(cls, rows: DataFrame, key: str | None, old: _Held | None = None) -> _Held:
-        """Rows dealt by ``key``, or as they are; ``old`` is dropped afterwards, so rows may come from it."""
+    def of(cls, rows: DataFrame, key: str | None, old: _Held | None = None, sized: bool = False) -> _Held:
+        """Rows dealt by ``key``, or as they are; ``old`` is dropped afterwards, so rows may come from it.
+
+        A checkpoint hands on the size that the optimiser estimates, which multiplies with every join until numbers of
+        that many digits are slow themselves; ``sized`` rows are written as a file first, whose size is known.
+        """
         spark = rows.sparkSession
+        rows = work.kept(rows, "sized") if sized else rows
         if not spark.sparkContext.getCheckpointDir():
             spark.sparkContext.setCheckpointDir(work.shared_dir(spark))
+        files = rows if sized else None
         held = cls((rows if key is None else rows.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), key)).checkpoint())
+        if files is not None:
+            _drop(files)
         if old is not None:
             old.drop()
         return held
