@@ -219,12 +219,16 @@ def highlight(text: Column, query: str, before: str = "<mark>", after: str = "</
 
 
 def snippet(text: str, phrases: list[Phrase], n: int, before: str, after: str, cut: str = "…") -> str | None:
-    """The best window of a text, with ``cut`` where it goes on; None without tokens."""
+    """The best window of a text around the phrases it holds, with ``cut`` where it goes on; None without tokens."""
     tokens, at = spans(text)
     if not at:
         return None
     found = matches(tokens, phrases)
     begin = best_window(len(at), found, n)
+    shown = [m for m in found if begin <= m[0] and m[1] <= begin + n]
+    if shown:  # what it holds in the middle
+        first, last = shown[0][0], max(m[1] for m in shown)
+        begin = max(0, min(first - (n - (last - first)) // 2, len(at) - n))
     end = min(begin + n, len(at))
     whole = [m for m in found if begin <= m[0] and m[1] <= end] or found
     return (cut if begin else "") + marked(text, at, whole, begin, end, before, after) + (cut if end < len(at) else "")
