@@ -63,12 +63,12 @@ def folded(text: str) -> str:
 
 
 #: The index token for Python's own patterns: word characters but the underscore; folded texts hold no marks.
-_PYTHON_TOKEN = re.compile(r"[^\W_]+")
+PLAIN_TOKEN = re.compile(r"[^\W_]+")
 
 
 def index_tokens(text: str) -> list[str]:
     """``tokens`` for a Python string."""
-    return [t.lower() for t in _PYTHON_TOKEN.findall(text if text.isascii() else folded(text))]
+    return [t.lower() for t in PLAIN_TOKEN.findall(text if text.isascii() else folded(text))]
 
 
 def tokens(text: Column) -> Column:

@@ -20,6 +20,7 @@ import uuid
 from dataclasses import dataclass, replace
 from functools import reduce
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -40,34 +41,48 @@ MOST_SEGMENTS = 8
 def _postings(names: list[str]):
     def run(batches):
         for batch in batches:
-            out: tuple[list, ...] = ([], [], [], [], [], [])
+            token, key, place, n, length = [], [], [], [], []
+            positions: list[int] = []
             texts = [batch.column(c).to_pylist() for c in names]
-            for i, key in enumerate(batch.column("date_id").to_pylist()):
+            for i, date_id in enumerate(batch.column("date_id").to_pylist()):
                 found = [index_tokens(t[i] or "") for t in texts]
-                length = sum(map(len, found))
-                rows = [("", -1, 0, [])]
-                for place, tokens in enumerate(found):
+                before = len(token)
+                token.append("")
+                place.append(-1)
+                n.append(0)
+                for c, tokens in enumerate(found):
                     at: dict[str, list[int]] = {}
-                    for k, token in enumerate(tokens):
-                        at.setdefault(token, []).append(k)
-                    rows += [(token, place, len(p), p) for token, p in at.items()]
-                for token, place, n, positions in rows:
-                    for column, value in zip(out, (token, key, place, n, positions, length), strict=True):
-                        column.append(value)
-            kinds = (pa.string(), pa.int64(), pa.int32(), pa.int32(), pa.list_(pa.int32()), pa.int32())
-            yield pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(out, kinds, strict=True)], ["token", "date_id", "place", "n", "positions", "length"])
+                    for k, t in enumerate(tokens):
+                        if t in at:
+                            at[t].append(k)
+                        else:
+                            at[t] = [k]
+                    token += at
+                    place += [c] * len(at)
+                    for p in at.values():
+                        n.append(len(p))
+                        positions += p
+                rows = len(token) - before
+                key += [date_id] * rows
+                length += [sum(map(len, found))] * rows
+            counts = pa.array(n, pa.int32())
+            offsets = pa.array(np.concatenate(([0], np.cumsum(counts.to_numpy(), dtype=np.int64))), pa.int32())
+            lists = pa.ListArray.from_arrays(offsets, pa.array(positions, pa.int32()))
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(token, pa.string()), pa.array(key, pa.int64()), pa.array(place, pa.int32()), counts, lists, pa.array(length, pa.int32())], ["token", "date_id", "place", "n", "positions", "length"]
+            )
 
     return run
 
 
-def bucket_of(token: Column) -> Column:
-    return F.pmod(F.xxhash64(F.substring(token, 1, 2)), F.lit(BUCKETS)).cast("int")
-
-
 def _back(k: int):
     return lambda position: position - k
 
 
+def bucket_of(token: Column) -> Column:
+    return F.pmod(F.xxhash64(F.substring(token, 1, 2)), F.lit(BUCKETS)).cast("int")
+
+
 def _write(postings: DataFrame, path: str, splits: int) -> None:
     slot = F.pmod(F.xxhash64("date_id"), F.lit(splits))
     dealt = postings.withColumn("bucket", bucket_of(F.col("token"))).withColumn("slot", slot).repartition(max(8, min(BUCKETS * splits, 20_000)), "bucket", "slot")

@@ -13,7 +13,7 @@ import regex
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.text import UNMARKED, index_tokens, tokens
+from ..functions.text import PLAIN_TOKEN, UNMARKED, index_tokens, tokens
 
 MAX_TERMS, MAX_PREFIXES = 24, 4
 K1, B = 1.2, 0.75
@@ -133,6 +133,9 @@ def search(entries: DataFrame, query: str, weights: dict[str, float]) -> DataFra
 def spans(text: str) -> tuple[list[str], list[tuple[int, int]]]:
     """Index tokens of a text and where each stands in it, marks included."""
     plain = text if text.isascii() else text.translate(UNMARKED)
+    if text.isascii() or not _MARKS.search(plain):
+        found = list(PLAIN_TOKEN.finditer(plain))
+        return [m[0].lower() for m in found], [m.span() for m in found]
     found = list(_SPAN.finditer(plain))
     return [_MARKS.sub("", m[0]).lower() for m in found], [m.span() for m in found]
 
