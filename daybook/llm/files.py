@@ -48,5 +48,9 @@ def write_all(uri: str, data: bytes) -> None:
 
 
 def remove(uri: str) -> None:
+    """Delete a file; one that is gone already, as a retried task finds it, is no error."""
     system, path = located(uri)
-    system.delete_file(path)
+    try:
+        system.delete_file(path)
+    except FileNotFoundError:
+        pass

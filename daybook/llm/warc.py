@@ -6,8 +6,9 @@ member of its own and writes the index ``<archive>.idx`` (a JSON line per record
 that ends early, or whose checksum is wrong, is an error.  ``read_archives`` seeks to each member by the index.
 
 Of records with equal payloads of ``min_revisit_bytes`` or more, the one with the largest page id is a response
-and the others revisit it; no payload is stored for a revisit.  Payloads that are smaller, or stand alone, aren't
-shuffled by digest unless they share a task with those that are; digests of very many pages are broadcast.
+and the others revisit it; no payload is stored for a revisit.  Payloads that are smaller aren't shuffled by
+digest; larger ones are, once the list of repeated digests is too long to be broadcast.  Digests of very many pages
+are broadcast in any case.
 
 Record ids are made of the archive's name and the record's place in it, so they are unique whatever the page ids; the
 page's id and that of the page it refers to are fields of their own (``X-Page-ID``, ``X-Refers-To-Page``).

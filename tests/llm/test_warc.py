@@ -75,3 +75,12 @@ def test_required_fields_and_unique_ids(pages, tmp_path):
 
 def test_empty_table(spark):
     assert warc.round_trip(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
+
+
+def test_removing_twice_is_no_error(tmp_path):
+    """A task that runs again finds its file gone."""
+    uri = f"file://{tmp_path}/x"
+    files.write_all(uri, b"1")
+    files.remove(uri)
+    files.remove(uri)
+    assert not (tmp_path / "x").exists()
