@@ -38,9 +38,10 @@ def near_pairs(prints: DataFrame, radius: int = RADIUS) -> DataFrame:
     kept = [_signed(sum(masks[i] & (1 << 64) - 1 for i in choice)) for choice in choices]
     # for every set of blocks that differ, the first choice without any of them
     first = [next((n for n, c in enumerate(choices) if not any(differ >> i & 1 for i in c)), -1) for differ in range(1 << blocks)]
+    # the optimiser takes the filed rows to be as few as the prints and would send them all through the driver
     filed = detailed.select("print", F.posexplode(F.array(*[F.lit(m).cast("long") for m in kept])).alias("choice", "mask"))
     filed = filed.select("print", "choice", F.col("print").bitwiseAND(F.col("mask")).alias("key"))
-    both = filed.withColumnRenamed("print", "a").join(filed.withColumnRenamed("print", "b"), ["choice", "key"])
+    both = filed.withColumnRenamed("print", "a").hint("merge").join(filed.withColumnRenamed("print", "b"), ["choice", "key"])
     near = both.withColumn("differ", F.col("a").bitwiseXOR(F.col("b"))).where((F.col("a") < F.col("b")) & (F.bit_count("differ") <= radius))
     changed = sum((F.when(F.col("differ").bitwiseAND(F.lit(m).cast("long")) != 0, 1 << i).otherwise(0) for i, m in enumerate(masks)), F.lit(0))
     own = F.get(F.lit(first), changed)

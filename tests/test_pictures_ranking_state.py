@@ -40,6 +40,12 @@ def test_near_pairs_and_groups_equal_brute_force(spark):
     assert roots == label
 
 
+def test_near_pairs_send_nothing_through_the_driver(spark):
+    rows = spark.createDataFrame([(i, i * 0x9E3779B97F4A7C1 % (1 << 62)) for i in range(20)], "id long, print long")
+    plan = pictures.near_pairs(rows)._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
+
+
 def test_long_chain_is_one_group(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(40)], "a long, b long")
     assert {x.root for x in pictures.groups(edges).collect()} == {0}
