@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions.batches import of_pandas
 from ..functions.hashing import MASK, hash64, word_hashes
 from ..sources import work
 from . import ranking
@@ -43,9 +44,9 @@ def cloze(texts: DataFrame, given: frozenset[str], salt: int) -> DataFrame:
         return out + ([{"shown": raw[at:], "hash": None, "length": None}] if raw and at < len(raw) else [])
 
     def run(frames):
-        for frame in frames:
+        for frame in (f[at:to] for f in frames for at, to in of_pandas((f["text"],))):
             cuts = [cut(t) for t in frame["text"]]
-            words = list({w for c in cuts for _, _, w in c})  # hashed once a batch
+            words = list({w for c in cuts for _, _, w in c})  # hashed once a portion
             hashes = dict(zip(words, word_hashes(salt, words), strict=True))
             yield pd.DataFrame({
                 "date_id": frame["date_id"], "hidden": [len(c) for c in cuts], "distinct_hidden": [len({hashes[w] for _, _, w in c}) for c in cuts],
