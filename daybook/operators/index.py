@@ -25,6 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.batches import of_arrow
 from ..functions.text import index_tokens
 from ..sources import work
 from . import search as S
@@ -40,7 +41,7 @@ MOST_SEGMENTS = 8
 
 def _postings(names: list[str]):
     def run(batches):
-        for batch in batches:
+        for batch in (p for b in batches for p in of_arrow(b, names)):
             token, key, place, n, length = [], [], [], [], []
             positions: list[int] = []
             texts = [batch.column(c).to_pylist() for c in names]

@@ -5,7 +5,7 @@ import pandas as pd
 import pyarrow as pa
 
 from daybook.functions import batches
-from daybook.operators import puzzles
+from daybook.operators import index, puzzles
 
 
 def test_portions_cover_all_rows_in_order():
@@ -31,3 +31,10 @@ def test_cloze_hands_on_portions(spark):
     out = list(run(iter([frame])))
     assert [len(x) for x in out] == [250, 250, 100]
     assert [i for x in out for i in x["date_id"]] == list(range(600)) and {n for x in out for n in x["hidden"]} == {0, 2}
+
+
+def test_index_hands_on_portions():
+    rows = pa.RecordBatch.from_pydict({"date_id": list(range(600)), "title": ["an open cluster", None, ""] * 200})
+    out = list(index._postings(["title"])(iter([rows])))
+    assert len(out) == 3 and max(len(set(x.column("date_id").to_pylist())) for x in out) == 250
+    assert sum(x.num_rows for x in out) == 600 + 3 * 200
