@@ -10,6 +10,7 @@ from __future__ import annotations
 import codecs
 import html as entities
 import re
+from collections.abc import Iterator
 from html.parser import HTMLParser
 from itertools import takewhile
 from urllib.parse import urljoin
@@ -19,6 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
+from ..functions.batches import of_pandas
 from ..functions.text import escape_html
 
 # Kinds of tags, labels, phrases at which a text stops, and limits.
@@ -214,9 +216,11 @@ def flatten(markup: Column, url: Column) -> Column:
     names = ["text", "page_title", "tokens", "ranges", "media", "hrefs", "keywords", "tweet"]
 
     @F.pandas_udf(FLAT)
-    def run(markups: pd.Series, urls: pd.Series) -> pd.DataFrame:
-        pages = [{} if m is None else _Walk(u or "").page(m) for m, u in zip(markups, urls, strict=True)]
-        return pd.DataFrame([[p.get(n) for n in names] for p in pages], columns=names)
+    def run(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
+        for markups, urls in batches:
+            for at, to in of_pandas((markups,)):
+                pages = [{} if m is None else _Walk(u or "").page(m) for m, u in zip(markups[at:to], urls[at:to], strict=True)]
+                yield pd.DataFrame([[p.get(n) for n in names] for p in pages], columns=names)
 
     return run(markup, url)
 

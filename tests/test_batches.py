@@ -6,6 +6,7 @@ import pyarrow as pa
 
 from daybook.functions import batches
 from daybook.operators import index, puzzles
+from daybook.sources import pages
 
 
 def test_portions_cover_all_rows_in_order():
@@ -38,3 +39,10 @@ def test_index_hands_on_portions():
     out = list(index._postings(["title"])(iter([rows])))
     assert len(out) == 3 and max(len(set(x.column("date_id").to_pylist())) for x in out) == 250
     assert sum(x.num_rows for x in out) == 600 + 3 * 200
+
+
+def test_pages_are_walked_in_portions(monkeypatch):
+    monkeypatch.setattr(pages.F, "pandas_udf", lambda schema: lambda run: lambda *columns: run)
+    run = pages.flatten(None, None)
+    out = list(run(iter([(pd.Series(["<title>a</title>", None] * 300), pd.Series(["https://x.org/", None] * 300))])))
+    assert [len(x) for x in out] == [250, 250, 100] and [t for x in out for t in x["page_title"]] == ["a", None] * 300
