@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, LongType, StringType, StructField, StructType
 
+from .batches import of_pandas
 from .text import WORD
 
 # -- tokens -------------------------------------------------------------------------------------------------------
@@ -167,8 +170,10 @@ def word_diff(old: str | None, new: str | None) -> list[dict]:
 
 
 @F.pandas_udf(DIFF)
-def diff_words(old: pd.Series, new: pd.Series) -> pd.Series:
-    return pd.Series([word_diff(a, b) for a, b in zip(old, new, strict=True)])
+def diff_words(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+    for old, new in batches:
+        for at, to in of_pandas((old, new)):
+            yield pd.Series([word_diff(a, b) for a, b in zip(old[at:to], new[at:to], strict=True)])
 
 
 def changed_fields(old: DataFrame, new: DataFrame, fields: tuple[str, ...], key: str = "date_id") -> DataFrame:

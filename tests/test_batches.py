@@ -4,7 +4,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 
-from daybook.functions import batches
+from daybook.functions import batches, exchange
 from daybook.operators import index, puzzles
 from daybook.sources import pages
 
@@ -46,3 +46,10 @@ def test_pages_are_walked_in_portions(monkeypatch):
     run = pages.flatten(None, None)
     out = list(run(iter([(pd.Series(["<title>a</title>", None] * 300), pd.Series(["https://x.org/", None] * 300))])))
     assert [len(x) for x in out] == [250, 250, 100] and [t for x in out for t in x["page_title"]] == ["a", None] * 300
+
+
+def test_differences_are_handed_on_in_portions():
+    old, new = pd.Series(["a b c", None] * 300), pd.Series(["a c", "x"] * 300)
+    out = list(exchange.diff_words.func(iter([(old, new)])))
+    assert [len(x) for x in out] == [250, 250, 100]
+    assert list(out[1])[:2] == [exchange.word_diff("a b c", "a c"), exchange.word_diff(None, "x")]
