@@ -1,7 +1,8 @@
-"""What readers have read, as bitmaps: a row per reader and bucket of dates, whatever the number of entries read.
+"""What readers have read, as bitmaps: a row per reader and 64 ids in a row of which some were read.
 
-A bitmap covers 32,768 ids; increments are combined with ``or``, so reads may come twice and in any order.  Filters and
-prefix counts look a bit up, or count the bits of a piece, without listing what was read.
+A bitmap is a long, so a reader with few reads has few and narrow rows, and sums of them stay in fixed space; increments
+are combined with ``or``, so reads may come twice and in any order.  Filters and prefix counts look a bit up, or count
+the bits of a piece, without listing what was read.
 """
 
 from __future__ import annotations
@@ -9,15 +10,23 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Ids in a bitmap, as the bitmap functions deal them: bucket b holds ids from (b - 1) * 32768 + 1.
-SPAN = 32768
+#: Ids in a bitmap: bucket b holds ids from b * 64.
+SPAN = 64
+
+
+def _bucket(date_id: Column) -> Column:
+    return F.shiftright(date_id.cast("long"), 6)
+
+
+def _bit(date_id: Column) -> Column:
+    return F.pmod(date_id, F.lit(SPAN)).cast("int")
 
 
 def read_sets(reads: DataFrame) -> DataFrame:
-    """(reader, bucket, bitmap) of reads (reader, date_id); ids are positive, from ``placed``."""
+    """(reader, bucket, bitmap) of reads (reader, date_id)."""
     at = F.col("date_id")
-    rows = reads.select("reader", F.bitmap_bucket_number(at).alias("bucket"), F.bitmap_bit_position(at).alias("bit"))
-    return rows.groupBy("reader", "bucket").agg(F.bitmap_construct_agg("bit").alias("bitmap"))
+    rows = reads.select("reader", _bucket(at).alias("bucket"), F.call_function("shiftleft", F.lit(1).cast("long"), _bit(at)).alias("bit"))
+    return rows.groupBy("reader", "bucket").agg(F.bit_or("bit").alias("bitmap"))
 
 
 def merged(*sets: DataFrame) -> DataFrame:
@@ -25,32 +34,24 @@ def merged(*sets: DataFrame) -> DataFrame:
     both = sets[0]
     for s in sets[1:]:
         both = both.unionByName(s)
-    return both.groupBy("reader", "bucket").agg(F.bitmap_or_agg("bitmap").alias("bitmap"))
-
-
-def _byte(bitmap: Column, at: Column) -> Column:
-    """A byte of a bitmap as a number."""
-    return F.conv(F.hex(F.substring(bitmap, at + 1, F.lit(1))), 16, 10).cast("int")
+    return both.groupBy("reader", "bucket").agg(F.bit_or("bitmap").alias("bitmap"))
 
 
 def holds(bitmap: Column, date_id: Column) -> Column:
     """Whether the bit of an id is set; no bitmap holds nothing."""
-    bit = F.bitmap_bit_position(date_id).cast("int")
-    return F.coalesce(F.getbit(_byte(bitmap, F.shiftright(bit, 3)), bit % 8) == 1, F.lit(False))
+    return F.coalesce(F.getbit(bitmap, _bit(date_id)) == 1, F.lit(False))
 
 
 def unread(entries: DataFrame, sets: DataFrame, reader) -> DataFrame:
-    """Entries that a reader hasn't read: one bitmap a bucket is met, of a reader that has few."""
+    """Entries that a reader hasn't read: one bitmap a bucket is met."""
     own = sets.where(F.col("reader") == reader).select("bucket", "bitmap")
-    met = entries.withColumn("bucket", F.bitmap_bucket_number("date_id")).join(F.broadcast(own), "bucket", "left")
+    met = entries.withColumn("bucket", _bucket(F.col("date_id"))).join(own, "bucket", "left")
     return met.where(~holds(F.col("bitmap"), F.col("date_id"))).drop("bucket", "bitmap")
 
 
 def read_before(sets: DataFrame, date_id: int) -> DataFrame:
     """(reader, n): how many ids up to and with this one each reader has read, from whole bitmaps and a piece of one."""
-    bucket, bit = (date_id - 1) // SPAN + 1, (date_id - 1) % SPAN
-    whole, rest = (bit + 1) // 8, (bit + 1) % 8
-    piece = F.bitmap_count(F.substring("bitmap", 1, whole)) if whole else F.lit(0).cast("long")
-    last = F.bit_count(_byte(F.col("bitmap"), F.lit(whole)).bitwiseAND(F.lit((1 << rest) - 1))) if rest else F.lit(0)
-    n = F.when(F.col("bucket") < bucket, F.bitmap_count("bitmap")).when(F.col("bucket") == bucket, piece + last).otherwise(0)
+    bucket, bit = date_id // SPAN, date_id % SPAN
+    piece = F.col("bitmap").bitwiseAND(F.lit((1 << (bit + 1)) - 1 if bit < SPAN - 1 else -1).cast("long"))
+    n = F.when(F.col("bucket") < bucket, F.bit_count("bitmap")).when(F.col("bucket") == bucket, F.bit_count(piece)).otherwise(0)
     return sets.groupBy("reader").agg(F.sum(n).alias("n"))

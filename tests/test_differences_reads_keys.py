@@ -134,3 +134,13 @@ def test_ballots(spark):
     assert all(r.o is None for r in other)
     ages = spark.createDataFrame([(a,) for a in (-60_001, -60_000, 0, 5000, 5001)], "age long").select(mac.fresh(F.lit(0).cast("long"), F.col("age"), 5000).alias("f"))
     assert [r.f for r in ages.collect()] == [False, True, True, True, False]
+
+
+def test_read_sets_have_narrow_rows(spark):
+    ids = [0, 1, 62, 63, 64, 127, 128, 500, 32767, 32768, 1 << 40]
+    sets = reads.read_sets(spark.createDataFrame([(1, i) for i in ids] + [(2, 9000)], "reader long, date_id long"))
+    assert sets.schema["bitmap"].dataType.simpleString() == "bigint"
+    for at in ids:
+        assert {x.reader: x.n for x in reads.read_before(sets, at).collect()} == {1: sum(i <= at for i in ids), 2: int(at >= 9000)}
+    entries = spark.createDataFrame([(i,) for i in [*ids, 2, 65, 129]], "date_id long")
+    assert sorted(x.date_id for x in reads.unread(entries, sets, 1).collect()) == [2, 65, 129]
