@@ -260,6 +260,12 @@ def sliced(tokens: Column, at: Column, to: Column) -> Column:
     return F.trim(F.array_join(F.transform(F.filter(tokens, kept), shown), ""))
 
 
+def written_title(markup: Column) -> Column:
+    """The first title as it stands in the markup, with ``&amp;`` read and no other reference; null where it is empty."""
+    raw = F.replace(F.regexp_extract(markup, "<title>([^<]*)</title>", 1), F.lit("&amp;"), F.lit("&"))
+    return F.nullif(F.regexp_replace(F.regexp_replace(raw, r"[\t\n\f\r ]+", " "), r"^\p{Z}+|\p{Z}+\z", ""), F.lit(""))
+
+
 def _upto(text: Column, stops) -> Column:
     """Length of a text up to the first of the phrases."""
     return F.char_length(F.regexp_extract(text, rf"(?is)^(.*?)(?:{_one_of(stops)}|\z)", 1))
