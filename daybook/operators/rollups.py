@@ -27,7 +27,7 @@ def signed(old: DataFrame, new: DataFrame) -> DataFrame:
 def changed(table: DataFrame, upserts: DataFrame, removed: DataFrame, key: str) -> DataFrame:
     """The rows of a table that a change takes away: those removed and those replaced."""
     gone = removed.select(key).union(upserts.select(key)).distinct()
-    return table.join(gone, key, "left_semi")
+    return table.join(gone.hint("shuffle_hash"), key, "left_semi")  # the rows themselves are not sorted
 
 
 # -- words ------------------------------------------------------------------------------------------------------
@@ -52,11 +52,23 @@ class WordRollup:
 
     @classmethod
     def build(cls, bag: DataFrame, parts: int = 32) -> WordRollup:
-        return cls(Keyed.of(catalogue.words(bag), "word", parts))
+        return cls.of(catalogue.words(bag), parts)
+
+    @classmethod
+    def of(cls, words: DataFrame, parts: int = 32) -> WordRollup:
+        return cls(Keyed.of(words, "word", parts))
 
     def change(self, old: DataFrame, new: DataFrame) -> WordRollup:
         """After the bags ``old`` went and ``new`` came."""
-        return WordRollup(self.words.change(kept(word_deltas(old, new)), _summed))
+        return self._after(word_deltas(old, new))
+
+    def moved(self, old: DataFrame, new: DataFrame) -> WordRollup:
+        """After entries went and came, of whose words ``old`` and ``new`` are the sums (word, total, entries)."""
+        sums = signed(old, new).groupBy("word").agg(F.sum(F.col("total") * F.col("sign")).alias("total"), F.sum(F.col("entries") * F.col("sign")).alias("entries"))
+        return self._after(sums.where("total <> 0 or entries <> 0"))
+
+    def _after(self, deltas: DataFrame) -> WordRollup:
+        return WordRollup(self.words.change(kept(deltas), _summed))
 
     def rows(self) -> DataFrame:
         return self.words.rows()

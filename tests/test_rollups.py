@@ -82,3 +82,12 @@ def test_rows_of_a_change(spark, gone):
     table = spark.createDataFrame([(i, "x") for i in range(5)], "page_id long, html string")
     removed = table.where("page_id = 1" if gone else "page_id < 0")
     assert {r.page_id for r in rollups.changed(table, table.where("page_id > 3"), removed, "page_id").collect()} == ({1, 4} if gone else {4})
+
+
+def test_word_sums_need_no_bag(spark):
+    texts = ["The planet, the MOON and the planet.", "", None, "moon"]
+    frame = spark.createDataFrame(list(enumerate(texts)), "date_id long, text string")
+    sums = catalogue.word_sums(frame)
+    assert sorted(sums.collect()) == sorted(catalogue.words(catalogue.entry_words(frame)).collect())
+    state = rollups.WordRollup.of(sums, 4).moved(catalogue.word_sums(frame.where("date_id = 0")), catalogue.word_sums(spark.createDataFrame([(9, "moon moon")], "date_id long, text string")))
+    assert sorted(map(tuple, state.rows().collect())) == [("moon", 3, 2)]
