@@ -4,8 +4,13 @@ from __future__ import annotations
 
 import math
 import uuid
+from collections.abc import Callable, Iterator
+from typing import NamedTuple
 
-from pyspark.sql import Column, DataFrame, Observation, SparkSession
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -18,8 +23,14 @@ STEPS, TOLERANCE = 500, 1e-11
 FORCING, FINEST = 0.01, 1e-7
 #: Passes without a lower rest, after which rounding must be what is left.
 IDLE = 6
-#: Passes between two that write a file.
-SIZED = 5
+#: Links of a picture that is taken out of the system, at most: n links leave n * (n - 1) entries.
+FEW = 6
+#: Largest move of the step at which the matrix was made for it to serve the steps that follow.
+NEAR = 1e-4
+#: Pairs of a part of the matrix: the larger the parts, the more sums meet before they are shuffled.
+PART = 2_000_000
+#: Pictures that a Python worker solves at a time.
+ROWS = 2_000
 #: What one even comparison tells about a score.
 INFORMATION = 0.25
 FUNNEL = (10, 100, 600)
@@ -41,48 +52,53 @@ def fit(votes: DataFrame, sigma: float = SIGMA, anchors: DataFrame | None = None
     common one.  Pictures that only an anchor mentions keep its score.  ``start`` (picture, score), as of an earlier
     fit, saves steps and changes no result.
 
-    Newton steps, each solved by conjugate gradients as far as the gradient has come down, preconditioned by the
-    diagonal.  Scores and links lie in tables bucketed by picture, so that a pass shuffles what each link hands on,
-    summed per picture beforehand, and nothing else; it is one job, whose sums are observed as it writes.  The driver
-    holds the side bias and a few sums.  Scores that no prior holds are shifted to a mean of 0 within their component.
+    Pictures with few links that touch none of their kind ("leaves") are taken out of the system exactly: their scores
+    follow from their neighbours', so what is left is a smaller system in the others ("core").  Newton steps on it, each
+    solved by conjugate gradients as far as the gradient has come down, preconditioned by the diagonal.  A pass shuffles
+    what each core picture gets, summed per part beforehand, and writes the state of the core; it is one job, whose sums
+    are observed as it writes.  The driver holds the side bias and a few sums.  Scores that no prior holds are shifted
+    to a mean of 0 within their component.
     """
-    spark = votes.sparkSession
     base, side_prior = 0.0 if not math.isfinite(sigma) else sigma**-2, SIDE_SIGMA**-2
-    pairs = _Held.of(pair_sums(votes), "left")
-    at = _Held.of(_pictures(pairs.rows, base, anchors, start), "picture")
-    if pairs.rows.isEmpty():
-        alone = work.kept(at.rows.withColumn("info", F.col("prec")), "ranking")
-        pairs.drop(), at.drop()
+    counted, size = _observed(pair_sums(votes), n=F.count(F.lit(1)))
+    pairs = work.kept(counted, "pairs")
+    pictures = _Held.of(_pictures(pairs, base, anchors, start))
+    if not size.get["n"]:
+        alone = work.kept(pictures.rows.withColumn("info", F.col("prec")), "ranking")
+        pictures.drop(), _drop(pairs)
         return _told(alone, 0.0)
-    side = side_was = 0.0
-    least, gradient, links, state, bias = math.inf, None, None, None, None
+    cut = _cut(pairs, pictures.rows, max(votes.sparkSession.sparkContext.defaultParallelism, -(-size.get["n"] // PART)))
+    pictures.drop()
+    at, side = cut.core, 0.0
+    side_was, least, made, gradient, entries, state = 0.0, math.inf, math.inf, None, None, None
     for _ in range(STEPS):
-        slopes, whole = _observed(_slopes(pairs.rows, at.rows, side), y=F.sum("y"), c=F.sum("c"), loss=F.sum("loss"))
-        links = _Held.of(_links(slopes), "source", links)
-        bias = {k: v or 0.0 for k, v in whole.get.items()}
-        first, sums = _observed(_start(links.rows, at.rows), rz=F.sum(F.col("r") * F.col("d")), moved=F.max(F.abs("d")), norm=F.sum(F.col("prec") * (F.col("theta") - F.col("mean")) ** 2))
-        state = _Held.of(first, None, state)
-        sums = sums.get
-        slope, info = bias["y"] - side * side_prior, bias["c"] + side_prior
-        if max(sums["moved"], abs(slope / info)) < TOLERANCE:
+        whole, told = _observed(_sums(cut, at.rows, side), y=F.sum("slope"), c=F.sum("curve"), loss=F.sum("loss"), square=F.sum("square"))
+        first, sums = _observed(_start(whole, at.rows), rz=F.sum(F.col("r") * F.col("d")), moved=F.max(F.abs("d")), norm=F.sum(F.col("prec") * (F.col("theta") - F.col("mean")) ** 2))
+        state = _Held.of(first, state)
+        bias, sums = ({k: v or 0.0 for k, v in seen.get.items()} for seen in (told, sums))
+        slope, info = bias["y"] - side * side_prior, bias["c"] - bias["square"] + side_prior
+        moved = max(sums["moved"], abs(slope / info))
+        if moved < TOLERANCE:
             break
         loss = bias["loss"] + (sums["norm"] + side_prior * side * side) / 2
         if loss > least + 1e-9 * abs(least):  # too far: half the way back
-            at, side = _Held.of(state.rows.select(*_PICTURE[:-2], ((F.col("theta") + F.col("was")) / 2).alias("theta"), "was"), "picture", at, sized=True), (side + side_was) / 2
+            at, side = _Held.of(state.rows.select(*_PICTURE[:-2], ((F.col("theta") + F.col("was")) / 2).alias("theta"), "was"), at), (side + side_was) / 2
             continue
         least = loss
+        if made > NEAR:
+            entries, made = _Held.of(_entries(cut, at.rows, side), entries, "source", cut.parts), moved
         x, d, r, rz = 0.0, slope / info, slope, sums["rz"] + slope * slope / info
         goal = max(rz * min(FORCING, 1.0 if gradient is None else max(0.8 * (rz / gradient) ** 2, FINEST)), (TOLERANCE / 3) ** 2)
         gradient = rz
         alpha, beta, lowest, idle = 0.0, 0.0, rz, 0
-        for turn in range(1, STEPS + 1):
+        for _ in range(STEPS):
             turned, told = _observed(
-                _turn(links.rows, state.rows, alpha, beta, d), dhd=F.sum(F.col("d") * F.col("hd")), rhd=F.sum(F.col("r") * F.col("hd") / _info()),
+                _turn(entries.rows, state.rows, alpha, beta, d, cut.parts), dhd=F.sum(F.col("d") * F.col("hd")), rhd=F.sum(F.col("r") * F.col("hd") / _info()),
                 hdhd=F.sum(F.col("hd") * F.col("hd") / _info()), q=F.sum(F.col("t") * F.col("d")),
             )
-            state = _Held.of(turned, None, state) if turn % SIZED else _Held.of(turned, "picture", state, sized=True)
-            told = told.get
-            hd = told["q"] + (bias["c"] + side_prior) * d
+            state = _Held.of(turned, state)
+            told = {k: v or 0.0 for k, v in told.get.items()}
+            hd = told["q"] + info * d
             dhd = told["dhd"] + d * hd
             if dhd <= 0:
                 alpha = 0.0
@@ -95,14 +111,18 @@ def fit(votes: DataFrame, sigma: float = SIGMA, anchors: DataFrame | None = None
             lowest = min(lowest, rest)
             if rz <= goal or idle >= IDLE:
                 break
-        moved = F.col("theta") + F.col("x") + F.lit(alpha) * F.col("d")
-        at = _Held.of(state.rows.select(*_PICTURE[:-2], moved.alias("theta"), F.col("theta").alias("was")), "picture", at, sized=True)
+        forth = F.col("theta") + F.col("x") + F.lit(alpha) * F.col("d")
+        at = _Held.of(state.rows.select(*_PICTURE[:-2], forth.alias("theta"), F.col("theta").alias("was")), at)
         side, side_was = side + x, side
-    scores = work.kept(state.rows.select("picture", "comparisons", "theta", "mean", "prec", "info"), "ranking")
+    columns = ("picture", "comparisons", "theta", "mean", "prec", "info")
+    scores = work.kept(state.rows.select(*columns).unionByName(_solved(cut, state.rows, side, "scores")), "ranking")
     if base == 0:
-        scores = _centred(scores, work.kept(pairs.rows.select("left", "right"), "ranking"))
-    for table in (pairs, at, links, state):
-        table.drop()
+        scores = _centred(scores, pairs.select("left", "right"))
+        scores = work.kept(scores, "ranking")
+    _drop(pairs)
+    for table in (at, cut.routes, cut.rest, entries, state):
+        if table is not None:
+            table.drop()
     return _told(scores, side)
 
 
@@ -114,37 +134,33 @@ _PICTURE = ("picture", "comparisons", "mean", "prec", "theta", "was")
 
 
 class _Held:
-    """Rows checkpointed to the shared folder, dealt by a column: joins and sums on it need no shuffle.
+    """Rows written to the shared folder, or to a table of the warehouse whose buckets are dealt by a column.
 
-    A checkpoint cuts the lineage, survives lost executors and, unlike a file that is read again, keeps the partitioning.
+    Joins on the column of such a table leave its rows where they lie, if the other side is dealt to as many parts.  A
+    checkpoint would not do: what it was dealt by is forgotten where queries adapt as they run.
     """
 
-    def __init__(self, rows: DataFrame):
-        self.rows = rows
+    def __init__(self, rows: DataFrame, table: str | None = None):
+        self.rows, self.table = rows, table
 
     @classmethod
-    def of(cls, rows: DataFrame, key: str | None, old: _Held | None = None, sized: bool = False) -> _Held:
-        """Rows dealt by ``key``, or as they are; ``old`` is dropped afterwards, so rows may come from it.
-
-        A checkpoint hands on the size that the optimiser estimates, which multiplies with every join until numbers of
-        that many digits are slow themselves; ``sized`` rows are written as a file first, whose size is known.
-        """
-        spark = rows.sparkSession
-        rows = work.kept(rows, "sized") if sized else rows
-        if not spark.sparkContext.getCheckpointDir():
-            spark.sparkContext.setCheckpointDir(work.shared_dir(spark))
-        files = rows if sized else None
-        held = cls((rows if key is None else rows.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), key)).checkpoint())
-        if files is not None:
-            _drop(files)
+    def of(cls, rows: DataFrame, old: _Held | None = None, key: str | None = None, parts: int = 0) -> _Held:
+        """``old`` is dropped afterwards, so rows may come from it."""
+        if key is None:
+            held = cls(work.kept(rows, "ranking"))
+        else:
+            name = f"daybook_ranking_{uuid.uuid4().hex}"
+            rows.repartition(parts, key).write.bucketBy(parts, key).saveAsTable(name, format="parquet")
+            held = cls(rows.sparkSession.table(name), name)
         if old is not None:
             old.drop()
         return held
 
     def drop(self) -> None:
-        name = self.rows._jdf.queryExecution().analyzed().rdd().getCheckpointFile()
-        if name.isDefined():
-            work.remove(self.rows.sparkSession, name.get())
+        if self.table:
+            self.rows.sparkSession.sql(f"DROP TABLE IF EXISTS {self.table}")
+        else:
+            _drop(self.rows)
 
 
 def _observed(rows: DataFrame, **sums: Column) -> tuple[DataFrame, Observation]:
@@ -158,54 +174,156 @@ def _info() -> Column:
 
 
 def _pictures(pairs: DataFrame, base: float, anchors: DataFrame | None, start: DataFrame | None) -> DataFrame:
-    """Every picture of a pair or an anchor, with its prior and where the fit begins."""
-    seen = pairs.select(F.explode(F.array("left", "right")).alias("picture"), "votes").groupBy("picture").agg(F.sum("votes").alias("comparisons"))
+    """Every picture of a pair or an anchor, with its prior, where the fit begins and the number of its links."""
+    seen = pairs.select(F.explode(F.array("left", "right")).alias("picture"), "votes").groupBy("picture").agg(F.sum("votes").alias("comparisons"), F.count("*").alias("links"))
     rows = seen.withColumns({"mean": F.lit(0.0), "prec": F.lit(base)})
     if anchors is not None:
         prior = anchors.select("picture", F.col("score").cast("double").alias("_m"), F.greatest(F.col("ess") * INFORMATION, F.lit(base)).cast("double").alias("_p"))
         both = seen.join(prior, "picture", "full")
-        rows = both.select("picture", F.coalesce("comparisons", F.lit(0)).alias("comparisons"), F.coalesce("_m", F.lit(0.0)).alias("mean"), F.coalesce("_p", F.lit(base)).alias("prec"))
+        rows = both.select("picture", F.coalesce("comparisons", F.lit(0)).alias("comparisons"), F.coalesce("_m", F.lit(0.0)).alias("mean"), F.coalesce("_p", F.lit(base)).alias("prec"), F.coalesce("links", F.lit(0)).alias("links"))
     theta = F.col("mean")
     if start is not None:
         rows = rows.join(start.select("picture", F.col("score").cast("double").alias("_s")), "picture", "left")
         theta = F.coalesce("_s", "mean")
-    return rows.select("picture", "comparisons", "mean", "prec", theta.alias("theta"), theta.alias("was"))
+    return rows.select("picture", "comparisons", "mean", "prec", theta.alias("theta"), theta.alias("was"), "links")
 
 
-def _slopes(pairs: DataFrame, at: DataFrame, side: float) -> DataFrame:
+class _Cut(NamedTuple):
+    """The core's pictures, the links of leaves dealt by their core end, and the pairs within the core."""
+
+    core: _Held
+    routes: _Held
+    rest: _Held
+    parts: int
+
+
+def _cut(pairs: DataFrame, pictures: DataFrame, parts: int) -> _Cut:
+    """Leaves have a prior, at most ``FEW`` links, and rank below each neighbour by their links; so no two are linked."""
+    links = lambda side, name: pictures.select(F.col("picture").alias(side), F.col("links").alias(name))
+    met = pairs.join(links("left", "_a"), "left").join(links("right", "_b"), "right")
+    rank = lambda n, side: F.struct(F.col(n).alias("n"), F.xxhash64(side).alias("h"), F.col(side).alias("p"))
+    below = rank("_a", "left") < rank("_b", "right")
+    low, high = (F.when(below, F.col(a)).otherwise(F.col(b)) for a, b in (("left", "right"), ("right", "left")))
+    lows = _Held.of(met.select(low.alias("picture"), high.alias("core"), F.when(below, 1.0).otherwise(-1.0).alias("sign"), "weight", "won", "votes"), key="picture", parts=parts)
+    known = pictures.select("picture", "links", "mean", "prec").repartition(parts, "picture")
+    leaves = _Held.of(lows.rows.groupBy("picture").agg(F.count("*").alias("_n")).join(known, "picture").where((F.col("_n") == F.col("links")) & (F.col("links") <= FEW) & (F.col("prec") > 0)).drop("_n"))
+    told = lows.rows.join(leaves.rows.repartition(parts, "picture"), "picture", "left")
+    routes = _Held.of(told.where("links is not null"), key="core", parts=parts)
+    left, right = (F.when(F.col("sign") > 0, F.col(a)).otherwise(F.col(b)) for a, b in (("picture", "core"), ("core", "picture")))
+    rest = _Held.of(told.where("links is null").select(left.alias("left"), right.alias("right"), "weight", "won"), key="left", parts=parts)
+    core = _Held.of(pictures.join(leaves.rows.select("picture"), "picture", "left_anti").drop("links"))
+    lows.drop(), leaves.drop()
+    return _Cut(core, routes, rest, parts)
+
+
+_TOLD = {
+    "sums": "picture long, y double, c double, t double, v double, loss double, slope double, curve double, square double",
+    "entries": "source long, target long, v double",
+    "scores": "picture long, theta double, info double, comparisons long, mean double, prec double",
+}
+
+
+def _solved(cut: _Cut, at: DataFrame, side: float, kind: str) -> DataFrame:
+    """What the leaves tell (``_TOLD``) when each has its best score, given the core's.
+
+    A leaf of one link stays with its neighbour; the links of others meet at the leaf.
+    """
+    here = at.select(F.col("picture").alias("core"), F.col("theta").alias("at")).repartition(cut.parts, "core")
+    met = cut.routes.rows.join(here, "core")
+    link = F.struct("core", "sign", "weight", "won", "votes", "at")
+    several = met.where("links > 1").repartition(cut.parts, "picture").groupBy("picture").agg(F.max("mean").alias("mean"), F.max("prec").alias("prec"), F.collect_list(link).alias("ends"))
+    if kind != "entries":
+        several = several.unionAll(met.where("links = 1").select("picture", "mean", "prec", F.array(link).alias("ends")))
+    return several.mapInArrow(_solver(side, kind), _TOLD[kind])
+
+
+def _solver(side: float, kind: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, ROWS):
+                yield pa.RecordBatch.from_pydict(_solve(batch.slice(at, ROWS), side, kind))
+
+    return run
+
+
+def _solve(batch: pa.RecordBatch, side: float, kind: str) -> dict[str, np.ndarray]:
+    """Newton steps within a bracket for each leaf; ``k`` is the leaf of a link."""
+    n, ends = batch.num_rows, batch.column("ends")
+    size, flat = pc.list_value_length(ends).to_numpy(zero_copy_only=False), ends.flatten()
+    core, sign, weight, won, votes, at = (pc.struct_field(flat, x).to_numpy(zero_copy_only=False) for x in ("core", "sign", "weight", "won", "votes", "at"))
+    mean, prec = (batch.column(x).to_numpy(zero_copy_only=False) for x in ("mean", "prec"))
+    k = np.repeat(np.arange(n), size)
+    total = lambda x: np.bincount(k, weights=x, minlength=n)
+    theta, reach = mean.copy(), total(weight) / prec
+    low, high = mean - reach, mean + reach
+    for turn in range(100):
+        m = sign * (theta[k] - at) + side
+        p = 1 / (1 + np.exp(np.minimum(-m, 700.0)))
+        y, c = won - weight * p, weight * p * (1 - p)
+        r, info = total(sign * y) - prec * (theta - mean), total(c) + prec
+        step = r / info
+        if turn == 99 or np.all(np.abs(step) < 1e-14 * (1 + np.abs(theta))):
+            break
+        low, high = np.where(r > 0, theta, low), np.where(r < 0, theta, high)
+        there = theta + step
+        theta = np.where((np.abs(step) > 1e-6) & ((there < low) | (there > high)), (low + high) / 2, there)
+    if kind == "scores":
+        return {"picture": batch.column("picture").to_numpy(), "theta": theta, "info": info, "comparisons": total(votes).astype(np.int64), "mean": mean, "prec": prec}
+    if kind == "entries":
+        begin = np.cumsum(size) - size
+        place, out = np.arange(len(k)) - begin[k], []
+        for ahead in range(1, int(size.max())):
+            one = np.flatnonzero(size[k] > ahead)
+            out.append((one, begin[k[one]] + (place[one] + ahead) % size[k[one]]))
+        one, other = (np.concatenate(x) for x in zip(*out, strict=True))
+        return {"source": core[one], "target": core[other], "v": -c[one] * c[other] / info[k[one]]}
+    t = total(sign * c)
+    loss = weight * (np.maximum(m, 0) + np.log1p(np.exp(-np.abs(m)))) - won * m + (prec * (theta - mean) ** 2 / 2 / size)[k]
+    return {"picture": core, "y": -sign * y, "c": c, "t": c * ((t / info)[k] - sign), "v": c - c * c / info[k], "loss": loss, "slope": y, "curve": c, "square": (t * t / info / size)[k]}
+
+
+def _slopes(pairs: DataFrame, at: DataFrame, side: float, parts: int) -> DataFrame:
     """(left, right, y, c, loss): residual, curvature and negative log likelihood of each pair."""
     value = lambda side, name: at.select(F.col("picture").alias(side), F.col("theta").alias(name))
-    met = pairs.join(value("left", "a"), "left").join(value("right", "b"), "right")
+    met = pairs.join(value("left", "a").repartition(parts, "left"), "left").join(value("right", "b"), "right")
     met = met.withColumn("m", F.col("a") - F.col("b") + F.lit(side)).withColumn("p", 1 / (1 + F.exp(-F.col("m"))))
     loss = F.col("weight") * (F.greatest("m", F.lit(0.0)) + F.log1p(F.exp(-F.abs("m")))) - F.col("won") * F.col("m")
     curve = F.col("weight") * F.col("p") * (1 - F.col("p"))
     return met.select("left", "right", (F.col("won") - F.col("weight") * F.col("p")).alias("y"), curve.alias("c"), loss.alias("loss"))
 
 
-def _links(slopes: DataFrame) -> DataFrame:
-    """(source, target, y, c, sign): each pair from both of its ends; the residual is that of the source."""
-    ends = F.array(
-        F.struct(F.col("left").alias("source"), F.col("right").alias("target"), F.col("y").alias("y"), F.col("c").alias("c"), F.lit(1.0).alias("sign")),
-        F.struct(F.col("right").alias("source"), F.col("left").alias("target"), (-F.col("y")).alias("y"), F.col("c").alias("c"), F.lit(-1.0).alias("sign")),
-    )
-    return slopes.select(F.inline(ends))
+def _sums(cut: _Cut, at: DataFrame, side: float) -> DataFrame:
+    """(picture, y, c, t, v, and what the side bias gets): each link's share in the gradient, its picture's information,
+    the side bias's column and the diagonal."""
+    none = F.lit(0.0)
+    end = lambda name, y, t, loss, slope, curve: F.struct(F.col(name).alias("picture"), y.alias("y"), F.col("c").alias("c"), t.alias("t"), F.col("c").alias("v"), loss.alias("loss"), slope.alias("slope"), curve.alias("curve"), none.alias("square"))
+    left = end("left", F.col("y"), F.col("c"), F.col("loss"), F.col("y"), F.col("c"))
+    return _slopes(cut.rest.rows, at, side, cut.parts).select(F.inline(F.array(left, end("right", -F.col("y"), -F.col("c"), none, none, none)))).unionByName(_solved(cut, at, side, "sums"))
+
+
+def _entries(cut: _Cut, at: DataFrame, side: float) -> DataFrame:
+    """(source, target, v): the matrix beside its diagonal, both ways; rows of one place add up."""
+    end = lambda a, b: F.struct(F.col(a).alias("source"), F.col(b).alias("target"), (-F.col("c")).alias("v"))
+    return _slopes(cut.rest.rows, at, side, cut.parts).select(F.inline(F.array(end("left", "right"), end("right", "left")))).unionByName(_solved(cut, at, side, "entries"))
 
 
-def _start(links: DataFrame, at: DataFrame) -> DataFrame:
-    """The state of conjugate gradients before their first pass: solution x, rest r, direction d; ``t`` is the side bias's column."""
-    sums = links.groupBy(F.col("source").alias("picture")).agg(F.sum("y").alias("y"), F.sum("c").alias("c"), F.sum(F.col("c") * F.col("sign")).alias("t"))
+def _start(sums: DataFrame, at: DataFrame) -> DataFrame:
+    """The state of conjugate gradients before their first pass: solution x, rest r, direction d; ``t`` is the side bias's
+    column, ``v`` the diagonal without the prior."""
+    sums = sums.groupBy("picture").agg(*[F.sum(k).alias(k) for k in "yctv"])
     none, c, y = F.lit(0.0), F.coalesce("c", F.lit(0.0)), F.coalesce("y", F.lit(0.0))
     rows = at.join(sums, "picture", "left").withColumns({"r": y - F.col("prec") * (F.col("theta") - F.col("mean")), "info": c + F.col("prec")})
-    return rows.select(*_PICTURE, none.alias("x"), "r", (F.col("r") / _info()).alias("d"), none.alias("hd"), "info", F.coalesce("t", none).alias("t"))
+    return rows.select(*_PICTURE, none.alias("x"), "r", (F.col("r") / _info()).alias("d"), none.alias("hd"), "info", F.coalesce("t", none).alias("t"), F.coalesce("v", none).alias("v"))
 
 
-def _turn(links: DataFrame, state: DataFrame, alpha: float, beta: float, side: float) -> DataFrame:
-    """Brings the state up to the pass and multiplies the new direction by the curvature."""
+def _turn(entries: DataFrame, state: DataFrame, alpha: float, beta: float, side: float, parts: int) -> DataFrame:
+    """Brings the state up to the pass and multiplies the new direction by the matrix."""
     rest = F.col("r") - F.lit(alpha) * F.col("hd")
     direction = F.col("d") if alpha == 0 else rest / _info() + F.lit(beta) * F.col("d")
-    state = state.select(*_PICTURE, (F.col("x") + F.lit(alpha) * F.col("d")).alias("x"), rest.alias("r"), direction.alias("d"), "info", "t")
-    handed = links.join(state.select(F.col("picture").alias("source"), "d"), "source").groupBy(F.col("target").alias("picture")).agg(F.sum(F.col("c") * F.col("d")).alias("m"))
-    hd = F.col("info") * F.col("d") - F.coalesce("m", F.lit(0.0)) + F.col("t") * F.lit(side)
+    state = state.select(*_PICTURE, (F.col("x") + F.lit(alpha) * F.col("d")).alias("x"), rest.alias("r"), direction.alias("d"), "info", "t", "v")
+    here = state.select(F.col("picture").alias("source"), "d").repartition(parts, "source")
+    handed = entries.join(here, "source").groupBy(F.col("target").alias("picture")).agg(F.sum(F.col("v") * F.col("d")).alias("m"))
+    hd = (F.col("v") + F.col("prec")) * F.col("d") + F.coalesce("m", F.lit(0.0)) + F.col("t") * F.lit(side)
     return state.join(handed, "picture", "left").withColumn("hd", hd).drop("m")
 
 

@@ -174,3 +174,30 @@ def test_components_of_a_long_chain(spark):
             root[a] = root[b] = min(root[a], root[b])
     got = {r.picture: r.root for r in ranking.components(spark.createDataFrame(pairs, "left long, right long")).collect()}
     assert got == root
+
+
+def _shuffled(spark, since=-1):
+    """(rows shuffled by the stages after one, the last stage)."""
+    stages = spark.sparkContext._jsc.sc().statusStore().stageList(None, False, False, spark.sparkContext._gateway.new_array(spark._jvm.double, 0), None)
+    told = [(s.stageId(), s.shuffleWriteRecords()) for s in (stages.apply(i) for i in range(stages.size()))]
+    return sum(n for i, n in told if i > since), max(i for i, _ in told)
+
+
+def test_a_fit_shuffles_links_by_step_and_not_by_pass(spark):
+    """Leaves of one link to more than are taken out, on either side, some linked twice with the same picture."""
+    r = random.Random(6)
+    rows = [(a, (a + b) % 12, r.choice(("left", "right"))) for a in range(12) for b in (1, 3)]
+    for leaf in range(100, 900):
+        for hub in r.choices(range(12), k=r.choice((1, 1, 2, 3, 5, ranking.FEW + 2 if leaf < 120 else 2))):
+            rows.append((*((hub, leaf) if r.random() < 0.8 else (leaf, hub)), r.choices(("left", "right", "tie"), (3 + hub, 5, 2))[0]))
+    want, side = plain_fit(rows)
+    frame = spark.createDataFrame(rows, "left long, right long, outcome string")
+    frame.count()
+    _, last = _shuffled(spark)
+    got = {x.picture: x for x in ranking.fit(frame).collect()}
+    shuffled, _ = _shuffled(spark, last)
+    assert set(got) == set(want)
+    assert max(abs(got[x].score - score) for x, (score, _) in want.items()) < 1e-8
+    assert max(abs(got[x].stderr - error) for x, (_, error) in want.items()) < 1e-8
+    assert max(abs(x.side_bias - side) for x in got.values()) < 1e-8
+    assert shuffled < 40 * len(rows)
