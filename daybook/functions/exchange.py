@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import groupby
+from operator import itemgetter
 
 import numpy as np
 import pandas as pd
@@ -44,45 +46,41 @@ def keyword_line(keywords: Column) -> Column:
 
 # -- differences --------------------------------------------------------------------------------------------------
 
-LONGEST = 1500
 DIFF = ArrayType(StructType([StructField("kind", StringType()), StructField("text", StringType())]))
 
+#: Words of one list that are compared at once, as bits of a number; whatever it is, the lengths are the same.
+STRIP = 4096
 
-def _walk(a: np.ndarray, b: np.ndarray, reach: np.ndarray, zero: int, d: int) -> tuple[np.ndarray, np.ndarray]:
-    """One step of all diagonals at once: (diagonals, how far each comes along ``a``) with ``d`` edits."""
-    n, m = len(a), len(b)
-    k = np.arange(-d + 2 * max(0, d - m), d - 2 * max(0, d - n) + 1, 2)
-    x = np.maximum(reach[zero + k - 1] + 1, reach[zero + k + 1])
-    going = np.flatnonzero((x < n) & (x - k < m))
-    while len(going):
-        going = going[a[x[going]] == b[x[going] - k[going]]]
-        x[going] += 1
-        going = going[(x[going] < n) & (x[going] - k[going] < m)]
-    reach[zero + k] = x
-    return k, x
 
+def _common(a: list[int], b: list[int]) -> np.ndarray:
+    """The length of the longest common subsequence of ``a`` and each head of ``b``, from none of it to all.
 
-def _middle(a: np.ndarray, b: np.ndarray) -> tuple[int, int]:
-    """A place on a shortest edit path with half of its edits before it; both texts differ at both ends.
-
-    Paths grow from both ends, and where they first meet is half way.  Only the furthest place of each diagonal is held.
+    The bit of a word of ``b`` is 0 where the length grows by it.  A word of ``a`` changes all bits by one sum, whose carry
+    goes on to the next strip of ``b``.
     """
-    n, m = len(a), len(b)
-    zero, never = n + m + 2, -(n + m + 5)
-    ahead, behind = np.full(2 * zero + 1, never), np.full(2 * zero + 1, never)
-    ahead[zero + 1] = behind[zero + 1] = 0
-    back_a, back_b = a[::-1], b[::-1]
-    for d in range((n + m + 1) // 2 + 1):
-        for forward in (True, False):
-            one, other = (ahead, behind) if forward else (behind, ahead)
-            k, x = _walk(*((a, b) if forward else (back_a, back_b)), one, zero, d)
-            across = n - m - k  # the other end's diagonal
-            if ((n - m) % 2 == 1) == forward:
-                met = np.flatnonzero((np.abs(across) <= (d - 1 if forward else d)) & (x + other[zero + np.clip(across, -zero, zero)] >= n))
-                if len(met):
-                    x, k = int(x[met[0]]), int(k[met[0]])
-                    return (x, x - k) if forward else (n - x, m - (x - k))
-    raise AssertionError("paths from both ends meet")
+    grows, carries = [np.zeros(1, np.int64)], bytearray(len(a))
+    for at in range(0, len(b), STRIP):
+        strip = b[at : at + STRIP]
+        width, places = len(strip), {}
+        for j, w in enumerate(strip):
+            places[w] = places.get(w, 0) | 1 << j
+        bits = full = (1 << width) - 1
+        for i, w in enumerate(a):
+            met, carry = places.get(w, 0), carries[i]
+            if met or carry:
+                met &= bits
+                total = bits + met + carry
+                bits, carries[i] = (total & full) | (bits ^ met), total >> width
+        kept = np.frombuffer(bits.to_bytes(-(-width // 8), "little"), np.uint8)
+        grows.append(1 - np.unpackbits(kept, bitorder="little")[:width].astype(np.int64))
+    return np.cumsum(np.concatenate(grows))
+
+
+def _middle(a: list[int], b: list[int]) -> tuple[int, int]:
+    """A place on a shortest edit path with half of ``a`` before it; both texts differ at both ends."""
+    u = (len(a) + 1) // 2
+    before, after = _common(a[:u], b), _common(a[u:][::-1], b[::-1])[::-1]
+    return u, int(np.argmax(before + after))
 
 
 #: Cells of a table that is filled instead of cutting once more.
@@ -115,10 +113,10 @@ def _filled(a: list[str], b: list[str]) -> list[tuple[str, str]]:
 def shortest_edit(a: list[str], b: list[str]) -> list[tuple[str, str]]:
     """(kind, word) of a shortest script from one list of words to the other, in memory that grows with their length.
 
-    A place half way along a shortest path cuts both lists, and each half is solved by itself.
+    A place on a shortest path cuts both lists, and each half is solved by itself.
     """
     codes: dict[str, int] = {}
-    x, y = (np.array([codes.setdefault(w, len(codes)) for w in words], np.int64) for words in (a, b))
+    x, y = ([codes.setdefault(w, len(codes)) for w in words] for words in (a, b))
     out: list[tuple[str, str]] = []
     todo = [(0, len(a), 0, len(b), 0)]
     while todo:
@@ -156,17 +154,8 @@ def word_diff(old: str | None, new: str | None) -> list[dict]:
     while tail < min(len(a), len(b)) - head and a[-1 - tail] == b[-1 - tail]:
         tail += 1
     x, y = a[head : len(a) - tail], b[head : len(b) - tail]
-    if len(x) > LONGEST and len(y) > LONGEST:
-        middle = [("removed", w) for w in x] + [("added", w) for w in y]
-    else:
-        middle = shortest_edit(x, y)
-    runs: list[dict] = []
-    for kind, word in [("same", w) for w in a[:head]] + middle + [("same", w) for w in a[len(a) - tail :]]:
-        if runs and runs[-1]["kind"] == kind:
-            runs[-1]["text"] += " " + word
-        else:
-            runs.append({"kind": kind, "text": word})
-    return runs
+    script = [("same", w) for w in a[:head]] + shortest_edit(x, y) + [("same", w) for w in a[len(a) - tail :]]
+    return [{"kind": kind, "text": " ".join(w for _, w in run)} for kind, run in groupby(script, itemgetter(0))]
 
 
 @F.pandas_udf(DIFF)

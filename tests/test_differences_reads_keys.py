@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from daybook.functions import exchange, mac
 from daybook.operators import reads
+from daybook.plans import more
 
 
 def common(a, b):
@@ -52,6 +53,36 @@ def test_long_texts_in_little_memory():
     tracemalloc.stop()
 
 
+def test_strips_of_any_width(monkeypatch):
+    r = random.Random(11)
+    for width in (1, 7, 64, 4096):
+        monkeypatch.setattr(exchange, "STRIP", width)
+        for n, m in ((1, 90), (90, 1), (65, 130), (300, 200)):
+            monkeypatch.setattr(exchange, "CELLS", r.choice((0, 4096)))
+            a, b = ([f"w{r.randrange(40)}" for _ in range(size)] for size in (n, m))
+            script = exchange.shortest_edit(a, b)
+            assert [w for k, w in script if k != "added"] == a and [w for k, w in script if k != "removed"] == b
+            assert sum(k == "same" for k, _ in script) == common(a, b)
+
+
+def test_long_texts_are_compared_as_short_ones_are():
+    r = random.Random(12)
+    for size in (1499, 1500, 1501, 1700):
+        a, b = ([f"{side}{i}" if i % 5 == 0 else f"w{r.randrange(200)}" for i in range(size)] for side in "ab")
+        runs = exchange.word_diff(" ".join(a), " ".join(b))
+        words = {k: [w for x in runs if x["kind"] != k for w in x["text"].split()] for k in ("added", "removed")}
+        assert words == {"added": a, "removed": b} and all(x["kind"] != y["kind"] for x, y in zip(runs, runs[1:]))
+        assert sum(len(x["text"].split()) for x in runs if x["kind"] == "same") == common(a, b)
+
+
+def test_turns_of_any_length(spark, tmp_path):
+    kept = [f"w{i}" for i in range(2000)]
+    turns = [(c, t, " ".join([f"{t}start", *kept[:n], f"{t}end"])) for c, n in ((1, 10), (2, 1498), (3, 1499), (4, 2000)) for t in (0, 1)]
+    spark.createDataFrame(turns, "conv_id long, turn int, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    got = {tuple(x) for x in more.X25_turn_differences(spark, str(tmp_path)).collect()}
+    assert got == {(c, 1, n, 2, 2) for c, n in ((1, 10), (2, 1498), (3, 1499), (4, 2000))}
+
+
 def test_changed_fields(spark):
     schema = "date_id long, title string, text string, credit string"
     old = spark.createDataFrame([(1, "A", "one two three", None), (2, "B", "same", "x"), (3, "C", "gone", "")], schema)
