@@ -83,25 +83,28 @@ def _middle(a: list[int], b: list[int]) -> tuple[int, int]:
     return u, int(np.argmax(before + after))
 
 
-#: Cells of a table that is filled instead of cutting once more.
-CELLS = 4096
+#: Cells of a table that is filled instead of cutting once more, a bit each.
+CELLS = 1 << 17
 
 
 def _filled(a: list[str], b: list[str]) -> list[tuple[str, str]]:
-    """A shortest script by the table of common lengths, for few words."""
-    common = [[0] * (len(b) + 1)]
-    for w in reversed(a):
-        below, row = common[-1], [0]
-        for j in range(len(b) - 1, -1, -1):
-            row.append(below[len(b) - 1 - j] + 1 if w == b[j] else max(below[len(b) - j], row[-1]))
-        common.append(row)
+    """A shortest script by the table of common lengths, for few words; a row has a bit for each word of ``a``, 0 where the length grows by it."""
+    places = dict.fromkeys(b, 0)
+    for i, w in enumerate(reversed(a)):
+        if w in places:
+            places[w] |= 1 << i
+    bits = full = (1 << len(a)) - 1
+    rows = [bits]
+    for w in reversed(b):
+        met = bits & places[w]
+        bits = (bits + met) & full | (bits ^ met)
+        rows.append(bits)
     out, i, j = [], 0, 0
-    left = lambda i, j: common[len(a) - i][len(b) - j]
     while i < len(a) or j < len(b):
         if i < len(a) and j < len(b) and a[i] == b[j]:
             out.append(("same", a[i]))
             i, j = i + 1, j + 1
-        elif j == len(b) or i < len(a) and left(i + 1, j) >= left(i, j + 1):
+        elif i < len(a) and rows[len(b) - j] >> (len(a) - 1 - i) & 1:
             out.append(("removed", a[i]))
             i += 1
         else:
